@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Folder for written intermediate tables where the session names none (tests, local runs).
 LOCAL_SHARED = "/tmp/checkpoints"
@@ -68,7 +69,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
+def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, most: int = SLICE_BYTES) -> DataFrame:
     """Run a kernel over slices of a table. `make` is called once a task and returns the kernel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,3 +85,30 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBat
             gc.enable()
 
     return df.mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, bound: int, seed: int = 17) -> DataFrame:
+    """About `bound` documents with their label (columns text, label), by a hash of the id.
+
+    Held-out ids and null labels are left out; of several labels of an id the largest counts. The
+    sampled labels, at most a few more than `bound` small rows, are broadcast; texts are not shuffled.
+    """
+    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    share = sample_share(known.count(), bound)
+    chosen = known.where(hashed_share(F.col("doc_id"), share, seed))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+
+
+def scored(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+    """Run a scoring kernel over doc_id, text and held_out of every row."""
+    return map_text(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), "text", make, schema)
+
+
+def kept(docs: DataFrame, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """The rows, in all their columns, whose text the kernel marks as true. Columns may have any names."""
+
+    def filtering() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        keep = make()
+        return lambda part: part.filter(keep(as_text(part.column("text"))))
+
+    return map_text(docs, "text", filtering, docs.schema)
