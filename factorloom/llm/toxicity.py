@@ -32,7 +32,7 @@ STEMS = (7, 6, 5, 4, 3)
 #: Weight of the prior, in documents; least log-odds, and standard deviations above 0, of a scoring token.
 PRIOR_DOCS = 50.0
 LEAST_ODDS = 1.5
-LEAST_Z = 4.5
+LEAST_Z = 3.0
 DRIFT = 0.25
 MOST_SCORE = 6.0
 THRESHOLD = 0.7
@@ -142,7 +142,7 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, folder: str, column: str = "toxic", bound: int = SAMPLE_DOCS) -> Model:
     """Learn token scores, the extreme-value law and the curve from about `bound` labelled documents that are not held out."""
-    sample = common.written(common.labelled_sample(docs, labels, column, bound), f"{folder}/sample")
+    sample = common.written(common.labelled_sample(docs, labels, column, bound).groupBy("text").agg(F.max("label").alias("label")), f"{folder}/sample")
     sizes = {r.label: r.n for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_other:
