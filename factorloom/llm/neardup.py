@@ -78,8 +78,11 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             for k in range(rows):
                 key = words.mix(key * _STEP + regs[:, :, k])
             key = words.mix(key + np.arange(bands, dtype=np.uint64)).astype(np.int64)
+            short = (run >> np.uint64(32)).astype("<u4")
+            alone = np.ones(len(row), bool)  # runs of a text whose 32 bits are equal count as one
+            alone[1:] = (short[1:] != short[:-1]) | (row[1:] != row[:-1])
+            row, short, light = row[alone], short[alone], weight[alone].astype("<f4")
             ends = np.searchsorted(row, np.arange(n + 1))
-            short, light = (run >> np.uint64(32)).astype("<u4"), weight.astype("<f4")
             nodes, keys, runs, weights = [], [], [], []
             for i in range(n):
                 a, b = stream.offsets[i], stream.offsets[i + 1]
