@@ -7,10 +7,11 @@ of the text. Two texts agree in a register with their probability Jaccard simila
 registers give candidates, which are verified on all runs: texts are linked if their probability
 Jaccard or their plain Jaccard similarity reaches the threshold. Classes are the connected components.
 
-Texts of the same words are one node. A bucket of g nodes gives no more than g - 1 pairs at a time,
-each node with the bucket's hub. Nodes unlike the hub go on to further rounds with a hub of their own;
-so do nodes like the hub that may be near one of those by the triangle inequality, which both distances
-obey. No link that the bucket could give is lost, and no bucket is spelled out in all its pairs.
+Texts of the same words are one node. First every node of a bucket is verified against the bucket's
+hub, g - 1 pairs for g nodes. A bucket whose nodes are then all in one component can add nothing to the
+classes and is done. In any other, a few more hubs are verified against the nodes of other components,
+twice as many each turn, until every node has been a hub or the bucket is one component. No link between
+components that the bucket could give is lost, and groups of copies are not spelled out in pairs.
 
 Rows: a null or empty text is a class of its own; a text without words is a copy of equal texts only;
 texts of fewer than five words count as one run; a null id takes part, and its class is named by the
@@ -153,38 +154,32 @@ def links(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> Dat
     """Linked pairs of nodes that connect all classes: a, b, plain, prob. `sketched` must be a written table."""
     nodes = sketched.where("bands is not null").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     nodes = common.written(nodes, f"{folder}/buckets")
-    hubs = common.written(nodes.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n >= 2").drop("n"), f"{folder}/hubs")
-    members = common.written(nodes.join(hubs, "bucket").where("node != hub"), f"{folder}/members0")
-    needed = members.select("node").union(members.select(F.col("hub").alias("node"))).distinct()
-    needed = common.written(needed, f"{folder}/needed")
+    hub = F.min_by("node", F.xxhash64("node", "bucket"))  # another one in each bucket, so that their stars overlap
+    hubs = common.written(nodes.groupBy("bucket").agg(hub.alias("hub"), F.count("*").alias("n")).where("n >= 2"), f"{folder}/hubs")
+    members = common.written(nodes.join(hubs, "bucket").select("bucket", "node", "hub"), f"{folder}/members")
+    needed = common.written(members.select("node").distinct(), f"{folder}/needed")
     runs = common.written(_chosen(sketched.select("node", "runs", "weights"), needed, "node", "left_semi").dropDuplicates(["node"]), f"{folder}/runs")
-    pairs = members.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    known = common.written(verify(pairs, runs), f"{folder}/verified0")
-    like = (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
-    slack = 1 - threshold
-    round_, spelled = 0, None
-    while True:
-        # what the hub left: nodes unlike it, and those like it that may be near one of them
-        seen = members.join(known, (F.least("hub", "node") == F.col("a")) & (F.greatest("hub", "node") == F.col("b")))
-        seen = seen.select("bucket", "node", like.alias("like"), (1 - F.col("plain")).alias("dj"), (1 - F.col("prob")).alias("dp"))
-        unlike = seen.where("not like").groupBy("bucket").agg(F.min("dj").alias("mj"), F.min("dp").alias("mp"), F.min("node").alias("hub"))
-        unlike = common.written(unlike, f"{folder}/unlike{round_}")
-        near = (~F.col("like")) | (F.col("dj") >= F.col("mj") - slack) | (F.col("dp") >= F.col("mp") - slack)
-        left = common.written(seen.join(unlike, "bucket").where(near).select("bucket", "node", "hub", "like"), f"{folder}/left{round_}")
-        sizes = common.written(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2"), f"{folder}/sizes{round_}")
-        if sizes.isEmpty():
-            return common.written(known.where(like), f"{folder}/links")
-        left = left.join(sizes, "bucket")
-        small = left.where(F.col("n") <= SMALL_BUCKET)
-        spelled = small.where("not like").select("bucket", F.col("node").alias("hub")).join(small.select("bucket", "node"), "bucket").where("node != hub")
-        members = common.written(left.where((F.col("n") > SMALL_BUCKET) & (F.col("node") != F.col("hub"))).select("bucket", "node", "hub"), f"{folder}/members{round_ + 1}")
-        new = members.select("hub", "node").union(spelled.select("hub", "node"))
-        new = new.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        round_ += 1
-        fresh = common.written(verify(new, runs), f"{folder}/verified{round_}")
-        known = known.union(fresh)
-        if members.isEmpty():
-            return common.written(known.where(like), f"{folder}/links")
+    known = common.written(verify(_pairs(members.where("node != hub"), "hub", "node"), runs), f"{folder}/verified")
+    members, like = members.drop("hub"), (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
+    for turn in range(64):
+        here = f"{folder}/turn{turn}"
+        rooted = components(known.where(like), here)
+        placed = members.join(rooted, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
+        left = common.written(placed.join(common.written(mixed, f"{here}/mixed"), "bucket"), f"{here}/left")
+        if left.isEmpty():
+            break
+        # the hubs of this turn: all of a small bucket's nodes, of a large one's about 2, 4, 8 ...
+        asks = (F.col("n") <= SMALL_BUCKET) | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 1))
+        asking = left.where(asks).select("bucket", F.col("node").alias("hub"), F.col("root").alias("own"))
+        new = _pairs(asking.join(left, "bucket").where("root != own"), "hub", "node").join(known.select("a", "b"), ["a", "b"], "left_anti")
+        known = known.union(common.written(verify(new, runs), f"{here}/verified"))
+        members = common.written(left.where(~asks).select("bucket", "node"), f"{here}/members")
+    return known.where(like)
+
+
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
