@@ -152,22 +152,24 @@ def read_archives(spark: SparkSession, files: DataFrame | list[str], payloads: b
 
 
 def with_originals(found: DataFrame) -> DataFrame:
-    """Join revisit records to the responses they name and take over their sizes and payloads.
+    """Join revisit records to the responses they name and take over their sizes and, if there, payloads.
 
     Only responses that some revisit names go to the join; both sides are salted, as one response
     may be named by very many revisits.
     """
+    taken = [x for x in ("payload_bytes", "payload") if x in found.columns]
     named = found.where("record_type = 'revisit'").select(F.col("refers_to").alias("to"), F.col("payload_digest").alias("by")).distinct()
     originals = found.where("record_type = 'response'").join(named, (F.col("page_id") == F.col("to")) & (F.col("payload_digest") == F.col("by")), "left_semi")
-    originals = originals.select(F.col("page_id").alias("to"), F.col("payload_digest").alias("by"), F.col("payload_bytes").alias("own_bytes"), F.col("payload").alias("own")).dropDuplicates(["to", "by"])
+    originals = originals.select(F.col("page_id").alias("to"), F.col("payload_digest").alias("by"), *(F.col(x).alias(f"own_{x}") for x in taken)).dropDuplicates(["to", "by"])
     salted = originals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     revisits = found.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = revisits.join(salted, (F.col("refers_to") == F.col("to")) & (F.col("payload_digest") == F.col("by")) & (revisits.salt == salted.salt), "left")
-    whole = joined.select("page_id", "url", F.col("own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.col("own").alias("payload"))
+    whole = joined.select(*(F.col(f"own_{x}").alias(x) if x in taken else F.col(x) for x in found.columns))
     return found.where("record_type = 'response'").unionByName(whole)
 
 
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Write the pages to archives, read them back and resolve the revisits."""
     made = write_archives(pages, folder)
-    return with_originals(read_archives(pages.sparkSession, made)).drop("payload")
+    headers = common.written(read_archives(pages.sparkSession, made).drop("payload"), f"{folder}/headers")
+    return with_originals(headers)
