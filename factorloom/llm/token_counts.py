@@ -120,4 +120,4 @@ def count_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     """doc_id and n_tokens of every document, read from the flat files that are written first."""
     manifest = write_token_files(docs, folder, path, end_id, id_type)
     counts = scan(docs.sparkSession, manifest.select("file").distinct(), end_id, id_type, block_bytes)
-    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return manifest.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
