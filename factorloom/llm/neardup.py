@@ -183,20 +183,21 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """Root (smallest node) of every node with an edge, by alternating large and small stars over written tables."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    e, before, step = common.written(e, f"{folder}/star"), None, 0
-    while True:
+    """Root (smallest node) of every node with an edge, by alternating large and small stars; one written table a turn."""
+    e = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{folder}/star")
+    before, step = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), 0
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{folder}/large{step}m")
-        e = common.written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{folder}/large{step}")
-        least = common.written(e.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/small{step}m")
-        linked = e.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = common.written(linked.distinct(), f"{folder}/small{step}")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        e = common.written(small.distinct(), f"{folder}/stars{step}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
         before, step = now, step + 1
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
