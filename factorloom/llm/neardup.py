@@ -35,7 +35,7 @@ THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
 #: Buckets of up to so many nodes are spelled out after the first round.
-SMALL_BUCKET = 24
+SMALL_BUCKET = 100
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -169,8 +169,8 @@ def links(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> Dat
         left = common.written(placed.join(common.written(mixed, f"{here}/mixed"), "bucket"), f"{here}/left")
         if left.isEmpty():
             break
-        # the hubs of this turn: all of a small bucket's nodes, of a large one's about 2, 4, 8 ...
-        asks = (F.col("n") <= SMALL_BUCKET) | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 1))
+        # the hubs of this turn: all of a small bucket's nodes, of a large one about 8, 16, 32 ...
+        asks = (F.col("n") <= SMALL_BUCKET) | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 3))
         asking = left.where(asks).select("bucket", F.col("node").alias("hub"), F.col("root").alias("own"))
         new = _pairs(asking.join(left, "bucket").where("root != own"), "hub", "node").join(known.select("a", "b"), ["a", "b"], "left_anti")
         known = known.union(common.written(verify(new, runs), f"{here}/verified"))
