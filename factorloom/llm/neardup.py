@@ -9,9 +9,10 @@ Jaccard or their plain Jaccard similarity reaches the threshold. Classes are the
 
 Texts of the same words are one node. First every node of a bucket is verified against the bucket's
 hub, g - 1 pairs for g nodes. A bucket whose nodes are then all in one component can add nothing to the
-classes and is done. In any other, a few more hubs are verified against the nodes of other components,
-twice as many each turn, until every node has been a hub or the bucket is one component. No link between
-components that the bucket could give is lost, and groups of copies are not spelled out in pairs.
+classes and is done. In any other, the nodes outside the bucket's largest component are hubs, each verified
+against all nodes of other components: all at once if the pairs are few, else some, twice as many each
+turn, until every one has been a hub or the bucket is one component. No link between components that
+the bucket could give is lost, and groups of copies are not spelled out in pairs.
 
 Rows: a null or empty text is a class of its own; a text without words is a copy of equal texts only;
 texts of fewer than five words count as one run; a null id takes part, and its class is named by the
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from factorloom.llm import common, words
 
 THRESHOLD = 0.8
-BANDS = 24
-ROWS = 4
-#: Buckets of up to so many nodes are spelled out after the first round.
-SMALL_BUCKET = 100
+BANDS = 40
+ROWS = 7
+#: Pairs of a bucket that are verified in one turn.
+BUCKET_PAIRS = 20_000
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -154,27 +155,31 @@ def links(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> Dat
     """Linked pairs of nodes that connect all classes: a, b, plain, prob. `sketched` must be a written table."""
     nodes = sketched.where("bands is not null").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     nodes = common.written(nodes, f"{folder}/buckets")
-    hub = F.min_by("node", F.xxhash64("node", "bucket"))  # another one in each bucket, so that their stars overlap
+    hub = F.min_by("node", F.xxhash64("node", F.pmod("bucket", F.lit(3))))  # three orders, so that stars overlap and a node meets few hubs
     hubs = common.written(nodes.groupBy("bucket").agg(hub.alias("hub"), F.count("*").alias("n")).where("n >= 2"), f"{folder}/hubs")
     members = common.written(nodes.join(hubs, "bucket").select("bucket", "node", "hub"), f"{folder}/members")
     needed = common.written(members.select("node").distinct(), f"{folder}/needed")
     runs = common.written(_chosen(sketched.select("node", "runs", "weights"), needed, "node", "left_semi").dropDuplicates(["node"]), f"{folder}/runs")
     known = common.written(verify(_pairs(members.where("node != hub"), "hub", "node"), runs), f"{folder}/verified")
     members, like = members.drop("hub"), (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
-    for turn in range(64):
+    turn = 0
+    while True:
         here = f"{folder}/turn{turn}"
         rooted = components(known.where(like), here)
-        placed = members.join(rooted, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n")
-        left = common.written(placed.join(common.written(mixed, f"{here}/mixed"), "bucket"), f"{here}/left")
-        if left.isEmpty():
-            break
-        # the hubs of this turn: all of a small bucket's nodes, of a large one about 8, 16, 32 ...
-        asks = (F.col("n") <= SMALL_BUCKET) | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 3))
+        placed = common.written(members.join(rooted, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), f"{here}/placed")
+        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.sum("m").alias("n"), F.max("m").alias("most"))
+        left = common.written(placed.join(parts.where("n > most"), "bucket"), f"{here}/left")
+        # hubs of this turn: every node outside the bucket's largest component, or about 16, 32, 64 ... nodes where that is too many pairs
+        few = (F.col("n") - F.col("most")) * F.col("n") <= BUCKET_PAIRS
+        asks = (F.col("root") != F.col("top")) & (few | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 4)))
         asking = left.where(asks).select("bucket", F.col("node").alias("hub"), F.col("root").alias("own"))
         new = _pairs(asking.join(left, "bucket").where("root != own"), "hub", "node").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        known = known.union(common.written(verify(new, runs), f"{here}/verified"))
-        members = common.written(left.where(~asks).select("bucket", "node"), f"{here}/members")
+        fresh = common.written(verify(new, runs), f"{here}/verified")
+        known = known.union(fresh)
+        members = left.where(~few & ~asks).select("bucket", "node")
+        if members.isEmpty():
+            break
+        members, turn = common.written(members, f"{here}/members"), turn + 1
     return known.where(like)
 
 
