@@ -40,7 +40,7 @@ def delisting_events(px: DataFrame, rows: int = 30) -> DataFrame:
     days = ordinals(px, "date", "di")
     last = px.where("adj_close is not null").join(days, "date").groupBy("code").agg(F.max("di").alias("last_di"))
     total = days.agg(F.max("di").alias("n"))
-    return last.join(F.broadcast(total)).where("last_di < n - rows".replace("rows", str(rows))).select("code", (F.col("last_di") + 1).alias("di"))
+    return last.join(F.broadcast(total)).where(F.col("last_di") < F.col("n") - rows).select("code", (F.col("last_di") + 1).alias("di"))
 
 
 def delisted_by_date(px: DataFrame, days: int = 30) -> DataFrame:

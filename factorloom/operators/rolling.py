@@ -23,7 +23,7 @@ def full(agg: Column, value: str | Column, over: WindowSpec, least: int) -> Colu
 
 def variance_forecast(r: str, over: WindowSpec, least: int, days: float = 21) -> Column:
     """Next month's variance as `days` times the mean squared return of the frame."""
-    return full(days * F.avg(F.col(r) * F.col(r)), r, over, least)
+    return days * full(F.avg(F.col(r) * F.col(r)), r, over, least)
 
 
 def annual_vol(r: str, over: WindowSpec, w: int, periods: int = 252) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factorloom.plans import sql as views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,15 +15,26 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, and where SQL can express it, the SQL for its rows."""
+def query(name: str, select: str | None = None, ctes: str = "", floats: str = "", digits: int = 6, dates: str = "") -> Callable[[Query], Query]:
+    """Register a query, and the SQL for its rows where there is any.
+
+    `floats` are the columns rounded to `digits` on both sides: sums of floating-point numbers differ
+    in their last bits with the order of the rows. `dates` are given as text on both sides.
+    """
+    names = floats.split()
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = fn(spark, sf_dir)
+            shown = {c: F.round(F.col(c).cast("double"), digits) for c in names} | {c: F.col(c).cast("string") for c in dates.split()}
+            return df.withColumns(shown) if shown else df
+
+        QUERIES[name] = run
+        if select is not None:
+            ORACLES[name] = views.statement(select, ctes, names, digits, dates.split())
         return fn
 
     return add
