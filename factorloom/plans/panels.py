@@ -45,7 +45,7 @@ def s05b(spark, d):
     return files.unpivot_sheet(wide, "code", "month", "pbr").join(names, "code", "left_semi")
 
 
-@query("S06_sectioned_file", "SELECT date, 'd' || row_number() OVER (PARTITION BY date ORDER BY series) AS name, r AS value FROM series_day WHERE year(date) = 1996 AND series IN ('los', 'win')", floats="value", dates="date")
+@query("S06_sectioned_file", "SELECT date, CASE WHEN series = 'los' THEN 'd1' ELSE 'd2' END AS name, r AS value FROM series_day WHERE year(date) = 1996 AND series IN ('los', 'win')", floats="value", dates="date")
 def s06(spark, d):
     wide = c.series_day(spark, d).where("year(date) = 1996 and series in ('los', 'win')").groupBy("date").pivot("series", ["los", "win"]).agg(F.first("r"))
     return files.sectioned(files.write_sectioned(wide.select("date", F.col("los").alias("d1"), F.col("win").alias("d2")), "Average Returns -- Daily"), "Average Returns -- Daily", ["d1", "d2"]).where("value is not null")
