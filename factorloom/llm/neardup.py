@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 BANDS = 40
 ROWS = 7
 #: Pairs of a bucket that are verified in one turn.
-BUCKET_PAIRS = 20_000
+BUCKET_PAIRS = 2_000
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -169,9 +169,9 @@ def links(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> Dat
         placed = common.written(members.join(rooted, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), f"{here}/placed")
         parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.sum("m").alias("n"), F.max("m").alias("most"))
         left = common.written(placed.join(parts.where("n > most"), "bucket"), f"{here}/left")
-        # hubs of this turn: every node outside the bucket's largest component, or about 16, 32, 64 ... nodes where that is too many pairs
+        # hubs of this turn: every node outside the bucket's largest component, or about 4, 8, 16 ... nodes where that is too many pairs
         few = (F.col("n") - F.col("most")) * F.col("n") <= BUCKET_PAIRS
-        asks = (F.col("root") != F.col("top")) & (few | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 4)))
+        asks = (F.col("root") != F.col("top")) & (few | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 2)))
         asking = left.where(asks).select("bucket", F.col("node").alias("hub"), F.col("root").alias("own"))
         new = _pairs(asking.join(left, "bucket").where("root != own"), "hub", "node").join(known.select("a", "b"), ["a", "b"], "left_anti")
         fresh = common.written(verify(new, runs), f"{here}/verified")
