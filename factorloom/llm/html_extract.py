@@ -4,7 +4,8 @@ A page is read into a tree of elements. Boosted trees give each element the log-
 in or below it, from its tag, depth, the density of text and links in its subtree, hashed tokens of
 its attributes and those above it, and its siblings. Decoding chooses, bottom up, the best labels of
 the whole tree under the rule that an element is kept only if its parent is: no kept descendant has a
-dropped ancestor. The text of kept elements, block by block, is the page's main text.
+dropped ancestor. Text directly in the page's body, run by run between its elements, is labelled like an
+element. The text of kept elements and runs, block by block, is the page's main text.
 
 The trees are trained here, on a bounded set of pages that a generator writes in many layouts with the
 main text known; no page of a table is used.
@@ -20,6 +21,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -45,10 +47,12 @@ SILENT = frozenset("script style head title noscript template svg math iframe ob
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of these, up to the boundary.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary span a label button".split()
+TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary span a label button #text".split()
 TAG_NUMBER = {t: i + 1 for i, t in enumerate(TAGS)}
 #: Attribute tokens are hashed to so many features.
 HASHED = 48
+#: Text of no letters: blanks, and the marks of training pages.
+EMPTY = re.compile(r"[\s\x01-\x04]*")
 
 
 class Node:
@@ -77,6 +81,31 @@ def tokens_of(attrs: str) -> tuple[int, ...]:
 
 
 def parse(page: str) -> Node:
+    """The tree of a page's elements, and of the runs of text in none of them, under a root."""
+    root = elements(page)
+    parts, run = [], []
+
+    def close() -> None:
+        if all(p is None or EMPTY.fullmatch(p) for p in run):
+            parts.extend(run)
+        else:
+            node = Node("#text", "", root)
+            node.parts = run[:]
+            parts.append(node)
+        run.clear()
+
+    for p in root.parts:
+        if isinstance(p, Node):
+            close()
+            parts.append(p)
+        else:
+            run.append(p)
+    close()
+    root.parts, root.children = parts, [p for p in parts if isinstance(p, Node)]
+    return root
+
+
+def elements(page: str) -> Node:
     """The tree of a page's elements under a root."""
     root = Node("html", "", None)
     stack: list[tuple[str, Node]] = [("html", root)]
@@ -171,17 +200,24 @@ def features(nodes: list[Node]) -> np.ndarray:
             a[p] += a[i]
     total = max(1.0, text[0])
     above_links = np.zeros(n)
+    place, alike, largest = np.zeros(n, int), np.ones(n), text.copy()  # among all siblings; the root has none
+    for v in nodes:
+        if v.children:
+            count = Counter(k.tag for k in v.children)
+            most = max(text[k.index] for k in v.children)
+            for j, k in enumerate(v.children):
+                place[k.index], alike[k.index], largest[k.index] = j, count[k.tag] / len(v.children), most
     for i, v in enumerate(nodes):
         p = parent[i]
         kin = v.parent.children if v.parent else [v]
-        pos = kin.index(v) if len(kin) < 64 else 32
+        pos = int(place[i])
         tags = [TAG_NUMBER.get(v.tag, 0), TAG_NUMBER.get(v.parent.tag, 0) if v.parent else 0, TAG_NUMBER.get(v.parent.parent.tag, 0) if v.parent and v.parent.parent else 0]
         above_links[i] = linked[p] / max(1.0, text[p]) if p >= 0 else 0
         before, after = kin[pos - 1] if pos else None, kin[pos + 1] if pos + 1 < len(kin) else None
         x[i, :27] = (
             *tags, v.depth, np.log1p(text[i]), np.log1p(own[i]), text[i] / size[i], text[i] / total, linked[i] / max(1.0, text[i]), links[i] / size[i], np.log1p(size[i]), np.log1p(paragraphs[i]),
-            stops[i] / max(1.0, text[i]) * 100, len(v.children), len(kin), pos, pos / len(kin), np.mean([k.tag == v.tag for k in kin[:64]]), TAG_NUMBER.get(before.tag, 0) if before else -1, TAG_NUMBER.get(after.tag, 0) if after else -1,
-            text[p] / total if p >= 0 else 1, text[i] / max(1.0, text[p]) if p >= 0 else 1, above_links[i], np.log1p(max((text[k.index] for k in kin[:64]), default=0)), i / n, v.tag in ("nav", "header", "footer", "aside", "form"), v.tag in ("article", "main"),
+            stops[i] / max(1.0, text[i]) * 100, len(v.children), len(kin), pos, pos / len(kin), alike[i], TAG_NUMBER.get(before.tag, 0) if before else -1, TAG_NUMBER.get(after.tag, 0) if after else -1,
+            text[p] / total if p >= 0 else 1, text[i] / max(1.0, text[p]) if p >= 0 else 1, above_links[i], np.log1p(largest[i]), i / n, v.tag in ("nav", "header", "footer", "aside", "form"), v.tag in ("article", "main"),
         )
         for t in v.tokens:
             x[i, 27 + t] = 1
@@ -208,9 +244,11 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
 def joined(nodes: list[Node], keep: np.ndarray) -> str:
     """Text of the kept nodes: blocks with single blanks inside, joined by one blank.
 
-    Text in no element but the root counts only where no element is kept.
+    Where no node is kept, all text in no element counts.
     """
-    root, loose = nodes[0], not keep[1:].any()
+    root = nodes[0]
+    if not keep[1:].any():
+        keep = np.array([v.tag == "#text" for v in nodes])
     out: list[str] = []
 
     def walk(v: Node) -> None:
@@ -220,8 +258,7 @@ def joined(nodes: list[Node], keep: np.ndarray) -> str:
                 if p is None:
                     out.append("\n")
                 elif type(p) is str:
-                    if loose or len(todo) > 1:
-                        out.append(entities.unescape(p))
+                    out.append(entities.unescape(p))
                 elif keep[p.index]:
                     todo.append(iter(p.parts))
                     break
@@ -356,10 +393,14 @@ class Writer:
             main = f'<div class="{r.choice(self.CONTENT)}">{inner}</div>'
         else:
             main = f'<div id="{r.choice(self.CONTENT)}"><div>{inner}</div></div>'
+        if r.random() < 0.1:  # an article in no element of its own
+            main = title + "".join(r.choice([b, f"{self.text(*r.choice([(3, 25), (3, 150), (100, 300)]))}<br><br>"]) for b in body)
         main = f"<!--[-->{main}<!--]-->"
         before = "".join(self.boiler(r.choice(["nav", "nav", "header", "ad", "notice", "form", "share", "aside"])) for _ in range(r.randint(0, 4)))
         after = "".join(self.boiler(r.choice(["footer", "footer", "aside", "comments", "ad", "share", "notice", "form", "nav"])) for _ in range(r.randint(0, 4)))
         whole = before + main + after
+        if r.random() < 0.1:  # boilerplate in no element of its own
+            whole = r.choice([f"{self.text(1, 6)}{whole}", f"{whole}{r.choice(['&copy; ', ''])}{self.text(1, 12)}", f'<a href="/">{self.text(1, 2)}</a> | {self.text(1, 3)}{whole}'])
         if r.random() < 0.35:
             whole = f"<div{self.attr(['wrapper', 'container', 'page', 'site', 'layout'])}>{whole}</div>"
         return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{self.text(1, 8)}</title><style>p{{margin:0}}</style><script>var t='<p>';</script></head><body>{whole}" + r.choice(["</body></html>", "</body></html>", ""])
