@@ -3,9 +3,11 @@
 A text is the weighted set of its runs of five words; a run's weight is 1 + ln(times). ProbMinHash lets
 every run arrive by a Poisson process whose rate is its weight, each arrival at a random register; a
 register keeps the run that came first, and a run stops as soon as its time is beyond all registers
-of the text. Two texts agree in a register with their probability Jaccard similarity. Bands of
-registers give candidates, which are verified on all runs: texts are linked if their probability
-Jaccard or their plain Jaccard similarity reaches the threshold. Classes are the connected components.
+of the text. Two texts agree in a register with their probability Jaccard similarity. A text that repeats
+runs has a second set of registers with all weights 1, which agree with those of another text, or with the
+only ones of a text without repeats, by plain Jaccard similarity. Bands of registers give candidates, which
+are verified on all runs: texts are linked if their probability Jaccard or their plain Jaccard similarity
+reaches the threshold. Classes are the connected components.
 
 Texts of the same words are one node. First every node of a bucket is verified against the bucket's
 hub, g - 1 pairs for g nodes. A bucket whose nodes are then all in one component can add nothing to the
@@ -65,6 +67,15 @@ def registers(row: np.ndarray, run: np.ndarray, weight: np.ndarray, n_rows: int,
     return kept.reshape(n_rows, m)
 
 
+def band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys (n x bands) of the bands of registers."""
+    regs = regs.reshape(len(regs), bands, rows)
+    key = np.zeros((len(regs), bands), np.uint64)
+    for k in range(rows):
+        key = words.mix(key * _STEP + regs[:, :, k])
+    return words.mix(key + np.arange(bands, dtype=np.uint64)).astype(np.int64)
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Every row's node, band keys and runs: doc_id, node, bands, runs (32 bits each, sorted), weights (empty: all 1)."""
 
@@ -75,11 +86,11 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             stream = words.hashed_words(texts)
             row, run, times = words.counted(words.shingles(stream))
             weight = 1 + np.log(times)
-            regs = registers(row, run, weight, n, bands * rows).reshape(n, bands, rows)
-            key = np.zeros((n, bands), np.uint64)
-            for k in range(rows):
-                key = words.mix(key * _STEP + regs[:, :, k])
-            key = words.mix(key + np.arange(bands, dtype=np.uint64)).astype(np.int64)
+            key = band_keys(registers(row, run, weight, n, bands * rows), bands, rows)
+            repeats = np.unique(row[times > 1])
+            own = np.isin(row, repeats)
+            plain = band_keys(registers(np.searchsorted(repeats, row[own]), run[own], np.ones(own.sum()), len(repeats), bands * rows), bands, rows)
+            second = dict(zip(repeats.tolist(), plain, strict=True))
             short = (run >> np.uint64(32)).astype("<u4")
             alone = np.ones(len(row), bool)  # runs of a text whose 32 bits are equal count as one
             alone[1:] = (short[1:] != short[:-1]) | (row[1:] != row[:-1])
@@ -94,7 +105,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                     raw = texts[i].as_py()
                     digest = hashlib.blake2b(b"text" + raw.encode("utf-8", "surrogatepass"), digest_size=8).digest() if raw else None
                 nodes.append(int.from_bytes(digest, "little", signed=True) if digest else None)
-                keys.append(key[i] if a < b else None)
+                keys.append((np.union1d(key[i], second[i]) if i in second else key[i]) if a < b else None)
                 runs.append(short[ends[i] : ends[i + 1]].tobytes())
                 own = light[ends[i] : ends[i + 1]]
                 weights.append(b"" if (own == 1).all() else own.tobytes())

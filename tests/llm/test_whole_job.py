@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from factorloom.llm import html_extract
+from factorloom.llm import html_extract, neardup
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +37,26 @@ def test_siblings_beyond_64_count_in_features():
     assert x[2:, 17] == pytest.approx([81 / 82] * 80 + [1 / 82, 81 / 82])  # share of equal tags
     assert x[2:, 23] == pytest.approx(np.log1p(250))  # the largest text
     assert x[81, 19] == html_extract.TAG_NUMBER["h2"] and x[2, 18] == -1
+
+
+def test_plain_copies_share_a_band_whatever_their_counts(spark):
+    """Pairs of plain similarity 0.8 or more, whose lines are repeated differently."""
+    rows, rng = [], np.random.default_rng(5)
+    for k in range(60):
+        w = [f"w{k}x{i}" for i in range(120)]
+        line, other = " ".join(w[:24]), [*w[:112], *(f"v{k}x{i}" for i in range(4))]
+        rows.append((2 * k, f"{' '.join(w)} {' '.join([line] * 100)}"))
+        rows.append((2 * k + 1, f"{' '.join(w)} {line} {line}" if k % 2 else f"{' '.join(other)} {' '.join([line] * int(rng.integers(2, 4)))}"))
+    got = neardup.sketch(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    near = {r.doc_id: (np.frombuffer(r.runs, "<u4"), np.frombuffer(r.weights, "<f4") if r.weights else np.ones(len(r.runs) // 4, np.float32), set(r.bands)) for r in got}
+    for k in range(60):
+        (a, wa, x), (b, wb, y) = near[2 * k], near[2 * k + 1]
+        plain, prob = neardup.similarity(a, wa, b, wb)
+        assert plain >= 0.8 > prob
+        assert x & y
+
+
+def test_texts_without_repeats_have_no_second_bands(spark):
+    once = " ".join(f"w{i}" for i in range(50))
+    got = {r.doc_id: r.bands for r in neardup.sketch(spark.createDataFrame([(1, once), (2, f"{once} {once}")], "doc_id long, text string")).collect()}
+    assert len(got[1]) == neardup.BANDS < len(got[2]) <= 2 * neardup.BANDS
