@@ -7,7 +7,8 @@ the ids and the documents that blocks before it left open, and so every document
 
 Rows: an empty or null text is a document of no tokens; ids after a file's last end id form a
 document only if there are any; repeated rows and ids count as documents of their own; an empty
-table gives no rows. Other columns are not read.
+table gives no rows; a text that spells out a token of the vocabulary such as <|endoftext|> is one
+document, in which that token counts. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 
 from factorloom.llm import common, store, tokens
 
-#: The vocabulary's end-of-text id (fixed value of the vocabulary file).
-END_ID = 49407
-#: Ids of this vocabulary fit 16 bits.
+#: Closes a document. No text gives it: it is beyond the vocabulary, whose own end-of-text token a text may spell out.
+END_ID = 0xFFFF
+#: Ids of this vocabulary and END_ID fit 16 bits.
 ID_TYPE = "<u2"
 #: Bytes of a token file that one row of the scan reads.
 BLOCK_BYTES = 4_000_000
@@ -53,6 +54,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
             with store.new_file(uri) as out:
                 while part is not None and size < FILE_BYTES:
                     got = encode(common.as_text(part.column("text")))
+                    if ((got.values == end_id) | (got.values > np.iinfo(id_type).max)).any():
+                        raise ValueError(f"a text gives the id {end_id}, which closes documents, or one beyond {id_type}")
                     n = got.lengths() + 1
                     flat = np.full(n.sum(), end_id, id_type)
                     flat[np.arange(len(got.values)) + np.repeat(np.arange(len(n)), n - 1)] = got.values

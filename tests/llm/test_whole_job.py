@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from factorloom.llm import html_extract, neardup
+from factorloom.llm import common, html_extract, neardup, token_counts, tokens
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,18 @@ def test_texts_without_repeats_have_no_second_bands(spark):
     once = " ".join(f"w{i}" for i in range(50))
     got = {r.doc_id: r.bands for r in neardup.sketch(spark.createDataFrame([(1, once), (2, f"{once} {once}")], "doc_id long, text string")).collect()}
     assert len(got[1]) == neardup.BANDS < len(got[2]) <= 2 * neardup.BANDS
+
+
+@pytest.mark.parametrize("block", [6, 4_000_000])
+def test_token_counts_of_texts_that_spell_out_the_end_token(spark, block):
+    texts = ["one", "two <|endoftext|> three", "<|endoftext|>", "four five six seven", "<|endoftext|><|endoftext|> x", "last of all"]
+    e = tokens.Encoder(tokens.vocabulary_path())
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(table, common.shared_dir(spark), block_bytes=block).collect()}
+    assert got == {i: len(e.tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_token_files_reject_an_end_id_that_a_text_gives(spark):
+    table = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    with pytest.raises(Exception, match="closes documents"):
+        token_counts.count_tokens(table, common.shared_dir(spark), end_id=49407).collect()
