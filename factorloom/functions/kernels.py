@@ -119,8 +119,8 @@ def tree(x: np.ndarray, y: np.ndarray, depth: int, leaf: int, columns: int | Non
     return lambda z: np.array([one(r) for r in z])
 
 
-def forest(trees: int = 60, depths: tuple = (3, 5, 30), leaves: tuple = (5, 10), seed: int = 42) -> Callable[[np.ndarray, np.ndarray], Predict]:
-    """Bagged trees; depth and leaf size by forward splits with a few trees."""
+def forest(trees: int = 300, depths: tuple = (3, 5, 30), leaves: tuple = (5, 10), seed: int = 42) -> Callable[[np.ndarray, np.ndarray], Predict]:
+    """Bagged trees; depth and leaf size by forward splits with as many trees."""
 
     def bag(x: np.ndarray, y: np.ndarray, n: int, depth: int, leaf: int) -> Predict:
         rng = np.random.default_rng(seed)
@@ -128,13 +128,13 @@ def forest(trees: int = 60, depths: tuple = (3, 5, 30), leaves: tuple = (5, 10),
         return lambda z: np.mean([t(z) for t in own], axis=0)
 
     def fit(x: np.ndarray, y: np.ndarray) -> Predict:
-        loss = {(d, m): sum(((y[te] - bag(x[tr], y[tr], 8, d, m)(x[te])) ** 2).mean() for tr, te in forward_splits(len(y))) for d in depths for m in leaves}
+        loss = {(d, m): sum(((y[te] - bag(x[tr], y[tr], trees, d, m)(x[te])) ** 2).mean() for tr, te in forward_splits(len(y))) for d in depths for m in leaves}
         return bag(x, y, trees, *min(loss, key=loss.get))
 
     return fit
 
 
-def boosting(rounds: int = 60, rates: tuple = (0.03, 0.1), depths: tuple = (3, 6), leaf: int = 5) -> Callable[[np.ndarray, np.ndarray], Predict]:
+def boosting(rounds: int = 100, rates: tuple = (0.03, 0.1), depths: tuple = (3, 6), leaf: int = 5) -> Callable[[np.ndarray, np.ndarray], Predict]:
     """Boosted trees on residuals; rate and depth by forward splits."""
 
     def boost(x: np.ndarray, y: np.ndarray, rate: float, depth: int) -> Predict:
@@ -199,7 +199,7 @@ def mlp(hidden: tuple = (32, 16), decay: float = 1e-2, steps: int = 400, rate: f
     return fit
 
 
-def lstm(hidden: int = 12, steps: int = 120, rate: float = 5e-3, seed: int = 42) -> Callable[[np.ndarray, np.ndarray], Predict]:
+def lstm(hidden: int = 24, steps: int = 150, rate: float = 5e-3, seed: int = 42) -> Callable[[np.ndarray, np.ndarray], Predict]:
     """One recurrent layer with gates over sequences (n, length, columns), read at the last step."""
 
     def fit(x: np.ndarray, y: np.ndarray) -> Predict:
@@ -254,6 +254,24 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 0.5, steps: int = 50) -> P
     return lambda q: 1 / (1 + np.exp(-np.clip(w[0] + q @ w[1:], -35, 35)))
 
 
+def boosted_logistic(rounds: int = 100, rate: float = 0.05, depth: int = 3, leaf: int = 20) -> Callable[[np.ndarray, np.ndarray], Predict]:
+    """Boosted trees for a class of 0 or 1: trees on the residuals, one Newton step a leaf; predictions are probabilities."""
+
+    def fit(x: np.ndarray, y: np.ndarray) -> Predict:
+        base, own = np.log(y.mean() / (1 - y.mean())), []
+        odds = np.full(len(y), base)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-odds))
+            t = tree(x, y - p, depth, leaf)
+            means, at = np.unique(t(x), return_inverse=True)
+            step = np.bincount(at, y - p) / np.maximum(np.bincount(at, p * (1 - p)), 1e-12)
+            own.append((t, means, step))
+            odds = odds + rate * step[at]
+        return lambda z: 1 / (1 + np.exp(-(base + rate * sum(s[np.searchsorted(m, t(z))] for t, m, s in own))))
+
+    return fit
+
+
 def pareto_tail(losses: np.ndarray, share: float = 0.85, p: float = 0.05) -> tuple[float, float, int]:
     """Expected shortfall in per cent from a generalised Pareto law over the threshold, its shape, and exceedances.
 

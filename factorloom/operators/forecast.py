@@ -27,6 +27,9 @@ ESTIMATORS: dict[str, tuple[list[str], Callable]] = {
     "MLP": (HARX, kernels.standardised(kernels.mlp())),
 }
 
+#: Name of each classifier and how it is fitted.
+CLASSIFIERS: dict[str, Callable] = {"Logit": kernels.standardised(kernels.logistic), "HGBc": kernels.boosted_logistic()}
+
 
 def features(series_day: DataFrame) -> DataFrame:
     """Race rows with logarithmic volatility terms and states, all non-null, t counted anew."""
@@ -104,21 +107,22 @@ def ensemble(forecasts: DataFrame, models: list[str], name: str = "ENS") -> Data
     return forecasts.where(F.col("model").isin(models)).groupBy("series", "t").agg(F.avg("f").alias("f")).select("series", "t", F.lit(name).alias("model"), "f")
 
 
-def crash_probability(x: DataFrame, columns: list[str], fall: float, estimator: Callable = kernels.logistic, least: int = 5, first: int = race.FIRST, refit: int = race.REFIT) -> DataFrame:
-    """Probability of a month under `fall`; folds with fewer than `least` such training months give none."""
+def crash_probability(x: DataFrame, columns: list[str], fall: float, classifiers: dict[str, Callable] = CLASSIFIERS, least: int = 5, first: int = race.FIRST, refit: int = race.REFIT) -> DataFrame:
+    """Probability of a month under `fall` by each classifier; folds with fewer than `least` such training months give none."""
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        series, t0 = key
+        series, t0, model = key
         rows = rows.sort_values("t")
         train, test = rows[rows.t < t0], rows[rows.t >= t0]
         hit = (train.ret_next < fall).to_numpy().astype(float)
         if hit.sum() < least or hit.sum() > len(hit) - least:
-            return pd.DataFrame({"series": pd.Series(dtype=str), "t": pd.Series(dtype="int64"), "p": pd.Series(dtype=float), "hit": pd.Series(dtype="int32")})
-        p = kernels.standardised(estimator)(train[columns].to_numpy(), hit)(test[columns].to_numpy())
-        return pd.DataFrame({"series": series, "t": test.t.to_numpy(), "p": np.clip(p, 0, 1), "hit": (test.ret_next < fall).astype(int).to_numpy()})
+            return pd.DataFrame({"series": pd.Series(dtype=str), "t": pd.Series(dtype="int64"), "model": pd.Series(dtype=str), "p": pd.Series(dtype=float), "hit": pd.Series(dtype="int32")})
+        p = classifiers[model](train[columns].to_numpy(), hit)(test[columns].to_numpy())
+        return pd.DataFrame({"series": series, "t": test.t.to_numpy(), "model": model, "p": np.clip(p, 0, 1), "hit": (test.ret_next < fall).astype(int).to_numpy()})
 
     folds = fold_rows(x.select("series", "t", "ret_next", *columns), first, refit).where(F.col("t") < F.col("t0") + refit)
-    return folds.groupBy("series", "t0").applyInPandas(fit, "series string, t long, p double, hit int")
+    folds = folds.withColumn("model", F.explode(F.array(*map(F.lit, classifiers))))
+    return folds.groupBy("series", "t0", "model").applyInPandas(fit, "series string, t long, model string, p double, hit int")
 
 
 def auc(scored: DataFrame, by: list[str]) -> DataFrame:
