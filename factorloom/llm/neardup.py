@@ -29,7 +29,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import common, words
@@ -76,8 +76,13 @@ def band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return words.mix(key + np.arange(bands, dtype=np.uint64)).astype(np.int64)
 
 
+def row_key() -> Column:
+    """64 bits of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Every row's node, band keys and runs: doc_id, node, bands, runs (32 bits each, sorted), weights (empty: all 1)."""
+    """Every row's node, band keys and runs: doc_id, _row_key, node, bands, runs (32 bits each, sorted), weights (empty: all 1)."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -110,13 +115,13 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 own = light[ends[i] : ends[i + 1]]
                 weights.append(b"" if (own == 1).all() else own.tobytes())
             return pa.record_batch(
-                [part.column("doc_id").cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(runs, pa.binary()), pa.array(weights, pa.binary())],
-                ["doc_id", "node", "bands", "runs", "weights"],
+                [part.column("doc_id").cast(pa.int64()), part.column("_row_key"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(runs, pa.binary()), pa.array(weights, pa.binary())],
+                ["doc_id", "_row_key", "node", "bands", "runs", "weights"],
             )
 
         return kernel
 
-    return common.map_text(docs.select("doc_id", "text"), "text", make, "doc_id long, node long, bands array<long>, runs binary, weights binary")
+    return common.map_text(docs.select("doc_id", "text", row_key().alias("_row_key")), "text", make, "doc_id long, _row_key long, node long, bands array<long>, runs binary, weights binary")
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
@@ -216,27 +221,36 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def classes(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (smallest id of the class) and class_size of every row."""
+def placed(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, _row_key, class_id, class_size and kept, the key of the row that stands for the class (null in a class of one), of every row."""
     sketched = common.written(sketch(docs), f"{folder}/sketch")
     rooted = components(links(sketched, folder, threshold), folder)
-    copies = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_key")).alias("first")
+    copies = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), first, F.count("*").alias("copies"))
     named = common.written(copies.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{folder}/named")
-    large = common.written(named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")).where("class_size > 1"), f"{folder}/classes")
+    large = named.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("first"), F.sum("copies").alias("class_size")).where("class_size > 1")
+    large = common.written(large.select("root", "class_id", "class_size", F.col("first._row_key").alias("kept")), f"{folder}/classes")
     of = common.written(named.select("node", "root").join(large, "root").drop("root"), f"{folder}/of")
-    return sketched.select("doc_id", "node").join(of, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return sketched.select("doc_id", "_row_key", "node").join(of, "node", "left").select("doc_id", "_row_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "kept")
+
+
+def classes(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (smallest id of the class) and class_size of every row."""
+    return placed(docs, folder, threshold).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the smallest id, in all its columns.
 
-    Rows with a null id stay unless their class has an id; of repeated rows of a kept id one stays.
+    Rows are told apart by id and text, so an id may stand in several classes. A row without an id stays
+    only if its class has none with one. Of rows with the same id and text one stays; null and
+    empty texts are classes of their own, and without an id all of them stay.
     """
-    found = common.written(classes(docs, folder, threshold), f"{folder}/result")
-    gone = common.written(found.where("doc_id != class_id").select("doc_id").distinct(), f"{folder}/gone")
-    left = _chosen(docs, gone, "doc_id", "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    found = common.written(placed(docs, folder, threshold), f"{folder}/result")
+    gone = common.written(found.where("_row_key != kept").select("_row_key").distinct(), f"{folder}/gone")
+    again = found.where("(kept is null and doc_id is not null) or _row_key = kept").groupBy("_row_key").agg(F.count("*").alias("n")).where("n > 1").select("_row_key")
     again = common.written(again, f"{folder}/again")
-    if again.isEmpty():
-        return left
-    return _chosen(left, again, "doc_id", "left_anti").unionByName(_chosen(left, again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    left = _chosen(docs.withColumn("_row_key", row_key()), gone, "_row_key", "left_anti")
+    if not again.isEmpty():
+        left = _chosen(left, again, "_row_key", "left_anti").unionByName(_chosen(left, again, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
+    return left.select(*docs.columns)

@@ -75,3 +75,11 @@ def test_token_files_reject_an_end_id_that_a_text_gives(spark):
     table = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
     with pytest.raises(Exception, match="closes documents"):
         token_counts.count_tokens(table, common.shared_dir(spark), end_id=49407).collect()
+
+
+def test_one_row_of_each_class_stays_whatever_its_ids(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey", "sun moon star sky sea land")
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, b), (None, c), (None, c), (None, d), (5, d), (2, "its own text"), (7, None), (None, None), (None, "")]
+    got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), common.shared_dir(spark))
+    want = [(1, a), (2, b), (None, c), (5, d), (2, "its own text"), (7, None), (None, None), (None, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
