@@ -17,6 +17,8 @@ from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
 
 REPS = 200
+#: Replicates of the Pareto tails, which no SQL repeats.
+TAIL_REPS = 2000
 
 
 def scored(spark, d):
@@ -229,9 +231,9 @@ def k17(spark, d):
 
 @query("K18_pareto_bootstrap")
 def k18(spark, d):
-    s = sample(spark, d).where("model in ('RW126', 'EWMA')").select("series", "b", "model", "r")
-    t = tails(s.where("b < 50"), ["series", "b", "model"], "series string, b int, model string").where("not isnan(es5)")
-    return bs.interval(bs.against(t, "es5", "RW126", ["series", "b"]), ["series", "model"])
+    s = bs.resampled(strats(spark, d), TAIL_REPS, race.FIRST).select("series", "b", "model", "r")
+    t = tails(s, ["series", "b", "model"], "series string, b int, model string").unpivot(["series", "b", "model"], ["es5", "es1"], "level", "es").where("not isnan(es)")
+    return bs.interval(bs.against(t, "es", "RW126", ["series", "b", "level"]), ["series", "model", "level"])
 
 
 @query("K19_hill", "SELECT series, 1 / (avg(CASE WHEN rn <= 20 THEN ln(-r) END) - max(CASE WHEN rn = 21 THEN ln(-r) END)) AS alpha FROM (SELECT series, r, row_number() OVER (PARTITION BY series ORDER BY r) AS rn FROM series_day WHERE r < 0) GROUP BY 1", floats="alpha", digits=4)

@@ -37,3 +37,13 @@ def test_boosted_classifier_learns():
     y = (x[:, 0] * x[:, 1] > 0).astype(float)  # no line separates these
     p = kernels.boosted_logistic()(x[:300], y[:300])(x[300:])
     assert ((p > 0.5) == y[300:]).mean() > 0.8 and (p > 0).all() and (p < 1).all()
+
+
+def test_pareto_bootstrap_of_all_models_and_levels(spark, monkeypatch):
+    from factorloom.plans import inference
+
+    assert inference.TAIL_REPS == 2000
+    monkeypatch.setattr(inference, "TAIL_REPS", 60)
+    got = inference.k18(spark, DATA).toPandas()
+    models = {r.model for r in inference.strats(spark, DATA).select("model").distinct().collect()} - {"RW126"}
+    assert set(got.model) == models and set(got.level) == {"es5", "es1"}
