@@ -15,7 +15,9 @@ from pyspark.sql.types import StructType
 #: Folder for written intermediate tables where the session names none (tests, local runs).
 LOCAL_SHARED = "/tmp/checkpoints"
 #: Bytes of text that a numeric kernel takes at once; bounds the memory of a task.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
+#: Bytes of a batch that the JVM hands to a Python worker, at most about.
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,13 @@ def hashed_share(key: Column, share: float, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the bytes of batches for Python workers, as rows may hold very long texts; a size that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column as one large_string array; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,7 +92,9 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBat
                         yield out
         finally:
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -9,12 +9,16 @@ only ones of a text without repeats, by plain Jaccard similarity. Bands of regis
 are verified on all runs: texts are linked if their probability Jaccard or their plain Jaccard similarity
 reaches the threshold. Classes are the connected components.
 
-Texts of the same words are one node. First every node of a bucket is verified against the bucket's
-hub, g - 1 pairs for g nodes. A bucket whose nodes are then all in one component can add nothing to the
-classes and is done. In any other, the nodes outside the bucket's largest component are hubs, each verified
-against all nodes of other components: all at once if the pairs are few, else some, twice as many each
-turn, until every one has been a hub or the bucket is one component. No link between components that
-the bucket could give is lost, and groups of copies are not spelled out in pairs.
+Texts of the same words are one node. A node's rank is how many others it meets over its buckets, so the
+centre of a group of copies ranks above its members. First every node of a bucket is verified against
+the bucket's hub, its node of highest rank: g - 1 pairs for g nodes. A bucket whose nodes are then all
+in one component can add nothing to the classes and is done. In any other, the highest node outside the
+bucket's largest component is verified against the nodes of other components, and in what is still not one
+component every node outside the largest is. These two turns take only pairs that a bound leaves
+possible: a node's runs are hashed to 1,024 bits by parity, and where two nodes' bits differ in h places,
+at least h runs are in one of them only, which limits both similarities from above. The bound is exact, so
+no link between components that a bucket could give is lost, and groups of copies are not spelled out in
+pairs.
 
 Rows: a null or empty text is a class of its own; a text without words is a copy of equal texts only;
 texts of fewer than five words count as one run; a null id takes part, and its class is named by the
@@ -25,11 +29,11 @@ doc_id and text are read. Nodes are named by 64-bit hashes and runs compared by
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factorloom.llm import common, words
@@ -37,8 +41,8 @@ from factorloom.llm import common, words
 THRESHOLD = 0.8
 BANDS = 40
 ROWS = 7
-#: Pairs of a bucket that are verified in one turn.
-BUCKET_PAIRS = 2_000
+#: 64-bit words of the parity bits that bound how many runs two nodes share.
+BOUND_WORDS = 16
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 500_000
 
@@ -162,41 +166,97 @@ def verify(pairs: DataFrame, runs: DataFrame) -> DataFrame:
                 prob.append(p)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(plain, pa.float64()), pa.array(prob, pa.float64())], ["a", "b", "plain", "prob"])
 
+    common.bounded(runs.sparkSession)
     left = runs.select(F.col("node").alias("a"), F.col("runs").alias("ra"), F.col("weights").alias("wa"))
     right = runs.select(F.col("node").alias("b"), F.col("runs").alias("rb"), F.col("weights").alias("wb"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long, plain double, prob double")
 
 
-def links(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Linked pairs of nodes that connect all classes: a, b, plain, prob. `sketched` must be a written table."""
+def bounds(runs: DataFrame) -> DataFrame:
+    """For nodes with runs and weights: number of runs, sum of weights, and parity bits of the runs."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(r, "<u4") for r in batch.column("runs").to_pylist()]
+            size = np.array([len(x) for x in each], np.int64)
+            mass = [float(np.frombuffer(w, "<f4").sum()) if w else float(k) for w, k in zip(batch.column("weights").to_pylist(), size, strict=True)]
+            flat, bits = np.concatenate([np.zeros(0, "<u4"), *each]).astype(np.int64), np.zeros(len(each) * BOUND_WORDS, np.uint64)
+            word = np.repeat(np.arange(len(each)), size) * BOUND_WORDS + (flat >> 6) % BOUND_WORDS
+            np.bitwise_xor.at(bits, word, np.uint64(1) << (flat % 64).astype(np.uint64))
+            yield pa.record_batch([batch.column("node"), pa.array(size), pa.array(mass), pa.array(list(bits.view(np.int64).reshape(-1, BOUND_WORDS)), pa.list_(pa.int64()))], ["node", "size", "mass", "bits"])
+
+    common.bounded(runs.sparkSession)
+    return runs.select("node", "runs", "weights").mapInArrow(measure, "node long, size long, mass double, bits array<long>")
+
+
+def possible(x: str, y: str, threshold: float) -> Column:
+    """Whether the bounds of two sides let either similarity reach the threshold."""
+    n, m = F.col(f"{x}.size"), F.col(f"{y}.size")
+    apart = sum((F.bit_count(F.col(f"{x}.bits")[k].bitwiseXOR(F.col(f"{y}.bits")[k])) for k in range(BOUND_WORDS)), F.lit(0))
+    both = F.least((n + m - apart) / 2, n, m)
+    plain = both >= (threshold - 1e-9) * (n + m - both)
+    share = lambda side: 1 - (F.col(f"{side}.size") - both) / F.col(f"{side}.mass")  # noqa: E731  runs of one side only weigh at least 1 each
+    weighted = (F.col(f"{x}.mass") > n) | (F.col(f"{y}.mass") > m)
+    return plain | (weighted & (share(x) >= threshold - 1e-6) & (share(y) >= threshold - 1e-6))
+
+
+def rooted(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
+    """Root of every node that is not its own: node, root. `sketched` must be a written table."""
+    like = (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
     nodes = sketched.where("bands is not null").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
     nodes = common.written(nodes, f"{folder}/buckets")
-    hub = F.min_by("node", F.xxhash64("node", F.pmod("bucket", F.lit(3))))  # three orders, so that stars overlap and a node meets few hubs
-    hubs = common.written(nodes.groupBy("bucket").agg(hub.alias("hub"), F.count("*").alias("n")).where("n >= 2"), f"{folder}/hubs")
-    members = common.written(nodes.join(hubs, "bucket").select("bucket", "node", "hub"), f"{folder}/members")
-    needed = common.written(members.select("node").distinct(), f"{folder}/needed")
-    runs = common.written(_chosen(sketched.select("node", "runs", "weights"), needed, "node", "left_semi").dropDuplicates(["node"]), f"{folder}/runs")
-    known = common.written(verify(_pairs(members.where("node != hub"), "hub", "node"), runs), f"{folder}/verified")
-    members, like = members.drop("hub"), (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
-    turn = 0
-    while True:
-        here = f"{folder}/turn{turn}"
-        rooted = components(known.where(like), here)
-        placed = common.written(members.join(rooted, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), f"{here}/placed")
-        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.sum("m").alias("n"), F.max("m").alias("most"))
-        left = common.written(placed.join(parts.where("n > most"), "bucket"), f"{here}/left")
-        # hubs of this turn: every node outside the bucket's largest component, or about 4, 8, 16 ... nodes where that is too many pairs
-        few = (F.col("n") - F.col("most")) * F.col("n") <= BUCKET_PAIRS
-        asks = (F.col("root") != F.col("top")) & (few | (F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < 2 ** (turn + 2)))
-        asking = left.where(asks).select("bucket", F.col("node").alias("hub"), F.col("root").alias("own"))
-        new = _pairs(asking.join(left, "bucket").where("root != own"), "hub", "node").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = common.written(verify(new, runs), f"{here}/verified")
-        known = known.union(fresh)
-        members = left.where(~few & ~asks).select("bucket", "node")
+    met = common.written(nodes.join(nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2"), "bucket"), f"{folder}/met")
+    ranked = met.join(met.groupBy("node").agg(F.sum("n").alias("rank")), "node").select("bucket", "node", "rank")
+    members = common.written(ranked, f"{folder}/members")
+    needed = members.select("node").distinct()
+    runs = common.written(_chosen(sketched.select("node", "runs", "weights"), common.written(needed, f"{folder}/needed"), "node", "left_semi").dropDuplicates(["node"]), f"{folder}/runs")
+
+    pairs = members.join(members.groupBy("bucket").agg(_highest().alias("hub")), "bucket").where("node != hub")
+    found = common.written(verify(_pairs(pairs, "hub", "node"), runs).where(like), f"{folder}/links0")
+    root = components(found, f"{folder}/turn0")
+    members = _mixed(members, root, f"{folder}/mixed0")
+    members = common.written(members.join(bounds(runs), "node"), f"{folder}/wide")
+    for turn in (1, 2):
         if members.isEmpty():
             break
-        members, turn = common.written(members, f"{here}/members"), turn + 1
-    return known.where(like)
+        outside, once = F.col("root") != F.col("top"), F.lit(True)
+        if turn == 1:
+            second = members.groupBy("bucket").agg(_highest(outside).alias("hub"))
+            asking = members.join(second, "bucket").where("node = hub").drop("hub")
+        else:
+            asking, once = members.where(outside), (F.col("y.root") == F.col("y.top")) | (F.col("x.node") < F.col("y.node"))
+        x, y = asking.alias("x"), members.alias("y")
+        open_ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", threshold)
+        pairs = x.join(y, open_).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node"))
+        found = common.written(verify(_pairs(pairs, "hub", "node"), runs).where(like), f"{folder}/links{turn}")
+        if found.isEmpty():
+            continue
+        root = _merged(root, found, f"{folder}/turn{turn}")
+        if turn == 1:
+            members = _mixed(members.drop("root", "top"), root, f"{folder}/mixed{turn}")
+    return root
+
+
+def _highest(where: Column | None = None) -> Column:
+    """The node of highest rank in a group, of those where a condition holds."""
+    rank = F.struct("rank", "node")
+    return F.max_by("node", rank if where is None else F.when(where, rank))
+
+
+def _mixed(members: DataFrame, root: DataFrame, folder: str) -> DataFrame:
+    """Members of the buckets that are not one component, with their root and the bucket's largest component."""
+    placed = common.written(members.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{folder}/placed")
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("top"), F.count("*").alias("parts"))
+    return common.written(placed.join(parts.where("parts > 1").drop("parts"), "bucket"), f"{folder}/left")
+
+
+def _merged(root: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """The roots after more links; only the roots that these join are looked at."""
+    of = lambda side: root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a != b")
+    new = components(ends, folder)
+    moved = root.join(new.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    return common.written(moved.unionByName(new), f"{folder}/roots")
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -204,17 +264,22 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """Root (smallest node) of every node with an edge, by alternating large and small stars; one written table a turn."""
-    e = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{folder}/star")
-    before, step = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first(), 0
+    """Root (smallest node) of every node that is not its own, by alternating large and small stars; one written table a turn."""
+
+    def put(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = common.written(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), f"{folder}/{name}")
+        return out, (seen.get["n"], seen.get["sum"])
+
+    e, before = put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "star")
+    step = 0
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = common.written(small.distinct(), f"{folder}/stars{step}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e, now = put(small.distinct(), f"stars{step}")
         if now == before:
             break
         before, step = now, step + 1
@@ -224,10 +289,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 def placed(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, _row_key, class_id, class_size and kept, the key of the row that stands for the class (null in a class of one), of every row."""
     sketched = common.written(sketch(docs), f"{folder}/sketch")
-    rooted = components(links(sketched, folder, threshold), folder)
+    root = rooted(sketched, folder, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_key")).alias("first")
     copies = sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), first, F.count("*").alias("copies"))
-    named = common.written(copies.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{folder}/named")
+    named = common.written(copies.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{folder}/named")
     large = named.groupBy("root").agg(F.min("least").alias("class_id"), F.min("first").alias("first"), F.sum("copies").alias("class_size")).where("class_size > 1")
     large = common.written(large.select("root", "class_id", "class_size", F.col("first._row_key").alias("kept")), f"{folder}/classes")
     of = common.written(named.select("node", "root").join(large, "root").drop("root"), f"{folder}/of")
