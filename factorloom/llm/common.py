@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Folder for written intermediate tables where the session names none (tests, local runs).
-LOCAL_SHARED = "/tmp/checkpoints"
+from factorloom.sources.shared import new_path
+
 #: Bytes of text that a numeric kernel takes at once; bounds the memory of a task.
 SLICE_BYTES = 4_000_000
 #: Bytes of a batch that the JVM hands to a Python worker, at most about.
@@ -25,9 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share, under spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share, under spark.checkpoint.dir; only a local session may go without that."""
+    return new_path(spark)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of written tables that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -58,6 +64,18 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's way to give freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda keep: 0)
+
+
+def tidy() -> None:
+    """Give memory that a kernel has freed back to the system: workers are kept from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def as_text(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """A text column as one large_string array; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,9 +108,10 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBat
                     out = kernel(part)
                     if out is not None:
                         yield out
+                    del out
+                    tidy()
         finally:
             gc.enable()
-            pa.default_memory_pool().release_unused()
 
     bounded(df.sparkSession)
     return df.mapInArrow(run, schema)

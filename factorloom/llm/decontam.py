@@ -15,7 +15,6 @@ empty table gives no rows. Only doc_id, item_id and the texts are read.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -33,6 +32,8 @@ BLOCK_BYTES = 32_000_000
 
 MATCH = "doc_id long, item_id long, item_shingles long, shared long, containment double"
 _FILTER_BITS = 22
+#: Items whose runs a task keeps for the next document.
+KEPT_RUNS = 10_000
 
 
 def runs_of(text: str, width: int = words.WIDTH) -> set[str]:
@@ -43,25 +44,30 @@ def runs_of(text: str, width: int = words.WIDTH) -> set[str]:
 
 
 class Items:
-    """Sketches of benchmark items by width of their runs and size class, and their runs."""
+    """Sketches of benchmark items by width of their runs and size class; an item's runs are made when it is a candidate."""
 
     def __init__(self, ids: list[int | None], texts: list[str], threshold: float = THRESHOLD):
-        self.ids, self.threshold = ids, threshold
-        self.runs = [runs_of(t) for t in texts]
-        self.width = [min(words.WIDTH, len(next(iter(r)).split(" "))) if r else 0 for r in self.runs]
+        self.ids, self.texts, self.threshold = ids, texts, threshold
+        self._runs: dict[int, frozenset[str]] = {}
+        stream = words.hashed_words(pa.array(texts, pa.large_string()))
+        self.width = np.minimum(words.WIDTH, stream.lengths())
         self.need = np.zeros(len(ids), np.int64)
-        parts: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for width in set(self.width) - {0}:
-            own = [i for i, w in enumerate(self.width) if w == width]
-            rows, values, _ = words.counted(words.shingles(words.hashed_words(pa.array([texts[i] for i in own], pa.large_string())), width))
-            for k, i in enumerate(own):
-                hashes = values[rows == k]
-                n = len(hashes)
-                must = math.ceil(threshold * n - 1e-9)
-                self.need[i] = min(NEED, must)
-                parts[width, n.bit_length()] += [(int(h), i) for h in hashes[: n - must + self.need[i]]]
         #: by width and size class: sorted hashes, the item of each
-        self.parts = {k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)], np.int64)) for k, v in parts.items()}
+        self.parts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for width in np.unique(self.width[self.width > 0]).tolist():
+            row, value, _ = words.counted(words.shingles(stream, width))
+            own = self.width[row] == width
+            row, value = row[own], value[own]
+            item, first, n = np.unique(row, return_index=True, return_counts=True)
+            must = np.ceil(threshold * n - 1e-9).astype(np.int64)
+            self.need[item] = np.minimum(NEED, must)
+            size_class = np.frexp(n)[1]
+            kept = np.arange(len(row)) - np.repeat(first, n) < np.repeat(n - must + self.need[item], n)  # the smallest hashes
+            row, value, size_class = row[kept], value[kept], np.repeat(size_class, n)[kept]
+            for k in np.unique(size_class).tolist():
+                of = np.flatnonzero(size_class == k)
+                of = of[np.argsort(value[of], kind="stable")]
+                self.parts[width, k] = (value[of], row[of])
         self.filters = {}
         for width in {w for w, _ in self.parts}:
             there = np.zeros(1 << _FILTER_BITS, bool)
@@ -70,6 +76,14 @@ class Items:
                     there[h >> np.uint64(64 - _FILTER_BITS)] = True
             self.filters[width] = there
 
+    def runs(self, item: int) -> frozenset[str]:
+        """The distinct runs of an item."""
+        if item not in self._runs:
+            if len(self._runs) >= KEPT_RUNS:
+                self._runs.clear()
+            self._runs[item] = frozenset(runs_of(self.texts[item]))
+        return self._runs[item]
+
     def candidates(self, stream: words.Ragged) -> list[tuple[int, int]]:
         """Rows and items that share enough sketch hashes."""
         out: list[tuple[int, int]] = []
@@ -92,11 +106,11 @@ class Items:
         """Row, item and number of shared runs of each contained item."""
         out, held, last = [], set(), None
         for row, item in self.candidates(words.hashed_words(texts)):
-            width = self.width[item]
+            width = int(self.width[item])
             if (row, width) != last:
                 held, last = runs_of(texts[row].as_py(), width), (row, width)
-            shared = len(self.runs[item] & held)
-            if shared >= math.ceil(self.threshold * len(self.runs[item]) - 1e-9):
+            shared = len(self.runs(item) & held)
+            if shared >= math.ceil(self.threshold * len(self.runs(item)) - 1e-9):
                 out.append((row, item, shared))
         return out
 
@@ -116,7 +130,8 @@ def load(block: DataFrame, threshold: float) -> Items:
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Every document and item it contains: doc_id, item_id, item_shingles, shared, containment.
 
-    Items are broadcast block by block, each of a bounded size; the documents are read once a block.
+    Items are broadcast block by block, each of a bounded size, with sketches but not all runs; the documents
+    are read once a block.
     """
     out = None
     for block in blocks(items, block_bytes):
@@ -126,7 +141,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, bloc
             def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
                 own, ids = held.value, part.column("doc_id").to_pylist()
                 found = own.matches(common.as_text(part.column("text")))
-                size = [len(own.runs[i]) for _, i, _ in found]
+                size = [len(own.runs(i)) for _, i, _ in found]
                 return pa.record_batch(
                     [pa.array([ids[r] for r, _, _ in found], pa.int64()), pa.array([own.ids[i] for _, i, _ in found], pa.int64()), pa.array(size, pa.int64()), pa.array([s for *_, s in found], pa.int64()), pa.array([s / n for (*_, s), n in zip(found, size, strict=True)], pa.float64())],
                     ["doc_id", "item_id", "item_shingles", "shared", "containment"],

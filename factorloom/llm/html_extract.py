@@ -35,20 +35,28 @@ from factorloom.llm import boosting, common
 TRAINING_PAGES = 600
 
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+>", re.S)
+COMMENT = re.compile(r"<!--(?:.*?-->|.*\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 TOKEN = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("script style head title noscript template svg math iframe object embed canvas audio video select option datalist button input textarea".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle mpadded msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
+SILENT = frozenset("script style head title noscript template svg iframe object embed canvas audio video select option datalist button input textarea".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of these, up to the boundary.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary span a label button #text".split()
 TAG_NUMBER = {t: i + 1 for i, t in enumerate(TAGS)}
+#: Elements that end the search for an open paragraph.
+P_BOUNDS = frozenset("td th table button object".split())
+#: Open elements that end tags look for, as in browsers; deeper ones keep their text and end with those.
+MOST_OPEN = 512
+#: Tags whose quotes never close, after which a page's quotes are read as plain signs.
+BROKEN_QUOTES = 32
+PLAIN_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/a-zA-Z][^>]+>", re.S)
 #: Attribute tokens are hashed to so many features.
 HASHED = 48
 #: Text of no letters: blanks, and the marks of training pages.
@@ -106,31 +114,47 @@ def parse(page: str) -> Node:
 
 
 def elements(page: str) -> Node:
-    """The tree of a page's elements under a root."""
+    """The tree of a page's elements under a root, in time linear in the page."""
     root = Node("html", "", None)
     stack: list[tuple[str, Node]] = [("html", root)]
+    held: Counter[str] = Counter()  # open elements by name
     at, end = 0, len(page)
-    raw_ends: dict[str, re.Pattern] = {}
+    last, broken, tag = page.rfind(">"), 0, TAG
+
+    def close(k: int) -> None:
+        for t, _ in stack[k:]:
+            held[t] -= 1
+        del stack[k:]
+
+    def push(name: str, node: Node) -> None:
+        if len(stack) > MOST_OPEN:
+            close(MOST_OPEN)
+        stack.append((name, node))
+        held[name] += 1
+
     while at < end:
-        m = TAG.search(page, at)
+        m = tag.search(page, at) if at <= last else COMMENT.search(page, at)
         text = page[at : m.start() if m else end]
         if text:
             stack[-1][1].parts.append(text)
         if not m:
             break
         at = m.end()
-        name = m[2]
+        name = m[2] if m.re is not COMMENT else None
         if not name:
+            if tag is TAG and page[m.start() + 1].isalpha():
+                broken += 1
+                tag = PLAIN_TAG if broken > BROKEN_QUOTES else TAG
             continue
         name = name.lower()
         if m[1]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0) if held[name] else 0
             if k:
                 if name not in INLINE:
                     stack[k - 1][1].parts.append(None)
                 elif any(t not in INLINE for t, _ in stack[k:]):
                     continue  # an inline end tag doesn't end blocks
-                del stack[k:]
+                close(k)
             elif name in ("br", "p"):
                 stack[-1][1].parts.append(None)
             continue
@@ -139,8 +163,7 @@ def elements(page: str) -> Node:
             continue
         if name in RAW or name in SILENT and name not in ("head", "object", "button", "select", "option", "canvas", "audio", "video", "datalist"):
             if not m[3].endswith("/") and name not in VOID:
-                pattern = raw_ends.setdefault(name, re.compile(rf"</{re.escape(name)}\s*>", re.I))
-                over = pattern.search(page, at)
+                over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = over.end() if over else end
             continue
         if name in VOID:
@@ -148,27 +171,24 @@ def elements(page: str) -> Node:
                 stack[-1][1].parts.append(None)
             continue
         if name not in INLINE:
-            if name in CLOSES_P:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if k and not any(t in ("td", "th", "table", "button", "object") for t, _ in stack[k:]):
-                    del stack[k:]
-            if name in IMPLIED:
+            if name in CLOSES_P and held["p"]:
+                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in P_BOUNDS), 0)
+                if k and stack[k][0] == "p":
+                    close(k)
+            if name in IMPLIED and any(held[t] for t in IMPLIED[name][0]):
                 ends, bound = IMPLIED[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in bound:
-                        break
-                    if stack[i][0] in ends:
-                        del stack[i:]
-                        break
+                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in bound or stack[i][0] in ends), 0)
+                if k and stack[k][0] not in bound:
+                    close(k)
             stack[-1][1].parts.append(None)
         parent = stack[-1][1]
         if name in INLINE and not tokens_of(m[3]) and name != "a":
-            stack.append((name, parent))
+            push(name, parent)
             continue
         node = Node(name, m[3], parent)
         parent.children.append(node)
         parent.parts.append(node)
-        stack.append((name, node))
+        push(name, node)
     return root
 
 
@@ -379,6 +399,10 @@ class Writer:
         title = f"<h1>{self.text(1, 10)}</h1>" if r.random() < 0.8 else ""
         if title and r.random() < 0.25:
             title = f"<header>{title}</header>"
+        if r.random() < 0.25:  # blocks in elements of their own, one or a few together
+            wrap = r.choice(["section", "section", "div"])
+            parts = [body[k : k + n] for n in (r.randint(1, 3),) for k in range(0, len(body), n)]
+            body = [f"<{wrap}{self.attr(self.CONTENT) if r.random() < 0.3 else ''}>{''.join(p)}</{wrap}>" for p in parts]
         inner = title + "".join(body)
         if r.random() < 0.15:
             inner += "<!--{-->" + self.boiler("comments") + "<!--}-->"

@@ -41,8 +41,11 @@ PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, mar
 
 
 def letters(text: str) -> str:
-    """Words of letters in lower case between single blanks; signs and digits belong to no language."""
-    return OTHER.sub(" ", text.lower()).strip()
+    """Words of letters in lower case between single blanks; signs and numerals belong to no language."""
+    out = OTHER.sub(" ", text.lower()).strip()
+    if out and not out.replace(" ", "").isalpha():  # numerals that are no decimal digits, such as fractions
+        out = " ".join("".join(c if c.isalpha() else " " for c in out).split())
+    return out
 
 
 @dataclass(frozen=True)

@@ -165,6 +165,7 @@ def verify(pairs: DataFrame, runs: DataFrame) -> DataFrame:
                 plain.append(j)
                 prob.append(p)
             yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(plain, pa.float64()), pa.array(prob, pa.float64())], ["a", "b", "plain", "prob"])
+            common.tidy()
 
     common.bounded(runs.sparkSession)
     left = runs.select(F.col("node").alias("a"), F.col("runs").alias("ra"), F.col("weights").alias("wa"))
@@ -184,6 +185,7 @@ def bounds(runs: DataFrame) -> DataFrame:
             word = np.repeat(np.arange(len(each)), size) * BOUND_WORDS + (flat >> 6) % BOUND_WORDS
             np.bitwise_xor.at(bits, word, np.uint64(1) << (flat % 64).astype(np.uint64))
             yield pa.record_batch([batch.column("node"), pa.array(size), pa.array(mass), pa.array(list(bits.view(np.int64).reshape(-1, BOUND_WORDS)), pa.list_(pa.int64()))], ["node", "size", "mass", "bits"])
+            common.tidy()
 
     common.bounded(runs.sparkSession)
     return runs.select("node", "runs", "weights").mapInArrow(measure, "node long, size long, mass double, bits array<long>")
@@ -202,20 +204,21 @@ def possible(x: str, y: str, threshold: float) -> Column:
 
 def rooted(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
     """Root of every node that is not its own: node, root. `sketched` must be a written table."""
+    work = f"{folder}/work"
     like = (F.col("plain") >= threshold) | (F.col("prob") >= threshold)
     nodes = sketched.where("bands is not null").dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket"))
-    nodes = common.written(nodes, f"{folder}/buckets")
-    met = common.written(nodes.join(nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2"), "bucket"), f"{folder}/met")
+    nodes = common.written(nodes, f"{work}/buckets")
+    met = common.written(nodes.join(nodes.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2"), "bucket"), f"{work}/met")
     ranked = met.join(met.groupBy("node").agg(F.sum("n").alias("rank")), "node").select("bucket", "node", "rank")
-    members = common.written(ranked, f"{folder}/members")
+    members = common.written(ranked, f"{work}/members")
     needed = members.select("node").distinct()
-    runs = common.written(_chosen(sketched.select("node", "runs", "weights"), common.written(needed, f"{folder}/needed"), "node", "left_semi").dropDuplicates(["node"]), f"{folder}/runs")
+    runs = common.written(_chosen(sketched.select("node", "runs", "weights"), common.written(needed, f"{work}/needed"), "node", "left_semi").dropDuplicates(["node"]), f"{work}/runs")
 
     pairs = members.join(members.groupBy("bucket").agg(_highest().alias("hub")), "bucket").where("node != hub")
-    found = common.written(verify(_pairs(pairs, "hub", "node"), runs).where(like), f"{folder}/links0")
-    root = components(found, f"{folder}/turn0")
-    members = _mixed(members, root, f"{folder}/mixed0")
-    members = common.written(members.join(bounds(runs), "node"), f"{folder}/wide")
+    found = common.written(verify(_pairs(pairs, "hub", "node"), runs).where(like), f"{work}/links0")
+    root = components(found, f"{work}/turn0")
+    members = _mixed(members, root, f"{work}/mixed0")
+    members = common.written(members.join(bounds(runs), "node"), f"{work}/wide")
     for turn in (1, 2):
         if members.isEmpty():
             break
@@ -228,12 +231,14 @@ def rooted(sketched: DataFrame, folder: str, threshold: float = THRESHOLD) -> Da
         x, y = asking.alias("x"), members.alias("y")
         open_ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", threshold)
         pairs = x.join(y, open_).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node"))
-        found = common.written(verify(_pairs(pairs, "hub", "node"), runs).where(like), f"{folder}/links{turn}")
+        found = common.written(verify(_pairs(pairs, "hub", "node"), runs).where(like), f"{work}/links{turn}")
         if found.isEmpty():
             continue
-        root = _merged(root, found, f"{folder}/turn{turn}")
+        root = _merged(root, found, f"{work}/turn{turn}")
         if turn == 1:
-            members = _mixed(members.drop("root", "top"), root, f"{folder}/mixed{turn}")
+            members = _mixed(members.drop("root", "top"), root, f"{work}/mixed{turn}")
+    root = common.written(root, f"{folder}/roots")
+    common.removed(sketched.sparkSession, work)
     return root
 
 

@@ -34,6 +34,11 @@ class Limits:
     segments: int = 256
     loss: int = 4096
 
+    @classmethod
+    def documents(cls, tokens: int = 4096) -> Limits:
+        """Limits under which only tokens bind: each segment has one token at least."""
+        return cls(tokens, tokens, tokens)
+
     def parts(self) -> np.ndarray:
         return np.array([self.tokens, self.segments, self.loss], float)
 
@@ -116,14 +121,14 @@ class Packer:
         return out, [p for p, f in zip(pool, free, strict=True) if f]
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, limits: Limits = Limits(), cut: bool = True, pool_rows: int = 2000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, limits: Limits | None = None, cut: bool = True, pool_rows: int = 2000) -> DataFrame:
     """Pack every document's token ids, then `end_id`, into sequences; one row a piece.
 
     Each task packs its own rows, `pool_rows` at a time with what the block before left, so memory
     is bounded and no row is shuffled. All ids of a document bear loss. sequence_id holds the task's
     number in its upper bits.
     """
-    path = path or tokens.vocabulary_path()
+    path, limits = path or tokens.vocabulary_path(), limits or Limits.documents()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(path).encode
@@ -132,7 +137,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, li
         names: dict[int, int | None] = {}
         sizes: dict[int, int] = {}
         waiting: list[list[int]] = []
-        key = 0
+        key, due = 0, pool_rows
 
         def emit(last: bool) -> pa.RecordBatch:
             nonlocal waiting
@@ -157,10 +162,14 @@ def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 2, li
                     ids[key], names[key], sizes[key] = own, name, len(own)
                     waiting.append([key, 0, len(own), len(own)])
                     key += 1
-                    if len(waiting) >= pool_rows:
+                    if len(waiting) >= due:
                         yield emit(False)
+                        common.tidy()
+                        due = len(waiting) + pool_rows  # very short examples wait until they fill some sequences
         yield emit(True)
+        common.tidy()
 
+    common.bounded(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
@@ -175,6 +184,7 @@ def pack_examples(examples: DataFrame, limits: Limits, cut: bool = False, pool_r
         packer, base = Packer(limits, cut), TaskContext.get().partitionId() << 33
         waiting: list[list] = []
         names: list = []
+        due = pool_rows
 
         def emit(last: bool) -> pa.RecordBatch:
             nonlocal waiting
@@ -188,8 +198,9 @@ def pack_examples(examples: DataFrame, limits: Limits, cut: bool = False, pool_r
             for name, n, loss in zip(*(batch.column(c).to_pylist() for c in ("example_id", "n_tokens", "n_loss")), strict=True):
                 waiting.append([len(names), 0, n, min(loss, n)])
                 names.append(name)
-                if len(waiting) >= pool_rows:
+                if len(waiting) >= due:
                     yield emit(False)
+                    due = len(waiting) + pool_rows
         yield emit(True)
 
     sized = examples.select("example_id", *(F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("n_tokens", "n_loss")))

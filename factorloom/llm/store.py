@@ -29,3 +29,11 @@ def read_range(uri: str, offset: int, size: int) -> bytes:
     system, path = opened(uri)
     with system.open_input_file(path) as f:
         return f.read_at(size, offset)
+
+
+def pieces(uri: str, size: int) -> Iterator[bytes]:
+    """The bytes of a file from its beginning to its end, `size` at a time."""
+    system, path = opened(uri)
+    with system.open_input_stream(path, compression=None) as f:  # not by the name of the file
+        while piece := f.read(size):
+            yield piece

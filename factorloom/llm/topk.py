@@ -1,10 +1,12 @@
 """Exact top-k inner products with KD-trees per shard.
 
-Rows are dealt to shards of bounded size by a hash of their id. A shard's tree splits at the median of the
-widest dimension; each node has the tight box of its rows. A query visits nodes best-first by the
-greatest inner product any point of the box could have and stops when that is below its kth score. Each
-query first searches one shard, its home; the kth score found there goes with it to all other
-shards, where it prunes from the start. Queries meet shards in blocks, so no task holds all queries.
+Rows are dealt to shards by a KD-tree over a bounded sample: it splits at the median of the widest dimension,
+and its leaves are the shards. Each shard has the tight box of all its rows and a tree of its own, split the
+same way. A query visits nodes best-first by the greatest inner product any point of the box could have and
+stops when that is below its kth score. Each query first searches one shard, its home, whose box promises
+most; the kth score found there goes with it to the other shards whose boxes can reach it, and to no
+others, and prunes there from the start. Queries meet shards in blocks, so no task holds all queries.
+The sample only decides which rows lie together: every row is searched or ruled out by a box that holds it.
 
 Rows: a vector that is null, empty or has a null or non-finite component takes no part; vectors of
 different lengths are not compared; ids name queries: of query rows with one id the smallest vector is
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factorloom.llm import common
@@ -33,6 +36,9 @@ SCALE = 256
 SHARD_ROWS = 100_000
 BLOCK_QUERIES = 50_000
 LEAF_ROWS = 128
+#: Rows that the tree over the shards is fitted to, at most about; bytes of the shards' boxes that are sent to tasks.
+SAMPLE_ROWS = 20_000
+BOX_BYTES = 64_000_000
 
 RESULT = "query_id long, vec_id long, score long"
 
@@ -119,19 +125,139 @@ def _exact(a: np.ndarray, b: np.ndarray) -> type:
     return np.float64 if most < 2**52 else np.int64
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, folder: str, k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's k best rows. Both tables have vec_id and v."""
+class Splits:
+    """A KD-tree over a sample whose leaves are numbered; for vectors of one length."""
+
+    def __init__(self, rows: np.ndarray, leaves: int):
+        self.nodes: list[tuple[int, float, int, int]] = []  # dimension, threshold, left, right; a leaf has its number as ~left
+        self.leaves = 0
+        self._grow(rows, leaves)
+
+    def _grow(self, rows: np.ndarray, leaves: int) -> int:
+        at = len(self.nodes)
+        self.nodes.append((0, 0.0, ~self.leaves, 0))
+        if leaves > 1 and len(rows) > 1 and (spread := rows.max(axis=0) - rows.min(axis=0)).max() > 0:
+            d = int(spread.argmax())
+            cut = float(np.median(rows[:, d]))
+            low = rows[:, d] <= cut
+            if low.all():
+                low = rows[:, d] < cut
+                cut = float(rows[low, d].max())
+            left = self._grow(rows[low], leaves - leaves // 2)
+            right = self._grow(rows[~low], leaves // 2)
+            self.nodes[at] = (d, cut, left, right)
+        else:
+            self.leaves += 1
+        return at
+
+    def leaf_of(self, rows: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        d, cut, left, right = (np.array(x) for x in zip(*self.nodes, strict=True))
+        at = np.zeros(len(rows), np.int64)
+        while (going := left[at] >= 0).any():
+            own = at[going]
+            at[going] = np.where(rows[going, d[own]] <= cut[own], left[own], right[own])
+        return ~left[at]
+
+
+def fitted(vectors: DataFrame, n: int, shards: int) -> dict[int, Splits]:
+    """Trees over a sample of about SAMPLE_ROWS rows, by length of the vectors."""
+    share = common.sample_share(n, SAMPLE_ROWS)
+    got = vectors.where(common.hashed_share(F.col("vec_id"), share, 3)).select("vec_id", "v").toArrow().to_pylist()
+    by: dict[int, list[list[int]]] = {}
+    for r in sorted(got, key=lambda r: (r["vec_id"], r["v"])):
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    return {k: Splits(np.array(v, float), max(1, round(shards * len(v) / len(got)))) for k, v in by.items()}
+
+
+def dealt_out(vectors: DataFrame, trees: dict[int, Splits]) -> DataFrame:
+    """Rows with their length and shard. Vectors of a length that is not in the sample lie in shard 0 of theirs."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            shard = np.zeros(len(dims), np.int32)
+            for k in np.unique(dims).tolist():
+                if k in trees:
+                    own = np.flatnonzero(dims == k)
+                    shard[own] = trees[k].leaf_of(_matrix(pa.chunked_array([batch.column("v").take(pa.array(own))])).astype(float))
+            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), batch.column("dims"), pa.array(shard)], ["vec_id", "v", "dims", "shard"])
+
+    common.bounded(vectors.sparkSession)
+    return vectors.select("vec_id", "v", F.size("v").alias("dims")).mapInArrow(deal, "vec_id long, v array<long>, dims int, shard int")
+
+
+def boxes_of(dealt: DataFrame) -> DataFrame:
+    """The tight box of each shard: dims, shard, low, high. Each task first makes its own boxes."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[tuple[int, int], np.ndarray] = {}
+        high: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            key = batch.column("dims").to_numpy().astype(np.int64) << 32 | batch.column("shard").to_numpy()
+            for k in np.unique(key).tolist():
+                own = _matrix(pa.chunked_array([batch.column("v").take(pa.array(np.flatnonzero(key == k)))]))
+                lo, hi, at = own.min(axis=0), own.max(axis=0), (k >> 32, k & 0xFFFFFFFF)
+                low[at], high[at] = np.minimum(low.get(at, lo), lo), np.maximum(high.get(at, hi), hi)
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(([d for d, _ in low], [s for _, s in low], list(low.values()), list(high.values())), kinds, strict=True)], ["dims", "shard", "low", "high"])
+
+    parts = dealt.select("v", "dims", "shard").mapInArrow(measure, "dims int, shard int, low array<long>, high array<long>")
+    each = parts.select("dims", "shard", F.posexplode(F.arrays_zip("low", "high")).alias("at", "x")).groupBy("dims", "shard", "at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    side = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]).alias(c)  # noqa: E731  one entry a dimension
+    return each.groupBy("dims", "shard").agg(side("low"), side("high"))
+
+
+def placed(asking: DataFrame, boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], home: bool) -> DataFrame:
+    """Queries (query_id, q, block, dims, floor) with the shard of greatest bound, or with every other shard whose bound reaches the floor."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, floors = batch.column("dims").to_numpy(), batch.column("floor").to_pylist()
+            took, shard = [], []
+            for k in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == k)
+                if k not in boxes:
+                    continue
+                names, low, high = boxes[k]
+                for a in range(0, len(own), 256):
+                    part = own[a : a + 256]
+                    q = _matrix(pa.chunked_array([batch.column("q").take(pa.array(part))])).astype(float)
+                    most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                    best = most.argmax(axis=1)
+                    if home:
+                        took.append(part)
+                        shard.append(names[best])
+                    else:
+                        least = np.array([-np.inf if floors[i] is None else floors[i] for i in part])
+                        reach = most + 1 + 1e-12 * np.abs(most) >= least[:, None]  # rounding may not lose a shard
+                        reach[np.arange(len(part)), best] = False
+                        row, at = np.nonzero(reach)
+                        took.append(part[row])
+                        shard.append(names[at])
+            at = np.concatenate(took) if took else np.zeros(0, np.int64)
+            yield pa.record_batch([*(batch.column(c).take(pa.array(at)) for c in ("query_id", "q", "block", "dims", "floor")), pa.array(np.concatenate(shard) if shard else np.zeros(0), pa.int32())], ["query_id", "q", "block", "dims", "floor", "shard"])
+
+    return asking.select("query_id", "q", "block", "dims", "floor").mapInArrow(bound, "query_id long, q array<long>, block int, dims int, floor long, shard int")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, folder: str, k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, box_bytes: int = BOX_BYTES) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's k best rows. Both tables have vec_id and v.
+
+    The shards' boxes go to the tasks if they take at most `box_bytes`; else every query goes to all shards.
+    """
     spark = vectors.sparkSession
     n = vectors.count()
     shards = max(1, -(-n // shard_rows), min(spark.sparkContext.defaultParallelism, n // 1000))
     asked = common.written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), f"{folder}/queries")
     blocks = max(1, -(-asked.count() // block_queries))
-    number = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
-    dealt = common.written(vectors.select("vec_id", "v", number("vec_id", shards, 1).alias("shard"), F.size("v").alias("dims")), f"{folder}/shards")
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), number("vec_id", shards, 1).alias("home"), number("vec_id", blocks, 2).alias("block"), F.size("v").alias("dims"))
+    dealt = common.written(dealt_out(vectors, fitted(vectors, n, shards)), f"{folder}/shards")
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dims"))
     cells = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    box = common.written(boxes_of(dealt), f"{folder}/boxes")
+    size = box.agg(F.sum(16 * F.col("dims").cast("long") + 40)).first()[0] or 0
 
-    def run(rows: Iterator[pa.RecordBatch] | pa.Table, wanted: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         if rows.num_rows and wanted.num_rows:
             ids, points, q = rows["vec_id"].to_numpy(), _matrix(rows["v"]), _matrix(wanted["q"])
@@ -148,13 +274,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, folder: str, k: int = K, shard
         key = ["shard", "block", "dims"]
         return cells.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(run, RESULT)
 
-    home = asked.select("query_id", "q", F.col("home").alias("shard"), "block", "dims", F.lit(None).cast("long").alias("floor"))
-    first = common.written(search(home), f"{folder}/home")
-    # the kth score at home, if there are k: what other shards must reach
-    floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
-    away = asked.join(floors, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard != home").select("query_id", "q", "shard", "block", "dims", "floor")
-    both = first.unionByName(search(away)) if shards > 1 else first
-    # each shard gives at most k rows a query; the k best of them all by a sorted, bounded list
-    best = both.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id")))), 1, k).alias("best"))
-    ranked = best.select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    if size <= box_bytes:
+        held = {d: (np.array([r.shard for r in rows]), np.array([r.low for r in rows], float), np.array([r.high for r in rows], float)) for d, rows in _by_dims(box.orderBy("dims", "shard").collect()).items()}
+        first = common.written(search(placed(asked.withColumn("floor", F.lit(None).cast("long")), held, home=True)), f"{folder}/home")
+        # the kth score at home, if there are k: what other shards must reach
+        floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+        found = first.unionByName(search(placed(asked.join(floors, "query_id", "left"), held, home=False)))
+    else:
+        found = search(asked.withColumn("floor", F.lit(None).cast("long")).join(box.select("dims", "shard"), "dims"))
+    # each shard gives at most k rows a query; a window with a rank limit keeps k of them before the shuffle
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _by_dims(rows: list) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r.dims, []).append(r)
+    return out

@@ -3,8 +3,9 @@
 A token is a word or, where the word is too rare to tell, a beginning of it. Its score is the log-odds of
 toxic against other documents with an informative Dirichlet prior (the tokens' shares in both), if
 that is significant; every other token costs a drift. A linear-time scan finds all maximal segments,
-not only the best. Their scores follow an extreme-value law over clean text: a segment of score S in n
-words is expected K n exp(-lambda S) times by chance. A document's evidence is the sum of
+not only the best. Over clean text the best segment of n words follows an extreme-value law, P(max < S) =
+exp(-K n exp(-lambda S)): lambda solves sum p_i exp(lambda s_i) = 1 over the scores s_i of clean tokens, and K is
+fitted to the clean texts' maxima by greatest likelihood. A document's evidence is the sum of
 lambda S - ln(K n) over the segments where it is positive, and a logistic curve fitted on the
 training sample turns it into a score.
 
@@ -91,8 +92,19 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tu
     return [(a, b, r - left) for left, r, a, b, _ in stack]
 
 
+def hit_scores(model: Model, texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Row and scores of the scoring tokens of each text that has any."""
+    for row, _, _, score in _hits(model, texts):
+        yield row, score
+
+
 def found(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
     """Row, number of words and segments of each text that has a scoring token."""
+    for row, n, at, score in _hits(model, texts):
+        yield row, n, segments(at, score)
+
+
+def _hits(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     coded, names = words.words(texts)
     score = model.word_scores(names)[coded.values] if names else np.zeros(0)
     hits = np.flatnonzero(score)
@@ -100,7 +112,7 @@ def found(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, list[tuple[
     n = coded.lengths()
     for group in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(row)) + 1) if len(hits) else ():
         r = int(row[group[0]])
-        yield r, int(n[r]), segments(hits[group] - coded.offsets[r], score[hits[group]])
+        yield r, int(n[r]), hits[group] - coded.offsets[r], score[hits[group]]
 
 
 def evidence(model: Model, texts: pa.Array) -> np.ndarray:
@@ -161,33 +173,41 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, column: str = "toxic"
             texts = common.as_text(part.column("text"))
             n = words.hashed_words(texts).lengths()
             per: list[list[float]] = [[] for _ in range(len(texts))]
+            hits: list[list[float]] = [[] for _ in range(len(texts))]
             for row, _, own in found(first, texts):
                 per[row] = [s for _, _, s in own]
-            return pa.record_batch([pa.array((part.column("label").to_numpy(zero_copy_only=False) > 0).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(per, pa.list_(pa.float64()))], ["label", "n", "segments"])
+            for row, scores in hit_scores(first, texts):
+                hits[row] = scores.tolist()
+            return pa.record_batch([pa.array((part.column("label").to_numpy(zero_copy_only=False) > 0).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(per, pa.list_(pa.float64())), pa.array(hits, pa.list_(pa.float64()))], ["label", "n", "segments", "hits"])
 
         return kernel
 
-    rows = common.map_text(sample, "text", make, "label int, n long, segments array<double>").toArrow().to_pylist()
-    rate, constant = law([(r["n"], max(r["segments"], default=0.0)) for r in rows if not r["label"]], tokens)
+    rows = common.map_text(sample, "text", make, "label int, n long, segments array<double>, hits array<double>").toArrow().to_pylist()
+    clean = [r for r in rows if not r["label"]]
+    rate, constant = law(np.array([r["n"] for r in clean], float), np.array([max(r["segments"], default=0.0) for r in clean]), np.array([s for r in clean for s in r["hits"]]), tokens)
     gathered = np.array([sum(max(0.0, rate * s - np.log(constant * r["n"])) for s in r["segments"]) for r in rows])
     slope, base = curve(np.log1p(gathered), np.array([r["label"] for r in rows], float))
     return Model(tokens, rate, constant, slope, base)
 
 
-def law(clean: list[tuple[int, float]], tokens: dict[str, float]) -> tuple[float, float]:
-    """lambda and K of the extreme-value law: lambda from the scores' balance, K from how often clean texts have a segment at all."""
-    n = max(1, sum(k for k, _ in clean))
-    hit = [s for _, s in clean if s > 0]
-    p = (len(hit) + 1) / (n + 2)
-    typical = float(np.median(list(tokens.values()))) if tokens else 1.0
-    low, high = 1e-3, 20.0
-    for _ in range(60):
+def law(n: np.ndarray, best: np.ndarray, hits: np.ndarray, tokens: dict[str, float], drift: float = DRIFT) -> tuple[float, float]:
+    """lambda and K of the extreme-value law from clean texts: their words, best segments (0: none), and scoring tokens.
+
+    Without a scoring token in clean text the least score stands in, once. A text without a segment has a
+    maximum somewhere below the least score, which the likelihood counts as such.
+    """
+    least = min(tokens.values(), default=1.0)
+    hits = hits if len(hits) else np.array([least])
+    words_ = max(float(n.sum()), len(hits) + 1.0)
+    rest = (words_ - len(hits)) / words_
+    low, high = 1e-4, 50.0
+    for _ in range(80):  # the positive root; below it the sum is under 1, as the mean score is negative
         mid = (low + high) / 2
-        low, high = (low, mid) if p * np.exp(mid * typical) + (1 - p) * np.exp(-mid * DRIFT) > 1 else (mid, high)
-    rate = (low + high) / 2
-    expected = (len(hit) + 1) / n  # segments a word, of at least the mean score
-    mean = float(np.mean(hit)) if hit else typical
-    return rate, max(1e-9, expected * np.exp(rate * min(mean, typical)))
+        total = np.exp(np.minimum(700, mid * hits)).sum() / words_ + rest * np.exp(-mid * drift)
+        low, high = (low, mid) if total > 1 else (mid, high)
+    rate, some = (low + high) / 2, best > 0
+    exposed = (n[some] * np.exp(-rate * best[some])).sum() + (n[~some] * np.exp(-rate * least)).sum()
+    return rate, float((some.sum() + 1) / max(1e-9, exposed + 1e-9))
 
 
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, float]:

@@ -2,8 +2,11 @@
 
 Headers (digest, size, id) are gathered by payload digest; the smallest id of equal payloads is the response
 and the others become revisit records that name it. Archives are written anew with fresh headers, a
-gzip member for each record. Reading them back, revisit records are joined to the responses they name, so
-that each has its payload's size again.
+gzip member for each record, and read back in pieces, by the tasks that parse them. Then revisit records are
+joined to the responses they name, so that each has its payload's size again.
+
+A response that others may refer to has a record id that follows from its id and digest, so revisits can
+name it; rows that repeat both are one capture and share it. All other record ids follow from the archive.
 
 Rows: a null payload is empty; payloads of fewer than MIN_BYTES are always responses; a null id is no
 response's name and is written as a revisit if its payload has one; rows that repeat the smallest id
@@ -14,7 +17,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,28 +31,30 @@ from factorloom.llm import common, store
 MIN_BYTES = 100
 #: Payload bytes after which a writer begins a new archive.
 ARCHIVE_BYTES = 32_000_000
+#: Compressed bytes that a reader takes at once, and archives of a task.
+READ_BYTES = 1_000_000
+ARCHIVES_PER_TASK = 4
 #: Up to so many repeated digests (about 80 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_DIGESTS = 200_000
 SALTS = 32
-DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def record_urn(page_id: int | None, url: str | None) -> str:
-    return f"urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}|{url}')}"
+def record_urn(*parts: object) -> str:
+    return f"urn:uuid:{uuid.uuid5(NAMESPACE, '|'.join(map(str, parts)))}"
 
 
 def resolved(pages: DataFrame) -> DataFrame:
-    """Pages with digest, size and `first`, the smallest id of their payload's repeats (null where there is none)."""
+    """Pages with digest, size, and `first` and `first_url`, the smallest id of their payload's repeats (null where there is none)."""
     spark = pages.sparkSession
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     sized = base.withColumn("payload_digest", F.sha2(F.encode("html", "UTF-8"), 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    headers = sized.where(F.col("payload_bytes") >= MIN_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = headers.where("n > 1 and first is not null").drop("n")
+    headers = sized.where(F.col("payload_bytes") >= MIN_BYTES).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("least"), F.count("*").alias("n"))
+    repeated = headers.where("n > 1 and least is not null").select("payload_digest", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"))
     repeated = common.written(repeated, common.shared_dir(spark) + "/digests")
     if repeated.count() <= BROADCAST_DIGESTS:
         return sized.join(F.broadcast(repeated), "payload_digest", "left")
@@ -66,11 +72,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         row, number = next(rows, None), 0
         while row is not None:
             uri, size, n = f"{name}-{number}.warc.gz", 0, 0
+            date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
             with store.new_file(uri) as out:
-                out.write(member(info()))
+                out.write(member(info(uri, date)))
                 while row is not None and size < ARCHIVE_BYTES:
                     payload = row["html"].encode("utf-8", "surrogatepass")
-                    out.write(member(record(row, payload)))
+                    out.write(member(record(row, payload, date, f"{uri}|{n}")))
                     size, n, row = size + len(payload), n + 1, next(rows, None)
             yield pa.record_batch([pa.array([uri]), pa.array([n], pa.int64())], ["file", "records"])
             number += 1
@@ -83,40 +90,50 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def info() -> bytes:
+def info(uri: str, date: str) -> bytes:
     body = b"software: corpus archive writer\r\nformat: WARC File Format 1.1\r\n"
-    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: {DATE}\r\nWARC-Record-ID: <{record_urn(None, 'info')}>\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Date: {date}\r\nWARC-Record-ID: <{record_urn(uri)}>\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
     return head.encode() + body + b"\r\n\r\n"
 
 
-def record(row: dict, payload: bytes) -> bytes:
-    """A response with its payload, or a revisit with the response's headers only."""
+def record(row: dict, payload: bytes, date: str, place: str) -> bytes:
+    """A response with its payload, or a revisit with the response's headers only; `place` is unlike all others."""
     first = row["first"]
     revisit = first is not None and first != row["page_id"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_urn(row['page_id'], row['url'])}>", f"WARC-Date: {DATE}"]
+    digest = row["payload_digest"]
+    urn = record_urn(row["page_id"], digest) if first is not None and not revisit else record_urn(place)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{urn}>", f"WARC-Date: {date}"]
     if row["url"] is not None:
         head.append(f"WARC-Target-URI: {' '.join(row['url'].split())}")
     if row["page_id"] is not None:
         head.append(f"Page-Id: {row['page_id']}")
-    head.append(f"WARC-Payload-Digest: sha256:{row['payload_digest']}")
+    head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"Refers-To-Page-Id: {first}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_urn(first, digest)}>", f"Refers-To-Page-Id: {first}"]
+        if row["first_url"] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {' '.join(row['first_url'].split())}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and content of each record of an archive."""
-    at = 0
-    while at < len(data):
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(data[at:] if at == 0 else memoryview(data)[at:]) + unpack.flush()
-        at = len(data) - len(unpack.unused_data)
-        head, _, rest = raw.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        yield fields, rest[: int(fields["Content-Length"])]
+def records(pieces: Iterable[bytes], step: int = 65_536) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and content of each record of an archive, given in pieces of any size; takes time linear in its size."""
+    unpack, got = zlib.decompressobj(31), []
+    for piece in pieces:
+        for k in range(0, len(piece), step):
+            chunk = piece[k : k + step]
+            while chunk:
+                got.append(unpack.decompress(chunk))
+                chunk = unpack.unused_data
+                if unpack.eof:
+                    head, _, rest = b"".join(got).partition(b"\r\n\r\n")
+                    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+                    yield fields, rest[: int(fields["Content-Length"])]
+                    unpack, got = zlib.decompressobj(31), []
+    if got:
+        raise ValueError("the archive ends within a record")
 
 
 def read_archives(spark: SparkSession, files: DataFrame | list[str], payloads: bool = False) -> DataFrame:
@@ -127,13 +144,14 @@ def read_archives(spark: SparkSession, files: DataFrame | list[str], payloads: b
     """
     from hashlib import sha256
 
-    paths = files if isinstance(files, list) else [r.file for r in files.select("file").distinct().collect()]
+    if isinstance(files, list):
+        files = spark.createDataFrame([(x,) for x in files], "file string")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                out = []
-                for head, body in records(content.as_py()):
+            for uri in batch.column("file").to_pylist():
+                out, size = [], 0
+                for head, body in records(store.pieces(uri, READ_BYTES)):
                     if head["WARC-Type"] not in ("response", "revisit"):
                         continue
                     payload, said = body.partition(b"\r\n\r\n")[2], head["WARC-Payload-Digest"].removeprefix("sha256:")
@@ -142,13 +160,19 @@ def read_archives(spark: SparkSession, files: DataFrame | list[str], payloads: b
                         raise ValueError(f"record {head['WARC-Record-ID']} is damaged")
                     page, refers = head.get("Page-Id"), head.get("Refers-To-Page-Id")
                     out.append((page and int(page), head.get("WARC-Target-URI"), len(payload) if original else None, said, head["WARC-Type"], refers and int(refers), payload if payloads and original else None))
-                cols = list(zip(*out, strict=True)) or [[]] * 7
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split(" ")[0] for x in RECORD.split(", ")])
-
-    if not paths:
-        return spark.createDataFrame([], RECORD)
-    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(parse, RECORD)
+                    size += len(payload) if payloads else 0
+                    if size > 4 * READ_BYTES:
+                        yield batch_of(out)
+                        out, size = [], 0
+                yield batch_of(out)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split(" ")[0] for x in RECORD.split(", ")])
+
+    tasks = max(1, files.count() // ARCHIVES_PER_TASK, min(files.count(), spark.sparkContext.defaultParallelism))
+    return files.select("file").distinct().repartition(tasks, "file").mapInArrow(parse, RECORD)
 
 
 def with_originals(found: DataFrame) -> DataFrame:
