@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 @F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
+    """One value a model or series, so that mapping each is fast enough."""
     own = NormalDist()
     return x.map(lambda v: own.cdf(v), na_action="ignore")
 

@@ -44,11 +44,7 @@ def folds(r: DataFrame, first: int = FIRST, refit: int = REFIT) -> DataFrame:
 def ewmas(r: DataFrame) -> DataFrame:
     """The recursion for every lambda: series, t, lam, f."""
     each = r.select("series", "t", "y", F.explode(F.array(*map(F.lit, LAMBDAS))).alias("lam"))
-    w = W.partitionBy("series", "lam").orderBy("t")
-    seed = F.avg(F.when(F.col("t") < 12, F.col("y"))).over(W.partitionBy("series", "lam"))
-    past = F.collect_list("y").over(w.rowsBetween(W.unboundedPreceding, -1))
-    held = each.withColumn("_seed", seed).withColumn("_past", past)
-    return held.select("series", "t", "lam", F.aggregate("_past", F.col("_seed"), lambda s, x: F.col("lam") * s + (1 - F.col("lam")) * x).alias("f"))
+    return each.select("series", "t", "lam", rolling.ewma("y", "lam", "t", ["series", "lam"]).alias("f"))
 
 
 def baselines(r: DataFrame, first: int = FIRST, refit: int = REFIT) -> DataFrame:

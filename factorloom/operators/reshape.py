@@ -48,6 +48,12 @@ def columns_named(df: DataFrame, prefix: str = "", within: str = "", without: li
     return [c for c in df.columns if c.startswith(prefix) and within in c and c not in (without or [])]
 
 
+def drop_all_null(df: DataFrame) -> DataFrame:
+    """The frame without columns that hold no value; one pass counts all columns."""
+    counts = df.agg(*(F.count(F.col(f"`{c}`")).alias(str(k)) for k, c in enumerate(df.columns))).first()
+    return df.select(*(F.col(f"`{c}`") for k, c in enumerate(df.columns) if counts[k]))
+
+
 def report(long: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """A (row, column, value) table as one row a metric; for sinks only."""
     return long.groupBy(row).pivot(column, values).agg(F.first("value"))

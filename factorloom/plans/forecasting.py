@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions import kernels
 from factorloom.operators import forecast, metrics, race
-from factorloom.plans.portfolios import race_of
+from factorloom.plans.portfolios import baselines, grid_days, grid_race, race_of
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
+from factorloom.sources.shared import saved
 
 
 def baseline(model):
     def run(spark, d):
-        return race.baselines(race_of(spark, d)).where(F.col("model") == model).select("series", "t", "f")
+        return baselines(spark, d).where(F.col("model") == model).select("series", "t", "f")
 
     return run
 
@@ -22,10 +26,28 @@ for _name, _model in (("M01_expanding_mean", "ExpandingMean"), ("M02_random_walk
     query(_name, f"SELECT series, t, f FROM forecasts WHERE model = '{_model}'", floats="f", digits=8)(baseline(_model))
 
 
+@saved("lineitem", "part")
 def race_features(spark, d):
     return forecast.features(c.series_day(spark, d))
 
 
+@saved("lineitem", "part")
+def fitted(spark, d):
+    """Forecasts of the eleven single models in the same months."""
+    x = race_features(spark, d)
+    own = forecast.run(x, list(forecast.ESTIMATORS)).unionByName(race.baselines(x))
+    return own.unionByName(forecast.run_lstm(x, forecast.HARX).withColumn("model", F.lit("LSTM")))
+
+
+ENSEMBLE = ["HAR", "Ridge", "HGB"]
+
+
+def whole_race(spark, d):
+    """The race's rows and the forecasts of all twelve models; ENS is the mean of three of them."""
+    f = fitted(spark, d)
+    return race_features(spark, d), f.unionByName(forecast.ensemble(f, ENSEMBLE))
+
+
 def estimator(model, **options):
     def run(spark, d):
         return forecast.run(race_features(spark, d), [model], **options)
@@ -44,14 +66,13 @@ def m11(spark, d):
 
 @query("M12_ensemble", "SELECT series, t, 'ENS' AS model, avg(f) AS f FROM forecasts WHERE model IN ('RW126', 'EWMA') GROUP BY ALL", floats="f", digits=8)
 def m12(spark, d):
-    return forecast.ensemble(race.baselines(race_of(spark, d)), ["RW126", "EWMA"])
+    return forecast.ensemble(baselines(spark, d), ["RW126", "EWMA"])
 
 
 @query("M12b_ensemble_estimators")
 def m12b(spark, d):
     """The reference's ensemble, of estimators that SQL can't express."""
-    models = ["HAR", "Ridge", "HGB"]
-    return forecast.ensemble(forecast.run(race_features(spark, d), models), models)
+    return forecast.ensemble(fitted(spark, d), ENSEMBLE)
 
 
 SEEDS = (0, 7, 13, 21, 42)
@@ -118,6 +139,15 @@ def t14(spark, d):
     return x.join(p, ["series", "t"]).select("series", "t", "model", (lev * F.col("ret_next")).alias("r")).groupBy("series", "model").agg(F.count("*").alias("n"), metrics.sharpe("r").alias("sharpe"))
 
 
+@query("T07r_construction_grid_ridge")
+def t07r(spark, d):
+    """The six constructions managed by the ridge forecast."""
+    x = forecast.features(grid_days(spark, d))
+    own = grid_race(spark, d).select("series", "month", F.col("ret_next").alias("wml"))
+    f = forecast.run(x, ["Ridge"], transform="clip").join(x.select("series", "t", "month"), ["series", "t"]).join(own, ["series", "month"])
+    return f.groupBy(F.col("series").alias("variant")).agg(metrics.sharpe(race.leverage() * F.col("wml")).alias("sharpe"), (F.min(race.leverage() * F.col("wml")) * 100).alias("worst"), F.count("*").alias("n"))
+
+
 @query("M18b_auc")
 def m18b(spark, d):
     return forecast.auc(forecast.crash_probability(race_features(spark, d), forecast.HARX, fall=-0.02), ["series", "model"])
@@ -130,12 +160,15 @@ def m19(spark, d):
 
 @query("M20_training_start")
 def m20(spark, d):
+    """HAR and HARX with unlogged features from two training starts."""
     x = race_features(spark, d)
-    a = forecast.run(x, ["HAR"], first=36).withColumn("first", F.lit(36))
-    return a.unionByName(forecast.run(x, ["HAR"], first=48).withColumn("first", F.lit(48))).groupBy("series", "first").agg(F.count("*").alias("n"), F.avg("f").alias("mean"))
+    plain = x.withColumns({k: F.exp(k) for k in ("x_rv1", "x_rv3", "x_rv12", "x_fvar")})
+    parts = [forecast.run(rows, [model], first=first).select("series", F.lit(name).alias("model"), F.lit(first).alias("first"), "f") for first in (36, 48) for rows, model, name in ((x, "HAR", "HAR"), (plain, "HARX", "HARX unlogged"))]
+    return reduce(DataFrame.unionByName, parts).groupBy("series", "model", "first").agg(F.count("*").alias("n"), F.avg("f").alias("mean"))
 
 
 @query("M21_markets")
 def m21(spark, d):
-    """The whole race in every market at once: the market is part of the group."""
-    return forecast.run(forecast.features(c.market_day(spark, d).withColumnRenamed("market", "series")), ["HAR", "Ridge"], transform="clip")
+    """The race in every market at once: the market is part of the group."""
+    x = forecast.features(c.market_day(spark, d).withColumnRenamed("market", "series"))
+    return race.baselines(x).unionByName(forecast.run(x, ["HAR", "HARX", "Ridge", "Lasso", "HGB"], transform="clip"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window as W
@@ -12,36 +14,37 @@ from factorloom.operators import bootstrap as bs
 from factorloom.operators import inference as inf
 from factorloom.operators import metrics, race, rolling
 from factorloom.plans.measures import bears, months
-from factorloom.plans.portfolios import race_of, strats
+from factorloom.plans.forecasting import whole_race
+from factorloom.plans.portfolios import baseline_race, race_of, strats
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
+from factorloom.sources.shared import saved
 
-REPS = 200
-#: Replicates of the Pareto tails, which no SQL repeats.
+#: Replicates of the bootstraps, and of the Pareto tails.
+REPS = 5000
 TAIL_REPS = 2000
 
 
-def scored(spark, d):
-    r = race_of(spark, d)
-    return race.scored(r, race.baselines(r))
+def scored(spark, d, of=baseline_race):
+    return race.scored(*of(spark, d))
 
 
 @query("K01_leaderboard", "SELECT series, model, avg(loss) AS qlike, sqrt(avg(pow((sqrt(12 * f) - sqrt(12 * y)) * 100, 2))) AS rmse_vol, (1 - sum(pow(y - f, 2)) / any_value(b)) * 100 AS oos_r2, count(*) AS n FROM scored JOIN (SELECT series, sum(pow(y - f, 2)) AS b FROM scored WHERE model = 'ExpandingMean' GROUP BY 1) USING (series) GROUP BY ALL", floats="qlike rmse_vol oos_r2")
-def k01(spark, d):
-    return inf.leaderboard(scored(spark, d))
+def k01(spark, d, of=baseline_race):
+    return inf.leaderboard(scored(spark, d, of))
 
 
 GAPS = "gaps AS (SELECT s.series, s.model, s.t, s.loss - b.loss AS d, pow(s.y - b.f, 2) - (pow(s.y - s.f, 2) - pow(b.f - s.f, 2)) AS adj FROM scored s JOIN scored b ON s.series = b.series AND s.t = b.t WHERE b.model = 'RW126' AND s.model <> 'RW126')"
 
 
 @query("K02_diebold_mariano", "SELECT series, model, avg(d) / sqrt((var_pop(d) + 2 * (0.75 * covar_samp(d, l1) + 0.5 * covar_samp(d, l2) + 0.25 * covar_samp(d, l3))) / count(*)) AS stat FROM (SELECT *, lag(d, 1) OVER w AS l1, lag(d, 2) OVER w AS l2, lag(d, 3) OVER w AS l3 FROM gaps WINDOW w AS (PARTITION BY series, model ORDER BY t)) GROUP BY ALL", GAPS, floats="stat", digits=5)
-def k02(spark, d):
-    return inf.diebold_mariano(inf.loss_gaps(scored(spark, d)))
+def k02(spark, d, of=baseline_race):
+    return inf.diebold_mariano(inf.loss_gaps(scored(spark, d, of)))
 
 
 @query("K03_clark_west", "SELECT series, model, avg(adj) / (stddev_pop(adj) / sqrt(count(*))) AS t FROM gaps GROUP BY ALL", GAPS, floats="t")
-def k03(spark, d):
-    return inf.clark_west(inf.loss_gaps(scored(spark, d)))
+def k03(spark, d, of=baseline_race):
+    return inf.clark_west(inf.loss_gaps(scored(spark, d, of)))
 
 
 def hac_sql(source: str, y: str, x: str, by: str, order: str) -> str:
@@ -58,9 +61,9 @@ COND = GAPS + ", gb AS (SELECT g.series || '-' || g.model AS key, t, g.d, CAST(C
 
 
 @query("K04_conditional_hac", "SELECT key, a, b, t_a, t_b FROM hac", COND, floats="a b t_a t_b", digits=4)
-def k04(spark, d):
-    r = race_of(spark, d)
-    g = inf.loss_gaps(race.scored(r, race.baselines(r))).join(r.select("series", "t", F.col("rv").alias("v")), ["series", "t"])
+def k04(spark, d, of=baseline_race):
+    r, f = of(spark, d)
+    g = inf.loss_gaps(race.scored(r, f)).join(r.select("series", "t", F.col("rv").alias("v")), ["series", "t"])
     x = F.when(F.col("v") > F.avg("v").over(W.partitionBy("series", "model")), 1.0).otherwise(0.0)
     return inf.hac_line(g.select(F.concat_ws("-", "series", "model").alias("key"), "t", "d", x.alias("hi")), "d", "hi", ["key"], "t").select("key", "a", "b", "t_a", "t_b")
 
@@ -94,15 +97,15 @@ def k06(spark, d):
 
 
 @query("K07_sharpe_gap", "SELECT key, (s1 - s0) / sqrt((2 - 2 * rho + 0.5 * (s1 * s1 + s0 * s0 - 2 * s1 * s0 * rho * rho)) / n) AS z FROM (SELECT a.series || '-' || a.model AS key, count(*) AS n, avg(a.r) / stddev_pop(a.r) AS s1, avg(b.r) / stddev_pop(b.r) AS s0, corr(a.r, b.r) AS rho FROM strat a JOIN strat b ON a.series = b.series AND a.t = b.t WHERE b.model = 'RW126' AND a.model <> 'RW126' GROUP BY 1)", floats="z", digits=5)
-def k07(spark, d):
-    s = strats(spark, d)
+def k07(spark, d, of=baseline_race):
+    s = strats(spark, d, of)
     b = s.where("model = 'RW126'").select("series", "t", F.col("r").alias("r0"))
     j = s.where("model != 'RW126'").join(b, ["series", "t"]).withColumn("key", F.concat_ws("-", "series", "model"))
     return inf.sharpe_gap_z(j, "r", "r0", ["key"])
 
 
 IDX = """sizes AS (SELECT series, max(t) - 36 + 1 AS n FROM strat GROUP BY 1),
-idx AS (SELECT series, b, j * 12 + o AS pos, (start + o) % n AS i FROM (SELECT series, n, b, j, CAST('0x' || substr(md5('42-' || b || '-' || j), 1, 8) AS BIGINT) % n AS start FROM sizes, (SELECT unnest(range(200)) AS b), (SELECT unnest(range(60)) AS j) WHERE j < ceil(n / 12.0)), (SELECT unnest(range(12)) AS o) WHERE j * 12 + o < n),
+idx AS (SELECT series, b, j * 12 + o AS pos, (start + o) % n AS i FROM (SELECT series, n, b, j, CAST('0x' || substr(md5('42-' || b || '-' || j), 1, 8) AS BIGINT) % n AS start FROM sizes, (SELECT unnest(range(5000)) AS b), (SELECT unnest(range(60)) AS j) WHERE j < ceil(n / 12.0)), (SELECT unnest(range(12)) AS o) WHERE j * 12 + o < n),
 samp AS (SELECT x.series, x.b, s.model, s.r FROM idx x JOIN strat s ON x.series = s.series AND s.t - 36 = x.i)"""
 
 
@@ -112,8 +115,8 @@ def k08(spark, d):
     return bs.block_index(n, REPS)
 
 
-def sample(spark, d):
-    return bs.resampled(strats(spark, d), REPS, race.FIRST)
+def sample(spark, d, of=baseline_race):
+    return bs.resampled(strats(spark, d, of), REPS, race.FIRST)
 
 
 SH = IDX + ", rs AS (SELECT series, b, model, sqrt(12) * avg(r) / stddev_pop(r) AS v FROM samp GROUP BY ALL), df AS (SELECT a.series, a.model, a.b, a.v - z.v AS d FROM rs a JOIN rs z ON a.series = z.series AND a.b = z.b WHERE z.model = 'RW126' AND a.model <> 'RW126')"
@@ -125,36 +128,51 @@ def summary(stats, value):
 
 
 @query("K09_sharpe_bootstrap", SUMMARY, SH, floats="boot_mean ci_lo ci_hi p_le0", digits=5)
-def k09(spark, d):
-    return summary(sample(spark, d).groupBy("series", "b", "model").agg(bs.sharpe_pop().alias("v")), "v")
+def k09(spark, d, of=baseline_race):
+    return summary(sample(spark, d, of).groupBy("series", "b", "model").agg(bs.sharpe_pop().alias("v")), "v")
 
 
 ES = IDX + ", rs AS (SELECT series, b, model, avg(r) * 100 AS v FROM (SELECT *, row_number() OVER (PARTITION BY series, b, model ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, b, model) AS n FROM samp) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL), df AS (SELECT a.series, a.model, a.b, a.v - z.v AS d FROM rs a JOIN rs z ON a.series = z.series AND a.b = z.b WHERE z.model = 'RW126' AND a.model <> 'RW126')"
 OBS = "ob AS (SELECT series, model, avg(r) * 100 AS v FROM (SELECT *, row_number() OVER (PARTITION BY series, model ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, model) AS n FROM strat) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL), obs AS (SELECT a.series, a.model, a.v - z.v AS obs FROM ob a JOIN ob z ON a.series = z.series WHERE z.model = 'RW126' AND a.model <> 'RW126')"
 
 
-def es_gaps(spark, d):
-    return bs.against(bs.shortfall(sample(spark, d), ["series", "b", "model"]), "es", "RW126", ["series", "b"]).select("series", "b", "model", "d")
+@saved("lineitem", "part")
+def _baseline_gaps(spark, d):
+    return shortfall_gaps(sample(spark, d))
+
+
+@saved("lineitem", "part")
+def _whole_gaps(spark, d):
+    return shortfall_gaps(sample(spark, d, whole_race))
+
+
+def shortfall_gaps(resampled):
+    return bs.against(bs.shortfall(resampled, ["series", "b", "model"]), "es", "RW126", ["series", "b"]).select("series", "b", "model", "d")
+
 
+def es_gaps(spark, d, of=baseline_race):
+    """Gap of each replicate's shortfall to the random walk's; four queries share it, so it is written once."""
+    return (_baseline_gaps if of is baseline_race else _whole_gaps)(spark, d)
 
-def es_seen(spark, d):
-    return bs.against(bs.shortfall(strats(spark, d), ["series", "model"]), "es", "RW126", ["series"]).select("series", "model", F.col("d").alias("obs"))
+
+def es_seen(spark, d, of=baseline_race):
+    return bs.against(bs.shortfall(strats(spark, d, of), ["series", "model"]), "es", "RW126", ["series"]).select("series", "model", F.col("d").alias("obs"))
 
 
 @query("K10_tail_bootstrap", SUMMARY, ES, floats="boot_mean ci_lo ci_hi p_le0", digits=5)
-def k10(spark, d):
-    return bs.interval(es_gaps(spark, d), ["series", "model"])
+def k10(spark, d, of=baseline_race):
+    return bs.interval(es_gaps(spark, d, of), ["series", "model"])
 
 
 @query("K11_certainty_bootstrap", SUMMARY, SH.replace("sqrt(12) * avg(r) / stddev_pop(r) AS v", "(avg(r) - 2.5 * var_pop(r)) * 1200 AS v"), floats="boot_mean ci_lo ci_hi p_le0", digits=5)
-def k11(spark, d):
-    return summary(sample(spark, d).groupBy("series", "b", "model").agg(metrics.mv_certainty("r", 5).alias("v")), "v")
+def k11(spark, d, of=baseline_race):
+    return summary(sample(spark, d, of).groupBy("series", "b", "model").agg(metrics.mv_certainty("r", 5).alias("v")), "v")
 
 
 @query("K12_family_max", "SELECT series, avg(CASE WHEN m >= top THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT series, b, max(c) AS m FROM (SELECT series, b, d - avg(d) OVER (PARTITION BY series, model) AS c FROM df) GROUP BY ALL) JOIN (SELECT series, max(obs) AS top FROM obs GROUP BY 1) USING (series) GROUP BY 1", f"{ES}, {OBS}", floats="p")
-def k12(spark, d):
-    top = es_seen(spark, d).groupBy("series").agg(F.max("obs").alias("top"))
-    null = es_gaps(spark, d).withColumn("c", F.col("d") - F.avg("d").over(W.partitionBy("series", "model"))).groupBy("series", "b").agg(F.max("c").alias("m"))
+def k12(spark, d, of=baseline_race):
+    top = es_seen(spark, d, of).groupBy("series").agg(F.max("obs").alias("top"))
+    null = es_gaps(spark, d, of).withColumn("c", F.col("d") - F.avg("d").over(W.partitionBy("series", "model"))).groupBy("series", "b").agg(F.max("c").alias("m"))
     return null.join(top, "series").groupBy("series").agg(F.avg(F.expr("double(m >= top)")).alias("p"))
 
 
@@ -162,42 +180,42 @@ STEP = f"{ES}, {OBS}, sd AS (SELECT series, model, stddev_pop(d) AS sd, avg(CASE
 
 
 @query("K13_step_down", "SELECT series, model, t, indiv_p, max(p) OVER (PARTITION BY series ORDER BY t DESC, model) AS rw_p FROM (SELECT series, model, t, indiv_p, avg(CASE WHEN m >= t THEN 1.0 ELSE 0.0 END) AS p FROM nl GROUP BY ALL)", STEP, floats="t indiv_p rw_p", digits=5)
-def k13(spark, d):
-    return bs.step_down(es_gaps(spark, d), es_seen(spark, d), ["series"])
+def k13(spark, d, of=baseline_race):
+    return bs.step_down(es_gaps(spark, d, of), es_seen(spark, d, of), ["series"])
 
 
-def reality(table, value):
-    """Share of replicates whose largest centred t reaches the observed largest t."""
-    obs = table.groupBy("series", "model").agg(F.avg(value).alias("mean"), (F.avg(value) / (F.stddev_samp(value) / F.sqrt(F.count("*")))).alias("t"))
+def reality(table, value, deviation):
+    """Share of replicates whose largest centred t, with this deviation in it, reaches the observed largest t."""
+    obs = table.groupBy("series", "model").agg(F.avg(value).alias("mean"), (F.avg(value) / (deviation(value) / F.sqrt(F.count("*")))).alias("t"))
     top = obs.groupBy("series").agg(F.max("t").alias("top"))
     each = bs.resampled(table.select("series", "model", "t", value), REPS, race.FIRST).join(obs.select("series", "model", "mean"), ["series", "model"])
-    boot = each.groupBy("series", "b", "model").agg(((F.avg(value) - F.first("mean")) / (F.stddev_samp(value) / F.sqrt(F.count("*")))).alias("t")).groupBy("series", "b").agg(F.max("t").alias("m"))
+    boot = each.groupBy("series", "b", "model").agg(((F.avg(value) - F.first("mean")) / (deviation(value) / F.sqrt(F.count("*")))).alias("t")).groupBy("series", "b").agg(F.max("t").alias("m"))
     return boot.join(top, "series").groupBy("series").agg(F.first("top").alias("max_t"), F.avg(F.expr("double(m >= top)")).alias("p"))
 
 
-def reality_sql(value: str) -> str:
-    return f"""{GAPS}, {IDX}, own AS (SELECT series, model, t, {value} AS x FROM gaps), ob AS (SELECT series, model, avg(x) AS mean, avg(x) / (stddev_samp(x) / sqrt(count(*))) AS t FROM own GROUP BY ALL),
-bt AS (SELECT i.series, i.b, o.model, (avg(x) - any_value(mean)) / (stddev_samp(x) / sqrt(count(*))) AS t FROM idx i JOIN own o ON i.series = o.series AND o.t - 36 = i.i JOIN ob ON ob.series = o.series AND ob.model = o.model GROUP BY ALL)"""
+def reality_sql(value: str, deviation: str) -> str:
+    return f"""{GAPS}, {IDX}, own AS (SELECT series, model, t, {value} AS x FROM gaps), ob AS (SELECT series, model, avg(x) AS mean, avg(x) / ({deviation}(x) / sqrt(count(*))) AS t FROM own GROUP BY ALL),
+bt AS (SELECT i.series, i.b, o.model, (avg(x) - any_value(mean)) / ({deviation}(x) / sqrt(count(*))) AS t FROM idx i JOIN own o ON i.series = o.series AND o.t - 36 = i.i JOIN ob ON ob.series = o.series AND ob.model = o.model GROUP BY ALL)"""
 
 
 REALITY = "SELECT series, any_value(top) AS max_t, avg(CASE WHEN m >= top THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT series, b, max(t) AS m FROM bt GROUP BY ALL) JOIN (SELECT series, max(t) AS top FROM ob GROUP BY 1) USING (series) GROUP BY 1"
 
 
-@query("K14_reality_check", REALITY, reality_sql("-d"), floats="max_t p", digits=5)
-def k14(spark, d):
-    return reality(inf.loss_gaps(scored(spark, d)).withColumn("gain", -F.col("d")), "gain")
+@query("K14_reality_check", REALITY, reality_sql("-d", "stddev_pop"), floats="max_t p", digits=5)
+def k14(spark, d, of=baseline_race):
+    return reality(inf.loss_gaps(scored(spark, d, of)).withColumn("gain", -F.col("d")), "gain", F.stddev_pop)
 
 
-@query("K14b_reality_check_adjusted", REALITY, reality_sql("adj"), floats="max_t p", digits=5)
-def k14b(spark, d):
-    return reality(inf.loss_gaps(scored(spark, d)), "adj")
+@query("K14b_reality_check_adjusted", REALITY, reality_sql("adj", "stddev_samp"), floats="max_t p", digits=5)
+def k14b(spark, d, of=baseline_race):
+    return reality(inf.loss_gaps(scored(spark, d, of)), "adj", F.stddev_samp)
 
 
 SLOPE = f"{IDX}, pt AS (SELECT i.series, i.b, s.model, sum(pow(s.y - s.f, 2)) AS sse, sqrt(12) * avg(s.lev * s.ret_next) / stddev_pop(s.lev * s.ret_next) AS sr FROM idx i JOIN scored s ON i.series = s.series AND s.t - 36 = i.i GROUP BY ALL), sl AS (SELECT a.series, a.b, regr_slope(a.sr, (1 - a.sse / e.sse) * 100) AS slope FROM pt a JOIN pt e ON a.series = e.series AND a.b = e.b WHERE e.model = 'ExpandingMean' GROUP BY ALL)"
 
 
-def slopes(spark, d):
-    x = bs.resampled(scored(spark, d), REPS, race.FIRST)
+def slopes(spark, d, of=baseline_race):
+    x = bs.resampled(scored(spark, d, of), REPS, race.FIRST)
     g = x.groupBy("series", "b", "model").agg(F.sum(F.pow(F.col("y") - F.col("f"), F.lit(2))).alias("sse"), bs.sharpe_pop(F.col("lev") * F.col("ret_next")).alias("sr"))
     base = g.where("model = 'ExpandingMean'").select("series", "b", F.col("sse").alias("_e"))
     r2 = (1 - F.col("sse") / F.col("_e")) * 100
@@ -205,33 +223,56 @@ def slopes(spark, d):
 
 
 @query("K15_transfer_slope", "SELECT series, quantile_cont(slope, CAST(0.025 AS DOUBLE)) AS lo, median(slope) AS mid, quantile_cont(slope, CAST(0.975 AS DOUBLE)) AS hi FROM sl GROUP BY 1", SLOPE, floats="lo mid hi", digits=4)
-def k15(spark, d):
-    return slopes(spark, d).groupBy("series").agg(F.percentile("slope", 0.025).alias("lo"), F.percentile("slope", 0.5).alias("mid"), F.percentile("slope", 0.975).alias("hi"))
+def k15(spark, d, of=baseline_race):
+    return slopes(spark, d, of).groupBy("series").agg(F.percentile("slope", 0.025).alias("lo"), F.percentile("slope", 0.5).alias("mid"), F.percentile("slope", 0.975).alias("hi"))
+
+
+TAIL_SLOPE = SLOPE + ", pe AS (SELECT series, b, model, avg(x) * 100 AS es FROM (SELECT i.series, i.b, s.model, s.lev * s.ret_next AS x, row_number() OVER (PARTITION BY i.series, i.b, s.model ORDER BY s.lev * s.ret_next) AS rn, count(*) OVER (PARTITION BY i.series, i.b, s.model) AS n FROM idx i JOIN scored s ON i.series = s.series AND s.t - 36 = i.i) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL), te AS (SELECT a.series, a.b, regr_slope(p.es, (1 - a.sse / e.sse) * 100) AS slope FROM pt a JOIN pt e ON a.series = e.series AND a.b = e.b AND e.model = 'ExpandingMean' JOIN pe p ON p.series = a.series AND p.b = a.b AND p.model = a.model GROUP BY ALL)"
+
+
+def tail_slopes(spark, d, of=baseline_race):
+    """Slope of the shortfall on the forecast's R2 over the models of each replicate."""
+    x = bs.resampled(scored(spark, d, of).withColumn("x", F.col("lev") * F.col("ret_next")), REPS, race.FIRST)
+    sse = x.groupBy("series", "b", "model").agg(F.sum(F.pow(F.col("y") - F.col("f"), F.lit(2))).alias("sse"))
+    g = sse.join(bs.shortfall(x, ["series", "b", "model"], r="x"), ["series", "b", "model"])
+    base = sse.where("model = 'ExpandingMean'").select("series", "b", F.col("sse").alias("_e"))
+    return g.join(base, ["series", "b"]).groupBy("series", "b").agg(F.regr_slope("es", (1 - F.col("sse") / F.col("_e")) * 100).alias("slope"))
+
+
+@query("K15b_tail_slope", "SELECT series, quantile_cont(slope, CAST(0.025 AS DOUBLE)) AS lo, median(slope) AS mid, quantile_cont(slope, CAST(0.975 AS DOUBLE)) AS hi FROM te GROUP BY 1", TAIL_SLOPE, floats="lo mid hi", digits=4)
+def k15b(spark, d, of=baseline_race):
+    return tail_slopes(spark, d, of).groupBy("series").agg(F.percentile("slope", 0.025).alias("lo"), F.percentile("slope", 0.5).alias("mid"), F.percentile("slope", 0.975).alias("hi"))
 
 
 @query("K16_deflated_sharpe")
-def k16(spark, d):
-    return inf.deflated_sharpe(strats(spark, d))
+def k16(spark, d, of=baseline_race):
+    """Against as many trials as there are models, and against 12 and 40."""
+    s = strats(spark, d, of)
+    own = inf.deflated_sharpe(s).withColumn("trials", F.lit("models"))
+    return own.unionByName(inf.deflated_sharpe(s, 12).withColumn("trials", F.lit("12"))).unionByName(inf.deflated_sharpe(s, 40).withColumn("trials", F.lit("40")))
+
 
+def tails(df, keys: list[str], types: str, thresholds: tuple[float, ...] = (0.85,)):
+    """Pareto tails above each threshold: shortfall at 5 and 1 per cent, shape, exceedances."""
 
-def tails(df, keys: list[str], types: str):
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {k: [v] for k, v in zip(keys, key, strict=True)}
-        es5, shape, n = kernels.pareto_tail(-rows.r.to_numpy(), 0.85, 0.05)
-        es1 = kernels.pareto_tail(-rows.r.to_numpy(), 0.85, 0.01)[0]
-        return pd.DataFrame(out | {"es5": [es5], "es1": [es1], "shape": [shape], "n": [n]})
+        loss, out = -rows.r.to_numpy(), []
+        for u in thresholds:
+            es5, shape, n = kernels.pareto_tail(loss, u, 0.05)
+            out.append({**dict(zip(keys, key, strict=True)), "u": u, "es5": es5, "es1": kernels.pareto_tail(loss, u, 0.01)[0], "shape": shape, "n": n})
+        return pd.DataFrame(out)
 
-    return df.groupBy(*keys).applyInPandas(fit, f"{types}, es5 double, es1 double, shape double, n long")
+    return df.groupBy(*keys).applyInPandas(fit, f"{types}, u double, es5 double, es1 double, shape double, n long")
 
 
 @query("K17_pareto_tail")
 def k17(spark, d):
-    return tails(c.series_day(spark, d).select("series", "r"), ["series"], "series string")
+    return tails(c.series_day(spark, d).select("series", "r"), ["series"], "series string", (0.80, 0.85, 0.90))
 
 
 @query("K18_pareto_bootstrap")
-def k18(spark, d):
-    s = bs.resampled(strats(spark, d), TAIL_REPS, race.FIRST).select("series", "b", "model", "r")
+def k18(spark, d, of=baseline_race):
+    s = bs.resampled(strats(spark, d, of), TAIL_REPS, race.FIRST).select("series", "b", "model", "r")
     t = tails(s, ["series", "b", "model"], "series string, b int, model string").unpivot(["series", "b", "model"], ["es5", "es1"], "level", "es").where("not isnan(es)")
     return bs.interval(bs.against(t, "es", "RW126", ["series", "b", "level"]), ["series", "model", "level"])
 
@@ -242,8 +283,8 @@ def k19(spark, d):
 
 
 @query("K20_shortfall_levels", "SELECT series, model, q, avg(r) * 100 AS es FROM (SELECT series, model, q, r, row_number() OVER (PARTITION BY series, model, q ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, model, q) AS n FROM strat, (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE))) g(q)) WHERE rn <= greatest(1, floor(q * n)) GROUP BY ALL", floats="es")
-def k20(spark, d):
-    s = strats(spark, d)
+def k20(spark, d, of=baseline_race):
+    s = strats(spark, d, of)
     parts = [bs.shortfall(s, ["series", "model"], q).withColumn("q", F.lit(q)) for q in (0.01, 0.05, 0.1)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -255,6 +296,36 @@ def k21(spark, d):
     return j.agg(F.avg("d").alias("mean"), F.avg(F.expr("double(d <= 0)")).alias("p"))
 
 
+@query("K21b_tail_slope_difference", "SELECT avg(x.slope - y.slope) AS mean, avg(CASE WHEN x.slope - y.slope <= 0 THEN 1.0 ELSE 0.0 END) AS p FROM te x JOIN te y USING (b) WHERE x.series = 'wml' AND y.series = 'mkt'", TAIL_SLOPE, floats="mean p", digits=4)
+def k21b(spark, d):
+    s = tail_slopes(spark, d)
+    j = s.where("series = 'wml'").select("b", "slope").join(s.where("series = 'mkt'").select("b", F.col("slope").alias("o")), "b").withColumn("d", F.col("slope") - F.col("o"))
+    return j.agg(F.avg("d").alias("mean"), F.avg(F.expr("double(d <= 0)")).alias("p"))
+
+
+@saved("lineitem", "part", "supplier", "nation", "region")
+def market_race(spark, d):
+    return race.race(c.market_day(spark, d).withColumnRenamed("market", "series"))
+
+
+@saved("lineitem", "part", "supplier", "nation", "region")
+def market_forecasts(spark, d):
+    return race.baselines(market_race(spark, d))
+
+
+def markets(spark, d):
+    """The race with a market's factor as each series."""
+    return market_race(spark, d), market_forecasts(spark, d)
+
+
+@query("K22b_paired_markets", "SELECT model, avg(x.d - y.d) AS mean, avg(CASE WHEN x.d - y.d <= 0 THEN 1.0 ELSE 0.0 END) AS p FROM df x JOIN df y USING (b, model) WHERE x.series = 'ASIA' AND y.series = 'EUROPE' GROUP BY 1", ES, floats="mean p", digits=5, markets=True)
+def k22b(spark, d):
+    """Difference of the tail gains in two markets, both drawn with the same blocks."""
+    g = shortfall_gaps(sample(spark, d, markets))
+    j = g.where("series = 'ASIA'").select("b", "model", "d").join(g.where("series = 'EUROPE'").select("b", "model", F.col("d").alias("o")), ["b", "model"]).withColumn("x", F.col("d") - F.col("o"))
+    return j.groupBy("model").agg(F.avg("x").alias("mean"), F.avg(F.expr("double(x <= 0)")).alias("p"))
+
+
 @query("K22_paired_difference", "SELECT model, avg(x.d - y.d) AS mean, avg(CASE WHEN x.d - y.d <= 0 THEN 1.0 ELSE 0.0 END) AS p FROM df x JOIN df y USING (b, model) WHERE x.series = 'win' AND y.series = 'los' GROUP BY 1", ES, floats="mean p", digits=5)
 def k22(spark, d):
     g = es_gaps(spark, d)
@@ -263,15 +334,15 @@ def k22(spark, d):
 
 
 @query("K23_jackknife", "SELECT series, model, k, (avg(r) - 2.5 * var_pop(r)) * 1200 AS ce FROM (SELECT series, model, k, r, row_number() OVER (PARTITION BY series, model, k ORDER BY r, t) AS rn FROM strat, (VALUES (1), (3), (5)) g(k)) WHERE rn > k GROUP BY ALL", floats="ce", digits=5)
-def k23(spark, d):
+def k23(spark, d, of=baseline_race):
     rn = F.row_number().over(W.partitionBy("series", "model").orderBy("r", "t"))
-    x = strats(spark, d).withColumn("rn", rn).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5)))).where("rn > k")
+    x = strats(spark, d, of).withColumn("rn", rn).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5)))).where("rn > k")
     return x.groupBy("series", "model", "k").agg(metrics.mv_certainty("r", 5).alias("ce"))
 
 
 @query("K24_placebo_factors", "SELECT series, model, max(sr) - max(pl) AS gain FROM (SELECT series, model, sqrt(12) * avg(r) / stddev_samp(r) AS sr FROM strat WHERE model <> 'plain' GROUP BY ALL) JOIN (SELECT series, sqrt(12) * avg(r) / stddev_samp(r) AS pl FROM strat WHERE model = 'plain' GROUP BY 1) USING (series) GROUP BY ALL", floats="gain", digits=5)
-def k24(spark, d):
-    g = strats(spark, d).groupBy("series", "model").agg(metrics.sharpe("r").alias("sr"))
+def k24(spark, d, of=baseline_race):
+    g = strats(spark, d, of).groupBy("series", "model").agg(metrics.sharpe("r").alias("sr"))
     return g.where("model != 'plain'").join(g.where("model = 'plain'").select("series", F.col("sr").alias("pl")), "series").select("series", "model", (F.col("sr") - F.col("pl")).alias("gain"))
 
 
@@ -293,22 +364,68 @@ def k26(spark, d):
     return m.select("worst", "sr", rolling.mean_rank("worst", []).alias("a"), rolling.mean_rank("sr", []).alias("b")).agg(F.regr_slope("worst", "sr").alias("slope"), F.corr("a", "b").alias("rho"))
 
 
+@query("K26b_cross_market_gain", "SELECT regr_slope(gain, sr) AS slope, corr(a, b) AS rho FROM (SELECT gain, sr, rank() OVER (ORDER BY gain) AS a, rank() OVER (ORDER BY sr) AS b FROM (SELECT series, max(es) FILTER (model = 'RW126') - max(es) FILTER (model = 'plain') AS gain, max(sr) FILTER (model = 'plain') AS sr FROM (SELECT series, model, avg(CASE WHEN rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) THEN r END) * 100 AS es, sqrt(12) * avg(r) / stddev_samp(r) AS sr FROM (SELECT *, row_number() OVER (PARTITION BY series, model ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, model) AS n FROM strat) GROUP BY ALL) GROUP BY 1))", floats="slope rho", digits=5, markets=True)
+def k26b(spark, d):
+    """Tail gain of variance management against the plain factor's Sharpe ratio, over markets."""
+    s = strats(spark, d, markets)
+    g = s.groupBy("series", "model").agg(metrics.sharpe("r").alias("sr")).join(bs.shortfall(s, ["series", "model"]), ["series", "model"])
+    of = lambda model, x: F.max(F.when(F.col("model") == model, F.col(x)))
+    m = g.groupBy("series").agg((of("RW126", "es") - of("plain", "es")).alias("gain"), of("plain", "sr").alias("sr"))
+    return m.select("gain", "sr", rolling.mean_rank("gain", []).alias("a"), rolling.mean_rank("sr", []).alias("b")).agg(F.regr_slope("gain", "sr").alias("slope"), F.corr("a", "b").alias("rho"))
+
+
 def legs_months(spark, d):
     return race.months(c.market_day(spark, d), "market")
 
 
 @query("K27_half_samples", "SELECT series, model, CASE WHEN t < mid THEN 1 ELSE 2 END AS half, sqrt(12) * avg(r) / stddev_samp(r) AS sharpe FROM strat JOIN (SELECT series, median(t) AS mid FROM strat GROUP BY 1) USING (series) GROUP BY ALL", floats="sharpe", digits=5)
-def k27(spark, d):
-    s = strats(spark, d)
+def k27(spark, d, of=baseline_race):
+    s = strats(spark, d, of)
     return s.join(s.groupBy("series").agg(F.percentile("t", 0.5).alias("mid")), "series").groupBy("series", "model", F.when(F.col("t") < F.col("mid"), 1).otherwise(2).alias("half")).agg(metrics.sharpe("r").alias("sharpe"))
 
 
+@query("K27b_window_shift", "SELECT series, model, cut, sqrt(12) * avg(r) / stddev_samp(r) AS sharpe, count(*) AS n FROM strat, (VALUES (0), (6), (12)) g(cut) WHERE t >= 36 + cut GROUP BY ALL", floats="sharpe", digits=5)
+def k27b(spark, d, of=baseline_race):
+    """The same forecasts evaluated from later starts."""
+    s = strats(spark, d, of).withColumn("cut", F.explode(F.array(F.lit(0), F.lit(6), F.lit(12)))).where(F.col("t") >= race.FIRST + F.col("cut"))
+    return s.groupBy("series", "model", "cut").agg(metrics.sharpe("r").alias("sharpe"), F.count("*").alias("n"))
+
+
 @query("K28_verdict", f"SELECT series, model, CASE WHEN boot_mean > 0 AND p_le0 < 0.1 THEN 'supported' WHEN boot_mean > 0 THEN 'mixed' ELSE 'rejected' END AS verdict FROM ({SUMMARY})", SH)
-def k28(spark, d):
-    s = summary(sample(spark, d).groupBy("series", "b", "model").agg(bs.sharpe_pop().alias("v")), "v")
+def k28(spark, d, of=baseline_race):
+    s = summary(sample(spark, d, of).groupBy("series", "b", "model").agg(bs.sharpe_pop().alias("v")), "v")
     return s.select("series", "model", inf.verdict("boot_mean", "p_le0").alias("verdict"))
 
 
 @query("J12_replicate_product", "SELECT series, b, count(*) AS n, avg(r) AS mean FROM samp WHERE model = 'plain' GROUP BY ALL", IDX, floats="mean")
 def j12(spark, d):
     return bs.resampled(strats(spark, d).where("model = 'plain'"), REPS, race.FIRST).groupBy("series", "b").agg(F.count("*").alias("n"), F.avg("r").alias("mean"))
+
+
+# ---- the same over all twelve models, which SQL can't fit
+
+
+@query("K01r_leaderboard_race")
+def k01r(spark, d):
+    """The leaderboard of the whole race with the test against the random walk and its two-sided p-value."""
+    test = k02r(spark, d).withColumnRenamed("stat", "dm")
+    return k01(spark, d, whole_race).join(test, ["series", "model"], "left")
+
+
+@query("K02r_diebold_mariano_race")
+def k02r(spark, d):
+    return k02(spark, d, whole_race).withColumn("p", 2 * (1 - inf.normal_cdf(F.abs("stat"))))
+
+
+@query("K03r_clark_west_race")
+def k03r(spark, d):
+    return k03(spark, d, whole_race).withColumn("p", 1 - inf.normal_cdf("t"))
+
+
+@query("K07r_sharpe_gap_race")
+def k07r(spark, d):
+    return k07(spark, d, whole_race).withColumn("p", 2 * (1 - inf.normal_cdf(F.abs("z"))))
+
+
+for _name, _fn in (("K04r_conditional_hac", k04), ("K09r_sharpe_bootstrap", k09), ("K10r_tail_bootstrap", k10), ("K11r_certainty_bootstrap", k11), ("K12r_family_max", k12), ("K13r_step_down", k13), ("K14r_reality_check", k14), ("K14br_reality_check_adjusted", k14b), ("K15r_transfer_slope", k15), ("K15br_tail_slope", k15b), ("K16r_deflated_sharpe", k16), ("K18r_pareto_bootstrap", k18), ("K20r_shortfall_levels", k20), ("K23r_jackknife", k23), ("K24r_placebo_factors", k24), ("K27r_half_samples", k27), ("K27br_window_shift", k27b), ("K28r_verdict", k28)):
+    query(f"{_name}_race")(partial(_fn, of=whole_race))

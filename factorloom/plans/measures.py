@@ -9,6 +9,8 @@ from factorloom.operators import calendar, legs, metrics, race, rolling, sorts
 from factorloom.plans.panels import SIGNAL
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
+from factorloom.sources.shared import saved
+
 
 def by_month():
     return W.partitionBy("series").orderBy("month")
@@ -18,6 +20,12 @@ def months(spark, d):
     return race.months(c.series_day(spark, d))
 
 
+@saved("lineitem", "part")
+def race_of(spark, d):
+    """The race's rows of every series: next month's variance, and what is known at the month's end."""
+    return race.race(c.series_day(spark, d))
+
+
 @query("G01_realised_variance", "SELECT series, month, rv FROM series_month", floats="rv", digits=8, dates="month")
 def g01(spark, d):
     return months(spark, d).select("series", "month", "rv")
@@ -75,7 +83,7 @@ QUINT = "edges AS (SELECT series, list_distinct(quantile_cont(fvar, [CAST(0 AS D
 
 
 def quint(spark, d):
-    return sorts.quantile_buckets(race.race(c.series_day(spark, d)), "fvar", 5, ["series"])
+    return sorts.quantile_buckets(race_of(spark, d), "fvar", 5, ["series"])
 
 
 @query("G10_risk_quintiles", "SELECT series, bucket, avg(sqrt(y)) AS vol, avg(ret_next) AS ret, sqrt(12) * avg(ret_next) / stddev_samp(ret_next) AS sharpe FROM qd GROUP BY ALL", QUINT, floats="vol ret sharpe")
@@ -110,7 +118,7 @@ def g14(spark, d):
 
 @query("G15_ols_line", "SELECT series, regr_slope(ret_next, fvar) AS slope, regr_intercept(ret_next, fvar) AS intercept, regr_r2(ret_next, fvar) AS r2 FROM race GROUP BY 1", floats="slope intercept r2")
 def g15(spark, d):
-    g = race.race(c.series_day(spark, d)).groupBy("series")
+    g = race_of(spark, d).groupBy("series")
     return g.agg(F.regr_slope("ret_next", "fvar").alias("slope"), F.regr_intercept("ret_next", "fvar").alias("intercept"), F.regr_r2("ret_next", "fvar").alias("r2"))
 
 
@@ -203,12 +211,12 @@ def g27(spark, d):
     return j.where("gap > 1").agg(F.count("*").alias("n"), F.percentile(F.abs("jump"), F.lit(0.5)).alias("mid"))
 
 
-@query("W01_rolling_vol", "SELECT series, date, w, v FROM (SELECT series, date, 21 AS w, CASE WHEN count(*) OVER a >= 21 THEN sqrt(sum(r * r) OVER a * 252 / 21) END AS v FROM series_day WINDOW a AS (PARTITION BY series ORDER BY date ROWS 20 PRECEDING) UNION ALL SELECT series, date, 126, CASE WHEN count(*) OVER a >= 126 THEN sqrt(sum(r * r) OVER a * 252 / 126) END FROM series_day WINDOW a AS (PARTITION BY series ORDER BY date ROWS 125 PRECEDING)) WHERE v IS NOT NULL", floats="v", dates="date")
+@query("W01_rolling_vol", "SELECT series, date, w, v FROM (SELECT series, date, 21 AS w, CASE WHEN count(*) OVER a >= 21 THEN sqrt(sum(r * r) OVER a * 252 / 21) END AS v FROM series_day WINDOW a AS (PARTITION BY series ORDER BY date ROWS 20 PRECEDING) UNION ALL SELECT series, date, 63, CASE WHEN count(*) OVER a >= 63 THEN sqrt(sum(r * r) OVER a * 252 / 63) END FROM series_day WINDOW a AS (PARTITION BY series ORDER BY date ROWS 62 PRECEDING) UNION ALL SELECT series, date, 126, CASE WHEN count(*) OVER a >= 126 THEN sqrt(sum(r * r) OVER a * 252 / 126) END FROM series_day WINDOW a AS (PARTITION BY series ORDER BY date ROWS 125 PRECEDING) UNION ALL SELECT series, date, 252, CASE WHEN count(*) OVER a >= 252 THEN sqrt(sum(r * r) OVER a * 252 / 252) END FROM series_day WINDOW a AS (PARTITION BY series ORDER BY date ROWS 251 PRECEDING)) WHERE v IS NOT NULL", floats="v", dates="date")
 def w01(spark, d):
     s = c.series_day(spark, d)
-    for w in (21, 126):
+    for w in (21, 63, 126, 252):
         s = s.withColumn(str(w), rolling.annual_vol("r", rolling.trailing(["series"], "date", w), w))
-    return s.unpivot(["series", "date"], ["21", "126"], "w", "v").where("v is not null").withColumn("w", F.col("w").cast("int"))
+    return s.unpivot(["series", "date"], ["21", "63", "126", "252"], "w", "v").where("v is not null").withColumn("w", F.col("w").cast("int"))
 
 
 @query("W02_variance_forecast", "SELECT series, month, fvar FROM fvar", floats="fvar", digits=8, dates="month")
@@ -258,6 +266,13 @@ def w09(spark, d):
     return x.select("series", "date", F.expr("double(c504 < 0)").alias("bear"), F.expr("double(c504 < 0 and c21 > 0)").alias("rebound"))
 
 
+@query("W09b_bear_monthly", "SELECT series, month, CASE WHEN round(total, 9) < 0 THEN 1.0 ELSE 0.0 END AS bear FROM (SELECT series, month, sum(ret) OVER a AS total, count(*) OVER a AS n FROM series_month WINDOW a AS (PARTITION BY series ORDER BY month ROWS 23 PRECEDING)) WHERE n >= 24", floats="bear", dates="month")
+def w09b(spark, d):
+    """The bear flag of monthly panels: the sum of 24 months' returns is negative."""
+    total = rolling.full(F.sum("ret"), "ret", rolling.trailing(["series"], "month", 24), 24)
+    return months(spark, d).select("series", "month", total.alias("total")).where("total is not null").select("series", "month", F.expr("double(round(total, 9) < 0)").alias("bear"))
+
+
 @query("W10_forward_window", "SELECT series, month, CASE WHEN count(*) OVER a = 12 THEN stddev_samp(ret) OVER a * sqrt(12) END AS vol, CASE WHEN count(*) OVER a = 12 THEN product(1 + ret) OVER a - 1 END AS ret FROM series_month WINDOW a AS (PARTITION BY series ORDER BY month ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)", floats="vol ret", dates="month")
 def w10(spark, d):
     a = rolling.forward(["series"], "month")
@@ -266,12 +281,12 @@ def w10(spark, d):
 
 @query("W11_expanding_mean", "SELECT series, t, avg(y) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM race", floats="f", digits=8)
 def w11(spark, d):
-    return race.race(c.series_day(spark, d)).select("series", "t", F.avg("y").over(rolling.expanding_before(["series"], "t")).alias("f"))
+    return race_of(spark, d).select("series", "t", F.avg("y").over(rolling.expanding_before(["series"], "t")).alias("f"))
 
 
 @query("W12_ewma", "SELECT series, t, lam, f FROM ewma", floats="f", digits=8)
 def w12(spark, d):
-    return race.ewmas(race.race(c.series_day(spark, d)))
+    return race.ewmas(race_of(spark, d))
 
 
 @query("W13_abs_difference", "SELECT series, month, abs(ret - coalesce(lag(ret) OVER w, ret)) AS diff FROM series_month WINDOW w AS (PARTITION BY series ORDER BY month)", floats="diff", dates="month")
@@ -282,7 +297,7 @@ def w13(spark, d):
 @query("W14_quarterly_hold", "SELECT series, t, first_value(fvar) OVER (PARTITION BY series, t // 3 ORDER BY t) AS held FROM race", floats="held", digits=8)
 def w14(spark, d):
     w = W.partitionBy("series", F.floor(F.col("t") / 3)).orderBy("t")
-    return race.race(c.series_day(spark, d)).select("series", "t", F.first("fvar").over(w).alias("held"))
+    return race_of(spark, d).select("series", "t", F.first("fvar").over(w).alias("held"))
 
 
 @query("W15_win_rate", "SELECT series, avg(CASE WHEN sw > sm THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM (SELECT a.series, count(*) OVER w AS n, round(avg(a.ret) OVER w / stddev_pop(a.ret) OVER w, 9) AS sw, round(avg(b.ret) OVER w / stddev_pop(b.ret) OVER w, 9) AS sm FROM series_month a JOIN series_month b USING (month) WHERE b.series = 'mkt' WINDOW w AS (PARTITION BY a.series ORDER BY month ROWS 59 PRECEDING)) WHERE n = 60 GROUP BY 1", floats="rate")
@@ -294,6 +309,15 @@ def w15(spark, d):
     return j.groupBy("series").agg(F.avg(F.expr("double(sw > sm)")).alias("rate"), F.count("*").alias("n"))
 
 
+@query("W15b_win_rate_tail", "SELECT series, avg(CASE WHEN ew >= em THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n FROM (SELECT series, round(list_avg(list_sort(la)[1:3]), 9) AS ew, round(list_avg(list_sort(lb)[1:3]), 9) AS em FROM (SELECT a.series, list(a.ret) OVER w AS la, list(b.ret) OVER w AS lb, count(*) OVER w AS n FROM series_month a JOIN series_month b USING (month) WHERE b.series = 'mkt' WINDOW w AS (PARTITION BY a.series ORDER BY month ROWS 59 PRECEDING)) WHERE n = 60) GROUP BY 1", floats="rate")
+def w15b(spark, d):
+    """How often a window's mean of its three worst of 60 months is no worse than the market's."""
+    m, a = months(spark, d).select("series", "month", "ret"), rolling.trailing(["series"], "month", 60)
+    worst = lambda x: F.round(F.aggregate(F.slice(F.array_sort(F.collect_list(x).over(a)), 1, 3), F.lit(0.0), lambda s, v: s + v) / 3, 9)
+    j = m.join(m.where("series = 'mkt'").select("month", F.col("ret").alias("b")), "month").select("series", F.count("*").over(a).alias("n"), worst("ret").alias("ew"), worst("b").alias("em")).where("n = 60")
+    return j.groupBy("series").agg(F.avg(F.expr("double(ew >= em)")).alias("rate"), F.count("*").alias("n"))
+
+
 @query("W16_rank", "SELECT k, code, rank() OVER (PARTITION BY k ORDER BY ret DESC) + (count(*) OVER (PARTITION BY k, ret) - 1) / 2.0 AS rnk FROM px_month", floats="rnk")
 def w16(spark, d):
     return c.px_month(spark, d).select("k", "code", rolling.mean_rank("ret", ["k"], ascending=False).alias("rnk"))
@@ -301,7 +325,7 @@ def w16(spark, d):
 
 @query("W17_forward_fill", "SELECT date, last_value(ret IGNORE NULLS) OVER (ORDER BY date) AS ret FROM (SELECT DISTINCT date FROM line) LEFT JOIN (SELECT date, ret FROM ret_day WHERE code = 'Brand#17') USING (date)", floats="ret", dates="date")
 def w17(spark, d):
-    j = c.lines(spark, d).select("date").distinct().join(c.ret_day(spark, d).where("code = 'Brand#17'").select("date", "ret"), "date", "left")
+    j = c.days(spark, d).select("date").join(c.ret_day(spark, d).where("code = 'Brand#17'").select("date", "ret"), "date", "left")
     return j.select("date", F.last("ret", ignorenulls=True).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)).alias("ret"))
 
 
@@ -319,7 +343,7 @@ def w19(spark, d):
 @query("W20_lag_sequences", "SELECT series, t, list_aggregate(x, 'sum') AS total, len(x) AS n FROM (SELECT series, t, list(y) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS x FROM race) WHERE len(x) = 12", floats="total", digits=8)
 def w20(spark, d):
     x = F.collect_list("y").over(rolling.ordered(["series"], "t").rowsBetween(-12, -1))
-    s = race.race(c.series_day(spark, d)).withColumn("x", x).where(F.size("x") == 12)
+    s = race_of(spark, d).withColumn("x", x).where(F.size("x") == 12)
     return s.select("series", "t", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.size("x").cast("long").alias("n"))
 
 
@@ -362,11 +386,11 @@ def o04(spark, d):
 
 @query("O05_set_union", "SELECT month FROM cal WHERE k < 30 UNION SELECT month FROM rf_month INTERSECT SELECT month FROM cal", dates="month")
 def o05(spark, d):
-    m = calendar.ordinals(c.lines(spark, d).select(F.last_day("date").alias("month")), "month", "k")
+    m = c.months(spark, d)
     return m.where("k < 30").select("month").union(c.rf_month(spark, d).select("month").intersect(m.select("month"))).distinct()
 
 
 @query("O06_difference", "SELECT month FROM cal EXCEPT SELECT month FROM cal WHERE k % 5 = 0", dates="month")
 def o06(spark, d):
-    m = calendar.ordinals(c.lines(spark, d).select(F.last_day("date").alias("month")), "month", "k")
+    m = c.months(spark, d)
     return m.select("month").subtract(m.where("k % 5 = 0").select("month"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from factorloom.operators import calendar, legs, reshape, sorts
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
-from factorloom.sources import files
+from factorloom.sources import files, workbook
 
 
-@query("S01_panel_scan", "SELECT date, code, adj_close FROM px_day WHERE adj_close > 20000", floats="adj_close", digits=4, dates="date")
+@query("S01_panel_scan", "SELECT date, code, adj_close FROM px_day WHERE adj_close > 0", floats="adj_close", digits=4, dates="date")
 def s01(spark, d):
-    return c.px_day(spark, d).where("adj_close > 20000").select("date", "code", "adj_close")
+    return c.px_day(spark, d).where("adj_close > 0").select("date", "code", "adj_close")
 
 
 @query("S02_panel_slice", "SELECT date, code, ret FROM ret_day WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'", floats="ret", dates="date")
@@ -32,22 +32,28 @@ def s04(spark, d):
     return text.select(F.last_day(F.to_date("period", "yyyy-MM")).alias("month"), "rf")
 
 
-@query("S05_wide_sheet", "SELECT code, month, pbr FROM px_month WHERE year(month) = 1996 AND pbr > 0", floats="pbr", dates="month")
+@query("S05_wide_sheet", "SELECT code, month, pbr FROM px_month WHERE pbr > 0", floats="pbr", dates="month")
 def s05(spark, d):
-    wide = c.px_month(spark, d).where("year(month) = 1996").groupBy("code").pivot("month").agg(F.first("pbr"))
+    wide = c.px_month(spark, d).groupBy("code").pivot("month").agg(F.first("pbr"))
     return files.unpivot_sheet(wide, "code", "month", "pbr")
 
 
-@query("S05b_sheet_universe", "SELECT code, month, pbr FROM px_month WHERE year(month) = 1996 AND code IN (SELECT p_brand FROM part WHERE p_size = 1)", floats="pbr", dates="month")
+@query("S05b_sheet_universe", "SELECT code, month, pbr FROM px_month WHERE code IN (SELECT p_brand FROM part WHERE p_size = 1)", floats="pbr", dates="month")
 def s05b(spark, d):
-    wide = c.px_month(spark, d).where("year(month) = 1996").groupBy("code").pivot("month").agg(F.first("pbr"))
+    wide = c.px_month(spark, d).groupBy("code").pivot("month").agg(F.first("pbr"))
     names = c.table(spark, d, "part").where("p_size = 1").select(F.col("p_brand").alias("code")).distinct()
     return files.unpivot_sheet(wide, "code", "month", "pbr").join(names, "code", "left_semi")
 
 
-@query("S06_sectioned_file", "SELECT date, CASE WHEN series = 'los' THEN 'd1' ELSE 'd2' END AS name, r AS value FROM series_day WHERE year(date) = 1996 AND series IN ('los', 'win')", floats="value", dates="date")
+@query("S05c_workbook", "SELECT code, month AS date, pbr AS value FROM px_month WHERE pbr > 0", floats="value", dates="date")
+def s05c(spark, d):
+    """The same panel through a workbook: dated header found by its marks, months' last columns, positive numbers."""
+    return workbook.read(workbook.write(c.px_month(spark, d).select("code", "month", "pbr"), "code", "month", "pbr"))
+
+
+@query("S06_sectioned_file", "SELECT date, CASE WHEN series = 'los' THEN 'd1' ELSE 'd2' END AS name, r AS value FROM series_day WHERE series IN ('los', 'win')", floats="value", dates="date")
 def s06(spark, d):
-    wide = c.series_day(spark, d).where("year(date) = 1996 and series in ('los', 'win')").groupBy("date").pivot("series", ["los", "win"]).agg(F.first("r"))
+    wide = c.series_day(spark, d).where("series in ('los', 'win')").groupBy("date").pivot("series", ["los", "win"]).agg(F.first("r"))
     return files.sectioned(files.write_sectioned(wide.select("date", F.col("los").alias("d1"), F.col("win").alias("d2")), "Average Returns -- Daily"), "Average Returns -- Daily", ["d1", "d2"]).where("value is not null")
 
 
@@ -56,6 +62,14 @@ def s08(spark, d):
     return c.rf_month(spark, d).select("month", calendar.annual_percent_to_month(F.col("rf") * 1000).alias("monthly"))
 
 
+@query("S08b_rate_compare", "SELECT max(abs(rf - round(rf, 4))) AS difference FROM rf_month", floats="difference", digits=9)
+def s08b(spark, d):
+    """A rate file with four digits, read back and compared with the rates."""
+    rates = c.rf_month(spark, d).select("month", "rf")
+    back = files.csv_round_trip(rates.select("month", F.round("rf", 4).alias("rf")))
+    return files.compared(rates, back, ["month"], "rf")
+
+
 @query("S09_listing_filter", "SELECT code, count(*) AS n FROM px_day WHERE code IN (SELECT p_brand FROM part WHERE p_type = 'PROMO' AND p_size <= 2) GROUP BY 1")
 def s09(spark, d):
     listed = c.table(spark, d, "part").where("p_type = 'PROMO' and p_size <= 2").select(F.col("p_brand").alias("code")).distinct()
@@ -78,15 +92,17 @@ def s13(spark, d):
     return c.series_day(spark, d).groupBy("series").agg(F.count("*").alias("n"), F.max("date").cast("string").alias("last")).select("series", F.to_json(F.struct("n", "last")).alias("bundle"))
 
 
-@query("S14_figure_frames", "SELECT date, product(1 + wml) OVER (ORDER BY date) - 1 AS path FROM factor_day WHERE wml IS NOT NULL AND date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'", floats="path", dates="date")
+@query("S14_figure_frames", "SELECT date, product(1 + wml) OVER (ORDER BY date) - 1 AS path FROM factor_day WHERE wml IS NOT NULL", floats="path", dates="date")
 def s14(spark, d):
     w = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    return c.factor_day(spark, d).where("wml is not null and date between '1998-01-01' and '1998-06-30'").select("date", (F.product(1 + F.col("wml")).over(w) - 1).alias("path"))
+    return c.factor_day(spark, d).where("wml is not null").select("date", (F.product(1 + F.col("wml")).over(w) - 1).alias("path"))
 
 
 @query("S16_fingerprint")
 def s16(spark, d):
-    return files.fingerprints(spark, d, "region.parquet")
+    """Fingerprints of all table files against a manifest, here one that was written from them and read again."""
+    now = files.fingerprints(spark, d, "*.parquet")
+    return files.checked(now, files.csv_round_trip(now.select("name", "sha256")))
 
 
 @query("S17_literal_rows", "SELECT r_name AS name FROM region UNION ALL SELECT 'WORLD'")
@@ -145,7 +161,7 @@ def p08(spark, d):
 
 @query("P10_null_fill", "SELECT date, coalesce(ret, 0.0) AS ret FROM (SELECT DISTINCT date FROM line) LEFT JOIN (SELECT date, ret FROM ret_day WHERE code = 'Brand#22') USING (date)", floats="ret", dates="date")
 def p10(spark, d):
-    return c.lines(spark, d).select("date").distinct().join(c.ret_day(spark, d).where("code = 'Brand#22'").select("date", "ret"), "date", "left").select("date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    return c.days(spark, d).select("date").join(c.ret_day(spark, d).where("code = 'Brand#22'").select("date", "ret"), "date", "left").select("date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
 @query("P11_closed_ranges", "SELECT month, CASE WHEN month BETWEEN DATE '1997-03-31' AND DATE '1997-06-30' OR month BETWEEN DATE '1999-01-31' AND DATE '1999-02-28' THEN 0 ELSE ret END AS ret FROM series_month WHERE series = 'wml'", floats="ret", dates="month")
@@ -179,9 +195,15 @@ def p15(spark, d):
     return c.ret_day(spark, d).groupBy("code").agg(F.count(F.when(F.col("ret") > 1, F.col("ret"))).alias("n")).where("n = 0").select("code")
 
 
-@query("P16_columns_by_name", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 100 = 0")
+@query("P15b_drop_all_null", "SELECT p_partkey, p_brand FROM part")
+def p15b(spark, d):
+    part = c.table(spark, d, "part").select("p_partkey", "p_brand", F.expr("cast(null as string)").alias("nothing"), F.when(F.col("p_size") < 0, F.lit(1)).alias("never"))
+    return reshape.drop_all_null(part)
+
+
+@query("P16_columns_by_name", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def p16(spark, d):
-    o = c.table(spark, d, "orders").where("o_orderkey % 100 = 0")
+    o = c.table(spark, d, "orders")
     return o.select(*reshape.columns_named(o, prefix="o_order", without=["o_orderdate"]))
 
 
@@ -214,7 +236,7 @@ def c01(spark, d):
 
 @query("C02_month_stamp", "SELECT last_day(date) AS month, count(*) AS n FROM (SELECT DISTINCT date FROM line) GROUP BY 1", dates="month")
 def c02(spark, d):
-    return c.lines(spark, d).select("date").distinct().groupBy(F.last_day("date").alias("month")).agg(F.count("*").alias("n"))
+    return c.days(spark, d).select("date").groupBy(F.last_day("date").alias("month")).agg(F.count("*").alias("n"))
 
 
 @query("C03_last_value", "SELECT code, last_day(date) AS month, arg_max(ret, date) AS ret FROM ret_day WHERE ret IS NOT NULL GROUP BY ALL", floats="ret", dates="month")
@@ -231,7 +253,7 @@ def c04(spark, d):
 
 @query("C05_formation_dates", "SELECT year(month) AS year, max(month) FILTER (month(month) = 6) AS june, max(month) FILTER (month(month) = 12) AS december FROM cal GROUP BY 1", dates="june december")
 def c05(spark, d):
-    m = c.lines(spark, d).select(F.last_day("date").alias("month")).distinct()
+    m = c.months(spark, d).select("month")
     pick = lambda n: F.max(F.when(F.month("month") == n, F.col("month")))
     return m.groupBy(F.year("month").cast("long").alias("year")).agg(pick(6).alias("june"), pick(12).alias("december"))
 
@@ -243,13 +265,13 @@ def c06(spark, d):
 
 @query("C07_month_arithmetic", "SELECT month, last_day(month + INTERVAL 1 MONTH - INTERVAL 3 DAY) AS _x, CAST(last_day(date_trunc('month', month) + INTERVAL 1 MONTH) AS DATE) AS next, CAST(last_day(date_trunc('month', month) - INTERVAL 1 MONTH) AS DATE) AS prev FROM cal".replace("last_day(month + INTERVAL 1 MONTH - INTERVAL 3 DAY) AS _x, ", ""), dates="month next prev")
 def c07(spark, d):
-    m = c.lines(spark, d).select(F.last_day("date").alias("month")).distinct()
+    m = c.months(spark, d).select("month")
     return m.select("month", calendar.shift_month("month", 1).alias("next"), calendar.shift_month("month", -1).alias("prev"))
 
 
 @query("C08_holding_window", "SELECT c.month, count(*) AS n, min(date) AS first, max(date) AS last FROM cal c JOIN days d ON d.k = c.k + 1 GROUP BY 1", dates="month first last")
 def c08(spark, d):
-    day = c.lines(spark, d).select("date").distinct()
+    day = c.days(spark, d).select("date")
     m = calendar.ordinals(day.select(F.last_day("date").alias("month")), "month", "k")
     held = day.withColumn("month", F.last_day("date")).join(m, "month").select("date", (F.col("k") - 1).alias("k"))
     return m.join(held, "k").groupBy("month").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
@@ -286,7 +308,7 @@ def j01(spark, d):
 
 @query("J02_left", "SELECT c.month, rf FROM cal c LEFT JOIN (SELECT * FROM rf_month WHERE year(month) < 1998) USING (month)", floats="rf", dates="month")
 def j02(spark, d):
-    m = c.lines(spark, d).select(F.last_day("date").alias("month")).distinct()
+    m = c.months(spark, d).select("month")
     return m.join(c.rf_month(spark, d).where("year(month) < 1998"), "month", "left")
 
 
@@ -313,24 +335,24 @@ def j05(spark, d):
 
 @query("J06_asof_backward", "SELECT c.month, max(o.month) AS latest FROM cal c LEFT JOIN (SELECT month FROM cal WHERE k % 4 = 0) o ON o.month <= c.month GROUP BY 1", dates="month latest")
 def j06(spark, d):
-    m = calendar.ordinals(c.lines(spark, d).select(F.last_day("date").alias("month")), "month", "k")
+    m = c.months(spark, d)
     return reshape.as_of(m.select("month"), m.where("k % 4 = 0").select(F.col("month").alias("latest")), "month", "latest")
 
 
 @query("J07_asof_series", "SELECT c.month, arg_max(wml, date) AS wml FROM cal c JOIN factor_day f ON f.date <= CAST(last_day(date_trunc('month', c.month) - INTERVAL 1 MONTH) AS DATE) AND wml IS NOT NULL GROUP BY 1", floats="wml", dates="month")
 def j07(spark, d):
     f = c.factor_day(spark, d).where("wml is not null").select(F.col("date").alias("latest"), "wml")
-    m = c.lines(spark, d).select(F.last_day("date").alias("month")).distinct().withColumn("before", calendar.shift_month("month", -1))
+    m = c.months(spark, d).select("month").withColumn("before", calendar.shift_month("month", -1))
     found = reshape.as_of(m.select(F.col("before")), f.select("latest"), "before", "latest").where("latest is not null")
     return m.join(found, "before").join(f, "latest").select("month", "wml")
 
 
-@query("J08_band_join", "SELECT f.month, code, count(*) AS n FROM cal f JOIN days d ON d.k = f.k + 1 JOIN ret_day USING (date) WHERE f.k <= 5 GROUP BY ALL", dates="month")
+@query("J08_band_join", "SELECT f.month, code, count(*) AS n FROM cal f JOIN days d ON d.k = f.k + 1 JOIN ret_day USING (date) GROUP BY ALL", dates="month")
 def j08(spark, d):
     r = c.ret_day(spark, d)
     m = calendar.ordinals(r.select(F.last_day("date").alias("month")), "month", "k")
     held = r.withColumn("month", F.last_day("date")).join(m, "month").select("code", (F.col("k") - 1).alias("k"))
-    return m.where("k <= 5").join(held, "k").groupBy("month", "code").agg(F.count("*").alias("n"))
+    return m.join(held, "k").groupBy("month", "code").agg(F.count("*").alias("n"))
 
 
 SIGNAL = "signal AS (SELECT a.month, a.k, a.code, a.cap, b.price / c.price - 1 AS sig FROM px_month a JOIN px_month b ON a.code = b.code AND b.k = a.k - 1 JOIN px_month c ON a.code = c.code AND c.k = a.k - 12)"

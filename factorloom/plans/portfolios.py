@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factorloom.operators import calendar, factors, legs, metrics, race, strategy
-from factorloom.plans.measures import BUCKETS, members
+from factorloom.plans.measures import BUCKETS, members, race_of
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
+from factorloom.sources.shared import saved
 
 HELD = BUCKETS + """, held AS (SELECT m.k, m.code, leg, w0, d.date, di, ret FROM members m JOIN days d ON d.k = m.k + 1 LEFT JOIN ret_day r ON r.date = d.date AND r.code = m.code),
 v1 AS (SELECT *, CASE WHEN ret IS NOT NULL THEN w0 * coalesce(product(1 + coalesce(ret, 0)) OVER (PARTITION BY k, leg, code ORDER BY di ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) END AS v FROM held),
@@ -18,9 +19,7 @@ wmlm AS (SELECT k, max(ret) FILTER (leg = 'win') AS win, max(ret) FILTER (leg =
 
 
 def day_table(spark, d):
-    days = calendar.ordinals(c.lines(spark, d), "date", "di")
-    m = calendar.ordinals(days.select(F.last_day("date").alias("month")), "month", "k")
-    return days.join(m, F.last_day("date") == F.col("month")).drop("month")
+    return c.days(spark, d)
 
 
 def held(spark, d):
@@ -40,12 +39,13 @@ def v02(spark, d):
 EVENTS = "thin AS (SELECT * FROM ret_day WHERE NOT (code < 'Brand#2' AND date > DATE '2000-06-30')), lastdi AS (SELECT code, max(di) AS di FROM thin JOIN days USING (date) GROUP BY 1), ev AS (SELECT code, di + 1 AS di FROM lastdi WHERE di < (SELECT max(di) FROM days) - 30), inj AS (SELECT x, thin.date, code, ret FROM thin, (VALUES (CAST(-0.3 AS DOUBLE)), (CAST(-1.0 AS DOUBLE))) g(x) UNION ALL SELECT x, date, ev.code, x FROM ev JOIN days USING (di), (VALUES (CAST(-0.3 AS DOUBLE)), (CAST(-1.0 AS DOUBLE))) g(x))"
 
 
-@query("V03_delisting_returns", "SELECT x, code, product(1 + ret) AS wealth, count(*) AS n FROM inj GROUP BY ALL", EVENTS, floats="wealth", digits=4)
+@query("V03_delisting_returns", "SELECT x, code, product(1 + ret) AS wealth, count(*) AS n FROM inj GROUP BY ALL UNION ALL SELECT NULL, code, product(1 + ret), count(*) FROM thin GROUP BY ALL", EVENTS, floats="wealth", digits=4)
 def v03(spark, d):
     r = c.ret_day(spark, d).where("not (code < 'Brand#2' and date > '2000-06-30')").select("date", "code", "ret")
     days = day_table(spark, d)
     parts = [legs_.withColumn("x", F.lit(x)) for x in (-0.3, -1.0) for legs_ in (factors.with_delisting(r, days, x),)]
-    return parts[0].unionByName(parts[1]).groupBy("x", "code").agg(F.product(1 + F.col("ret")).alias("wealth"), F.count("*").alias("n"))
+    none = r.withColumn("x", F.lit(None).cast("double"))
+    return parts[0].unionByName(parts[1]).unionByName(none).groupBy("x", "code").agg(F.product(1 + F.col("ret")).alias("wealth"), F.count("*").alias("n"))
 
 
 @query("V04_missing_leg", "SELECT month, g AS flag, coalesce(ret, 0.0) AS ret FROM cal CROSS JOIN (VALUES ('A'), ('X')) v(g) LEFT JOIN (SELECT last_day(date) AS month, flag AS g, sum(ext * r) / sum(ext) AS ret FROM line GROUP BY ALL) USING (month, g)", floats="ret", dates="month")
@@ -102,20 +102,73 @@ def t06(spark, d):
     return factors.size_momentum(legs.momentum(c.px_month(spark, d)), c.ret_day(spark, d), day_table(spark, d), least=8)
 
 
-@query("T07_construction_grid", "SELECT 'vw' AS variant, count(*) AS n, avg(wml) AS mean FROM wmlm WHERE wml IS NOT NULL UNION ALL SELECT 'ew', count(*), avg(w) FROM (SELECT b.k, avg(p.ret) FILTER (leg = 'win') - avg(p.ret) FILTER (leg = 'los') AS w FROM members b JOIN px_month p ON p.code = b.code AND p.k = b.k + 1 GROUP BY 1) WHERE w IS NOT NULL", HELD, floats="mean")
+GRID = """gsig AS (SELECT a.month, a.k, a.code, a.cap, b.price / c.price - 1 AS s1, a.price / c.price - 1 AS s0 FROM px_month a JOIN px_month c ON a.code = c.code AND c.k = a.k - 12 LEFT JOIN px_month b ON a.code = b.code AND b.k = a.k - 1 WHERE a.cap > 0),
+gu AS (SELECT v AS variant, month, k, code, cap, s1 AS sig FROM gsig, (VALUES ('base'), ('quintiles'), ('equal'), ('one market'), ('large'), ('no skip')) g(v) WHERE v <> 'no skip' AND s1 IS NOT NULL UNION ALL SELECT 'no skip', month, k, code, cap, s0 FROM gsig),
+gw AS (SELECT *, CASE WHEN variant = 'quintiles' THEN 5 ELSE 3 END AS bins FROM gu WHERE (variant <> 'one market' OR code < 'Brand#3') QUALIFY variant <> 'large' OR cap >= quantile_cont(cap, CAST(0.5 AS DOUBLE)) OVER (PARTITION BY variant, month)),
+gel AS (SELECT * FROM gw QUALIFY count(*) OVER (PARTITION BY variant, month) >= 3 * bins),
+ged AS (SELECT variant, month, list_sort(list_distinct(CASE WHEN variant = 'quintiles' THEN quantile_cont(sig, [CAST(0 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(0.4 AS DOUBLE), CAST(0.6 AS DOUBLE), CAST(0.8 AS DOUBLE), CAST(1 AS DOUBLE)]) ELSE quantile_cont(sig, [CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) / 3, CAST(2 AS DOUBLE) / 3, CAST(1 AS DOUBLE)]) END)) AS e FROM gel GROUP BY ALL),
+gmem AS (SELECT variant, k, code, CASE WHEN bucket = last THEN 'win' ELSE 'los' END AS leg, CASE WHEN variant = 'equal' THEN 1.0 ELSE cap END AS w0 FROM (SELECT gel.*, len(list_filter(e[2:-2], lambda x: x < sig)) AS bucket, len(e) - 2 AS last FROM gel JOIN ged USING (variant, month)) WHERE bucket = last OR bucket = 0),
+gheld AS (SELECT m.variant, m.k, m.code, leg, w0, d.date, di, ret FROM gmem m JOIN days d ON d.k = m.k + 1 LEFT JOIN ret_day r ON r.date = d.date AND r.code = m.code),
+gsum AS (SELECT variant, k, leg, date, di, sum(v) AS v, sum(w0) AS v0 FROM (SELECT *, w0 * product(1 + coalesce(ret, 0)) OVER (PARTITION BY variant, k, leg, code ORDER BY di) AS v FROM gheld) GROUP BY ALL),
+gleg AS (SELECT variant, k, leg, date, v / coalesce(lag(v) OVER (PARTITION BY variant, k, leg ORDER BY di), v0) - 1 AS ret FROM gsum),
+gday AS (SELECT variant, date, max(ret) FILTER (leg = 'win') - max(ret) FILTER (leg = 'los') AS r FROM gleg GROUP BY ALL HAVING r IS NOT NULL),
+gmon AS (SELECT variant, k, max(x) FILTER (leg = 'win') - max(x) FILTER (leg = 'los') AS wml FROM (SELECT variant, k, leg, product(1 + ret) - 1 AS x FROM gleg GROUP BY ALL) GROUP BY ALL),
+gf AS (SELECT variant, last_day(date) AS month, arg_max(v, date) AS fvar FROM (SELECT variant, date, CASE WHEN count(*) OVER w >= 126 THEN 21 * avg(r * r) OVER w END AS v FROM gday WINDOW w AS (PARTITION BY variant ORDER BY date ROWS 125 PRECEDING)) WHERE v IS NOT NULL GROUP BY ALL),
+gr AS (SELECT variant, fvar, wml, row_number() OVER (PARTITION BY variant ORDER BY month) - 1 AS t FROM gf JOIN cal USING (month) JOIN gmon USING (variant, k) WHERE month < (SELECT max(month) FROM cal))"""
+
+
+GRID_BINS = {"base": 3, "quintiles": 5, "equal": 3, "one market": 3, "large": 3, "no skip": 3}
+
+
+@saved("lineitem", "part")
+def grid_legs(spark, d):
+    """Daily legs of the six constructions: leg is `variant:win` or `variant:los`."""
+    p = c.px_month(spark, d)
+    skip, whole = legs.momentum(p), legs.momentum(p, skip=0)
+    large = skip.join(skip.groupBy("month").agg(F.percentile("cap", 0.5).alias("_med")), "month").where("cap >= _med").drop("_med")
+    signal = {"base": skip, "quintiles": skip, "equal": skip, "one market": skip.where("code < 'Brand#3'"), "large": large, "no skip": whole}
+    picked = None
+    for name, bins in GRID_BINS.items():
+        own = legs.extremes(signal[name], bins).withColumn("leg", F.concat(F.lit(f"{name}:"), "leg"))
+        own = own.withColumn("w0", F.lit(1.0)) if name == "equal" else own
+        picked = own if picked is None else picked.unionByName(own)
+    return legs.leg_returns(legs.held_days(picked, c.ret_day(spark, d), day_table(spark, d)), missing="freeze")
+
+
+def grid_days(spark, d):
+    """Daily winners minus losers of each construction: series, date, r."""
+    at = lambda side: F.max(F.when(F.col("leg").endswith(f":{side}"), F.col("ret")))
+    return grid_legs(spark, d).groupBy(F.substring_index("leg", ":", 1).alias("series"), "date").agg((at("win") - at("los")).alias("r")).where("r is not null")
+
+
+def grid_race(spark, d):
+    """Race rows of each construction whose next return is the difference of the compounded legs."""
+    m = legs.compounded(grid_legs(spark, d), "ret", "k", "leg")
+    at = lambda side: F.max(F.when(F.col("leg").endswith(f":{side}"), F.col("ret")))
+    wml = m.groupBy(F.substring_index("leg", ":", 1).alias("series"), "k").agg((at("win") - at("los")).alias("ret_next"))
+    x = race.race(grid_days(spark, d)).drop("ret_next").join(c.months(spark, d), "month")
+    return x.join(wml, ["series", "k"]).where("ret_next is not null")
+
+
+@query("T07_construction_grid", "SELECT variant, s AS strategy, sqrt(12) * avg(x) / stddev_samp(x) AS sharpe, min(x) * 100 AS worst, count(*) AS n FROM (SELECT variant, 'RAW' AS s, wml AS x FROM gr WHERE t >= 36 UNION ALL SELECT variant, 'RW126', (0.12 / sqrt(12)) / sqrt(fvar) * wml FROM gr WHERE t >= 36) GROUP BY ALL", GRID, floats="sharpe worst", digits=5)
 def t07(spark, d):
-    vw = legs.long_short(legs.leg_returns(held(spark, d))).agg(F.lit("vw").alias("variant"), F.count("*").alias("n"), F.avg("wml").alias("mean"))
-    ew = factors.equal_weighted(members(spark, d), c.px_month(spark, d)).agg(F.lit("ew").alias("variant"), F.count("*").alias("n"), F.avg("wml").alias("mean"))
-    return vw.unionByName(ew)
+    """Six constructions, plain and managed by the 126-day variance. With 25 names the base has three groups."""
+    x = grid_race(spark, d).where(F.col("t") >= race.FIRST).select(F.col("series").alias("variant"), F.col("ret_next").alias("RAW"), (race.leverage("fvar") * F.col("ret_next")).alias("RW126"))
+    return x.unpivot("variant", ["RAW", "RW126"], "strategy", "x").groupBy("variant", "strategy").agg(metrics.sharpe("x").alias("sharpe"), (F.min("x") * 100).alias("worst"), F.count("*").alias("n"))
 
 
-def race_of(spark, d):
-    return race.race(c.series_day(spark, d))
+@saved("lineitem", "part")
+def baselines(spark, d):
+    return race.baselines(race_of(spark, d))
 
 
-def strats(spark, d):
-    r = race_of(spark, d)
-    return race.strategies(r, race.baselines(r))
+def baseline_race(spark, d):
+    """The race's rows and the forecasts that SQL can repeat: expanding mean, 126-day variance, tuned recursion."""
+    return race_of(spark, d), baselines(spark, d)
+
+
+def strats(spark, d, of=baseline_race):
+    return race.strategies(*of(spark, d))
 
 
 @query("T08_vol_target", "SELECT series, model, count(*) AS n, avg(r) * 12 AS mean, sqrt(12) * avg(r) / stddev_samp(r) AS sharpe, min(r) AS worst FROM strat GROUP BY ALL", floats="mean sharpe worst")
@@ -143,6 +196,24 @@ def t12(spark, d):
     return strategy.costs(strats(spark, d), [0, 10, 30, 60, 100], borrow=0.01).groupBy("series", "model", "bp").agg(metrics.sharpe("net").alias("sharpe"))
 
 
+@query("T12b_full_cost", "SELECT series, model, bp, sqrt(12) * avg(net) / stddev_samp(net) AS sharpe FROM (SELECT series, model, bp, r - bp / 10000.0 * (2 * (SELECT avg(turnover) FROM (SELECT 1 - count(b.code) / count(*) AS turnover FROM members a LEFT JOIN members b ON a.code = b.code AND a.leg = b.leg AND b.k = a.k - 1 WHERE a.k > (SELECT min(k) FROM members) GROUP BY a.k, a.leg)) * lev + 2 * abs(lev - coalesce(lag(lev) OVER (PARTITION BY series, model, bp ORDER BY t), lev))) AS net FROM strat, (VALUES (0), (30), (60), (100)) g(bp)) GROUP BY ALL", BUCKETS, floats="sharpe")
+def t12b(spark, d):
+    """Net of trading the factor's own turnover, in proportion to leverage, beside the changes of leverage."""
+    turnover = legs.turnover(members(spark, d)).agg(F.avg("turnover").alias("to"))
+    net = strategy.costs(strats(spark, d), [0, 30, 60, 100]).join(F.broadcast(turnover)).withColumn("net", F.col("net") - F.col("bp") / 10000 * 2 * F.col("to") * F.col("lev"))
+    return net.groupBy("series", "model", "bp").agg(metrics.sharpe("net").alias("sharpe"))
+
+
+@query("T13b_borrow_grid", "SELECT series, model, min(f) FILTER (gain <= 0) AS breakeven FROM (SELECT a.series, a.model, a.f, round(a.es - b.es, 9) AS gain FROM bes a JOIN bes b USING (series, f) WHERE b.model = 'RW126' AND a.model <> 'RW126') GROUP BY ALL", "bes AS (SELECT series, model, f, avg(net) AS es FROM (SELECT series, model, f, net, row_number() OVER (PARTITION BY series, model, f ORDER BY net) AS rn, count(*) OVER (PARTITION BY series, model, f) AS n FROM (SELECT series, model, f, r - f / 12 * lev AS net FROM strat, (SELECT unnest(range(201)) * CAST(0.1 AS DOUBLE) / 200 AS f))) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL)", floats="breakeven", digits=5)
+def t13b(spark, d):
+    """The first borrowing rate of a grid at which the tail gain over the random walk is gone."""
+    each = strats(spark, d).withColumn("f", F.explode(F.expr("transform(sequence(0, 200), i -> i * double(0.1) / 200)"))).withColumn("net", F.col("r") - F.col("f") / 12 * F.col("lev"))
+    tail = metrics.expected_shortfall(each, "net", ["series", "model", "f"]).withColumn("es", F.col("es") / 100)
+    base = tail.where("model = 'RW126'").select("series", "f", F.col("es").alias("_b"))
+    gap = tail.where("model != 'RW126'").join(base, ["series", "f"]).withColumn("gain", F.round(F.col("es") - F.col("_b"), 9))
+    return gap.groupBy("series", "model").agg(F.min(F.when(F.col("gain") <= 0, F.col("f"))).alias("breakeven"))
+
+
 @query("T13_breakeven", "SELECT series, model, min(CASE WHEN gap >= 0 AND nxt < 0 THEN bp + (nb - bp) * gap / (gap - nxt) END) AS breakeven FROM (SELECT *, lead(gap) OVER w AS nxt, lead(bp) OVER w AS nb FROM (SELECT a.series, a.model, a.bp, a.m - p.m AS gap FROM (SELECT series, model, bp, avg(net) / stddev_samp(net) AS m FROM (SELECT series, model, bp, r - bp / 10000.0 * 2 * abs(lev - coalesce(lag(lev) OVER (PARTITION BY series, model, bp ORDER BY t), lev)) AS net FROM strat, (VALUES (0), (10), (30), (60), (100)) g(bp)) GROUP BY ALL) a JOIN (SELECT series, avg(r) / stddev_samp(r) AS m FROM strat WHERE model = 'plain' GROUP BY 1) p ON a.series = p.series WHERE a.model <> 'plain') WINDOW w AS (PARTITION BY series, model ORDER BY bp)) GROUP BY ALL", floats="breakeven", digits=4)
 def t13(spark, d):
     return strategy.breakeven(strats(spark, d), [0, 10, 30, 60, 100])
@@ -167,10 +238,20 @@ def t17(spark, d):
     return x.groupBy("series").agg(metrics.sharpe("x").alias("sharpe"), metrics.mean_t("x").alias("t"))
 
 
+@query("T17b_other_rate", "SELECT series, rate, sqrt(12) * avg(ret - rf) / stddev_samp(ret - rf) AS sharpe FROM series_month JOIN (SELECT month, 'mean' AS rate, rf FROM rf_month UNION ALL SELECT last_day(CAST(o_orderdate AS DATE)), 'median', quantile_cont(o_totalprice, CAST(0.5 AS DOUBLE)) / 1e8 FROM orders GROUP BY 1) USING (month) GROUP BY ALL", floats="sharpe")
+def t17b(spark, d):
+    """Excess returns over two risk-free rates."""
+    month = F.last_day(F.to_date("o_orderdate")).alias("month")
+    other = c.table(spark, d, "orders").groupBy(month).agg((F.percentile("o_totalprice", 0.5) / 1e8).alias("rf")).withColumn("rate", F.lit("median"))
+    rates = c.rf_month(spark, d).withColumn("rate", F.lit("mean")).unionByName(other)
+    x = race.months(c.series_day(spark, d)).join(rates, "month").withColumn("x", F.col("ret") - F.col("rf"))
+    return x.groupBy("series", "rate").agg(metrics.sharpe("x").alias("sharpe"))
+
+
 @query("T18_crash_timing", "SELECT s.series, s.model, count(*) AS n, avg(lev) AS lev FROM strat s JOIN race r ON s.series = r.series AND s.t = r.t WHERE ret_next < -0.02 AND model <> 'plain' GROUP BY ALL", floats="lev")
 def t18(spark, d):
     r = race_of(spark, d)
-    s = race.strategies(r, race.baselines(r)).where("model != 'plain'")
+    s = race.strategies(r, baselines(spark, d)).where("model != 'plain'")
     return s.join(r.where("ret_next < -0.02").select("series", "t"), ["series", "t"], "left_semi").groupBy("series", "model").agg(F.count("*").alias("n"), F.avg("lev").alias("lev"))
 
 

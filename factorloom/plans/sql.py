@@ -35,8 +35,19 @@ strat AS (SELECT series, model, t, month, lev * ret_next AS r, lev FROM scored U
 """
 
 
-def statement(select: str, ctes: str = "", floats: list[str] | None = None, digits: int = 6, dates: list[str] | None = None) -> str:
+def of_markets() -> str:
+    """The views with a market's factor in the place of a series: everything after the daily returns is the same."""
+    parts = VIEWS.strip().split(",\n")
+    kept = [x for x in parts if not x.startswith("series_day ")]
+    at = next(k for k, x in enumerate(kept) if x.startswith("market_day ")) + 1
+    first = next(k for k, x in enumerate(kept) if x.startswith("series_month "))
+    if first < at:
+        raise ValueError("the views of a series stand before those of a market")
+    return ",\n".join([*kept[:at], "series_day AS (SELECT market AS series, date, r FROM market_day)", *kept[at:]])
+
+
+def statement(select: str, ctes: str = "", floats: list[str] | None = None, digits: int = 6, dates: list[str] | None = None, markets: bool = False) -> str:
     """A whole statement: the views, own expressions, and a select whose floats are rounded (without negative zeros)."""
-    body = f"WITH {VIEWS.strip()}{',' + chr(10) + ctes.strip() if ctes.strip() else ''}\n"
+    body = f"WITH {of_markets() if markets else VIEWS.strip()}{',' + chr(10) + ctes.strip() if ctes.strip() else ''}\n"
     shown = [f"round(CAST({c} AS DOUBLE), {digits}) + 0 AS {c}" for c in floats or []] + [f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in dates or []]
     return body + select.strip() if not shown else f"{body}SELECT * REPLACE ({', '.join(shown)}) FROM ({select.strip()})"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.operators import calendar
+from factorloom.sources.shared import saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,19 +28,35 @@ def weighted(value: str, weight: str, where=None):
     return F.try_divide(F.sum(w * F.col(value)), F.sum(w))
 
 
+@saved("lineitem", "part")
 def px_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("date", "code").agg(F.avg("ext").alias("adj_close"), F.sum("ext").alias("market_cap"))
 
 
+@saved("lineitem", "part")
 def ret_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("date", "code").agg(weighted("r", "ext").alias("ret"), F.sum("ext").alias("cap"))
 
 
+@saved("lineitem", "part")
 def px_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lines(spark, sf_dir).withColumn("month", F.last_day("date")).groupBy("month", "code").agg(F.avg("ext").alias("price"), F.sum("ext").alias("cap"), weighted("r", "ext").alias("ret"), F.avg("qty").alias("pbr"))
     return calendar.with_ordinal(m, "month", "k")
 
 
+@saved("lineitem", "part")
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market's calendar: date, its ordinal di and its month's ordinal k."""
+    return calendar.ordinals(ret_day(spark, sf_dir), "date", "di").withColumn("month", F.last_day("date")).join(months(spark, sf_dir), "month").select("date", "di", "k")
+
+
+@saved("lineitem", "part")
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar months with a trading day: month, k."""
+    return calendar.ordinals(ret_day(spark, sf_dir).select(F.last_day("date").alias("month")), "month", "k")
+
+
+@saved("lineitem", "part")
 def factor_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One daily factor: winners minus losers, and the market."""
     f = lines(spark, sf_dir).groupBy("date").agg(weighted("r", "ext", F.col("flag") == "A").alias("win"), weighted("r", "ext", F.col("flag") == "R").alias("los"), weighted("r", "ext").alias("mkt"))
@@ -51,6 +68,7 @@ def series_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor_day(spark, sf_dir).unpivot("date", ["win", "los", "mkt", "wml"], "series", "r").where("r is not null")
 
 
+@saved("orders")
 def rf_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.last_day(F.to_date("o_orderdate")).alias("month")).agg((F.avg("o_totalprice") / 1e8).alias("rf"))
 
@@ -62,6 +80,7 @@ def market_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).join(places, F.col("supp") == F.col("s_suppkey")).drop("s_suppkey")
 
 
+@saved("lineitem", "part", "supplier", "nation", "region")
 def market_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = market_lines(spark, sf_dir).groupBy("market", "date").agg(weighted("r", "ext", F.col("flag") == "A").alias("win"), weighted("r", "ext", F.col("flag") == "R").alias("los"))
     return f.select("market", "date", (F.col("win") - F.col("los")).alias("r")).where("r is not null")

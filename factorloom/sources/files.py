@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate files go if the session names no shared folder (tests, local runs).
-LOCAL_SHARED = "/tmp/checkpoints"
+from factorloom.sources.shared import new_path, written
+
 #: Marks of missing values in percent files.
 SENTINELS = [-99.99, -999.0]
 
 
-def new_path(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_SHARED}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def csv_round_trip(df: DataFrame) -> DataFrame:
     """Write as CSV with a header and read back under the same schema."""
     path = new_path(df.sparkSession)
@@ -27,9 +19,7 @@ def csv_round_trip(df: DataFrame) -> DataFrame:
 
 
 def parquet_round_trip(df: DataFrame) -> DataFrame:
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 def unpivot_sheet(wide: DataFrame, code: str, date: str, value: str) -> DataFrame:
@@ -78,6 +68,13 @@ def fingerprints(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def checked(now: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files of either side with their state: same, changed, missing (only in the manifest) or new."""
+    said = manifest.select("name", F.col("sha256").alias("_said"))
+    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("_said").isNull(), "new").when(F.col("sha256") == F.col("_said"), "same").otherwise("changed")
+    return now.join(said, "name", "full").select("name", "bytes", "sha256", state.alias("state"))
+
+
 def markdown(df: DataFrame, digits: int = 4) -> str:
     """A small result table as Markdown text."""
     show = lambda x: "" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)
@@ -85,6 +82,6 @@ def markdown(df: DataFrame, digits: int = 4) -> str:
     return "\n".join(f"| {' | '.join(r)} |" for r in rows) + "\n"
 
 
-def compared(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> Column:
+def compared(ours: DataFrame, theirs: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Greatest absolute difference of two series on their common keys."""
     return ours.join(theirs.withColumnRenamed(value, "_theirs"), keys).agg(F.max(F.abs(F.col(value) - F.col("_theirs"))).alias("difference"))
