@@ -272,14 +272,14 @@ def boosted_logistic(rounds: int = 100, rate: float = 0.05, depth: int = 3, leaf
     return fit
 
 
-def pareto_tail(losses: np.ndarray, share: float = 0.85, p: float = 0.05) -> tuple[float, float, int]:
+def pareto_tail(losses: np.ndarray, share: float = 0.85, p: float = 0.05, least: int = 10) -> tuple[float, float, int]:
     """Expected shortfall in per cent from a generalised Pareto law over the threshold, its shape, and exceedances.
 
-    The likelihood is maximised over one number, shape over scale; too few exceedances or a shape near 1 give NaN.
+    The likelihood is maximised over one number, shape over scale; fewer than `least` exceedances or a shape near 1 give NaN.
     """
     u = np.quantile(losses, share)
     e = losses[losses > u] - u
-    if len(e) < 10:
+    if len(e) < least:
         return np.nan, np.nan, len(e)
 
     def profile(theta: float) -> tuple[float, float]:

@@ -23,6 +23,8 @@ from factorloom.sources.shared import saved
 #: Replicates of the bootstraps, and of the Pareto tails.
 REPS = 5000
 TAIL_REPS = 2000
+#: Exceedances that a replicate's tail needs: 15 % of the 30 to 48 months that the tables' calendar leaves.
+LEAST_EXCEEDANCES = 4
 
 
 def scored(spark, d, of=baseline_race):
@@ -252,14 +254,14 @@ def k16(spark, d, of=baseline_race):
     return own.unionByName(inf.deflated_sharpe(s, 12).withColumn("trials", F.lit("12"))).unionByName(inf.deflated_sharpe(s, 40).withColumn("trials", F.lit("40")))
 
 
-def tails(df, keys: list[str], types: str, thresholds: tuple[float, ...] = (0.85,)):
+def tails(df, keys: list[str], types: str, thresholds: tuple[float, ...] = (0.85,), least: int = 10):
     """Pareto tails above each threshold: shortfall at 5 and 1 per cent, shape, exceedances."""
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         loss, out = -rows.r.to_numpy(), []
         for u in thresholds:
-            es5, shape, n = kernels.pareto_tail(loss, u, 0.05)
-            out.append({**dict(zip(keys, key, strict=True)), "u": u, "es5": es5, "es1": kernels.pareto_tail(loss, u, 0.01)[0], "shape": shape, "n": n})
+            es5, shape, n = kernels.pareto_tail(loss, u, 0.05, least)
+            out.append({**dict(zip(keys, key, strict=True)), "u": u, "es5": es5, "es1": kernels.pareto_tail(loss, u, 0.01, least)[0], "shape": shape, "n": n})
         return pd.DataFrame(out)
 
     return df.groupBy(*keys).applyInPandas(fit, f"{types}, u double, es5 double, es1 double, shape double, n long")
@@ -273,7 +275,7 @@ def k17(spark, d):
 @query("K18_pareto_bootstrap")
 def k18(spark, d, of=baseline_race):
     s = bs.resampled(strats(spark, d, of), TAIL_REPS, race.FIRST).select("series", "b", "model", "r")
-    t = tails(s, ["series", "b", "model"], "series string, b int, model string").unpivot(["series", "b", "model"], ["es5", "es1"], "level", "es").where("not isnan(es)")
+    t = tails(s, ["series", "b", "model"], "series string, b int, model string", least=LEAST_EXCEEDANCES).unpivot(["series", "b", "model"], ["es5", "es1"], "level", "es").where("not isnan(es)")
     return bs.interval(bs.against(t, "es", "RW126", ["series", "b", "level"]), ["series", "model", "level"])
 
 

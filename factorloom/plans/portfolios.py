@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factorloom.operators import calendar, factors, legs, metrics, race, strategy
@@ -106,13 +107,13 @@ GRID = """gsig AS (SELECT a.month, a.k, a.code, a.cap, b.price / c.price - 1 AS
 gu AS (SELECT v AS variant, month, k, code, cap, s1 AS sig FROM gsig, (VALUES ('base'), ('quintiles'), ('equal'), ('one market'), ('large'), ('no skip')) g(v) WHERE v <> 'no skip' AND s1 IS NOT NULL UNION ALL SELECT 'no skip', month, k, code, cap, s0 FROM gsig),
 gw AS (SELECT *, CASE WHEN variant = 'quintiles' THEN 5 ELSE 3 END AS bins FROM gu WHERE (variant <> 'one market' OR code < 'Brand#3') QUALIFY variant <> 'large' OR cap >= quantile_cont(cap, CAST(0.5 AS DOUBLE)) OVER (PARTITION BY variant, month)),
 gel AS (SELECT * FROM gw QUALIFY count(*) OVER (PARTITION BY variant, month) >= 3 * bins),
-ged AS (SELECT variant, month, list_sort(list_distinct(CASE WHEN variant = 'quintiles' THEN quantile_cont(sig, [CAST(0 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(0.4 AS DOUBLE), CAST(0.6 AS DOUBLE), CAST(0.8 AS DOUBLE), CAST(1 AS DOUBLE)]) ELSE quantile_cont(sig, [CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) / 3, CAST(2 AS DOUBLE) / 3, CAST(1 AS DOUBLE)]) END)) AS e FROM gel GROUP BY ALL),
+ged AS (SELECT variant, month, list_sort(list_distinct(CASE WHEN variant = 'quintiles' THEN quantile_cont(sig, [CAST(0 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(0.4 AS DOUBLE), CAST(0.6 AS DOUBLE), CAST(0.8 AS DOUBLE), CAST(1 AS DOUBLE)]) ELSE quantile_cont(sig, [CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) / 3, CAST(2 AS DOUBLE) / 3, CAST(1 AS DOUBLE)]) END)) AS e FROM gel GROUP BY variant, month),
 gmem AS (SELECT variant, k, code, CASE WHEN bucket = last THEN 'win' ELSE 'los' END AS leg, CASE WHEN variant = 'equal' THEN 1.0 ELSE cap END AS w0 FROM (SELECT gel.*, len(list_filter(e[2:-2], lambda x: x < sig)) AS bucket, len(e) - 2 AS last FROM gel JOIN ged USING (variant, month)) WHERE bucket = last OR bucket = 0),
 gheld AS (SELECT m.variant, m.k, m.code, leg, w0, d.date, di, ret FROM gmem m JOIN days d ON d.k = m.k + 1 LEFT JOIN ret_day r ON r.date = d.date AND r.code = m.code),
 gsum AS (SELECT variant, k, leg, date, di, sum(v) AS v, sum(w0) AS v0 FROM (SELECT *, w0 * product(1 + coalesce(ret, 0)) OVER (PARTITION BY variant, k, leg, code ORDER BY di) AS v FROM gheld) GROUP BY ALL),
 gleg AS (SELECT variant, k, leg, date, v / coalesce(lag(v) OVER (PARTITION BY variant, k, leg ORDER BY di), v0) - 1 AS ret FROM gsum),
-gday AS (SELECT variant, date, max(ret) FILTER (leg = 'win') - max(ret) FILTER (leg = 'los') AS r FROM gleg GROUP BY ALL HAVING r IS NOT NULL),
-gmon AS (SELECT variant, k, max(x) FILTER (leg = 'win') - max(x) FILTER (leg = 'los') AS wml FROM (SELECT variant, k, leg, product(1 + ret) - 1 AS x FROM gleg GROUP BY ALL) GROUP BY ALL),
+gday AS (SELECT * FROM (SELECT variant, date, max(ret) FILTER (leg = 'win') - max(ret) FILTER (leg = 'los') AS r FROM gleg GROUP BY variant, date) WHERE r IS NOT NULL),
+gmon AS (SELECT variant, k, max(x) FILTER (leg = 'win') - max(x) FILTER (leg = 'los') AS wml FROM (SELECT variant, k, leg, product(1 + ret) - 1 AS x FROM gleg GROUP BY variant, k, leg) GROUP BY variant, k),
 gf AS (SELECT variant, last_day(date) AS month, arg_max(v, date) AS fvar FROM (SELECT variant, date, CASE WHEN count(*) OVER w >= 126 THEN 21 * avg(r * r) OVER w END AS v FROM gday WINDOW w AS (PARTITION BY variant ORDER BY date ROWS 125 PRECEDING)) WHERE v IS NOT NULL GROUP BY ALL),
 gr AS (SELECT variant, fvar, wml, row_number() OVER (PARTITION BY variant ORDER BY month) - 1 AS t FROM gf JOIN cal USING (month) JOIN gmon USING (variant, k) WHERE month < (SELECT max(month) FROM cal))"""
 
@@ -146,8 +147,8 @@ def grid_race(spark, d):
     m = legs.compounded(grid_legs(spark, d), "ret", "k", "leg")
     at = lambda side: F.max(F.when(F.col("leg").endswith(f":{side}"), F.col("ret")))
     wml = m.groupBy(F.substring_index("leg", ":", 1).alias("series"), "k").agg((at("win") - at("los")).alias("ret_next"))
-    x = race.race(grid_days(spark, d)).drop("ret_next").join(c.months(spark, d), "month")
-    return x.join(wml, ["series", "k"]).where("ret_next is not null")
+    x = race.race(grid_days(spark, d)).drop("ret_next", "t").join(c.months(spark, d), "month").join(wml, ["series", "k"]).where("ret_next is not null")
+    return x.withColumn("t", F.row_number().over(W.partitionBy("series").orderBy("month")) - 1)
 
 
 @query("T07_construction_grid", "SELECT variant, s AS strategy, sqrt(12) * avg(x) / stddev_samp(x) AS sharpe, min(x) * 100 AS worst, count(*) AS n FROM (SELECT variant, 'RAW' AS s, wml AS x FROM gr WHERE t >= 36 UNION ALL SELECT variant, 'RW126', (0.12 / sqrt(12)) / sqrt(fvar) * wml FROM gr WHERE t >= 36) GROUP BY ALL", GRID, floats="sharpe worst", digits=5)
