@@ -25,7 +25,7 @@ PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\n]|_)+|\n")
 #: Characters whose lower case and composition are single and plain: ASCII and Latin letters.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\n]*")
 #: Distinct words a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 NONE = np.zeros(0, np.uint32)
 
 
