@@ -11,7 +11,7 @@ import pytest
 
 from factorloom.plans import catalogue, registry  # noqa: F401
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
