@@ -24,8 +24,8 @@ DEFAULT = "word_bpe_49k.json"
 PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\n]|_)+|\n")
 #: Characters whose lower case and composition are single and plain: ASCII and Latin letters.
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\n]*")
-#: Distinct words a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words a worker remembers, by 64 bits of their hash: about 45 bytes a word.
+REMEMBERED = 1_000_000
 NONE = np.zeros(0, np.uint32)
 
 
@@ -52,7 +52,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, and which word each is
         self.ids, self.starts, self.lens = NONE, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def plainly(self, texts: list[str]) -> words.Ragged:
@@ -60,8 +60,8 @@ class Encoder:
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return words.Ragged(np.concatenate([NONE, *ids]), np.cumsum([0, *map(len, ids)]))
 
-    def learn(self, new: list[str]) -> None:
-        """Remember the ids of words that the pattern has cut out."""
+    def learn(self, new: list[str], hashes: np.ndarray) -> None:
+        """Remember the ids of words, given with their hashes, that the pattern has cut out."""
         ids, lens = [], []
         for i in range(0, len(new), 500):
             some = new[i : i + 500]
@@ -74,8 +74,10 @@ class Encoder:
                 got = each.values
                 lens.append(each.lengths())
             ids.append(got)
-        n = len(self.known)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.known, hashes[order])
+        self.place = np.insert(self.place, at, (len(self.known) + order).astype(np.int32))
+        self.known = np.insert(self.known, at, hashes[order])
         self.ids = np.concatenate([self.ids, *ids])
         self.lens = np.concatenate([self.lens, *lens])
         self.starts = np.cumsum(self.lens) - self.lens
@@ -85,10 +87,13 @@ class Encoder:
         codes, count, names = words.cut(chunks, PRETOKEN)
         if len(self.known) + len(names) > REMEMBERED:
             self.forget()
-        new = [w for w in names if w not in self.known]
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[codes]
+        hashes = words.hashes(names)
+        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        new = np.flatnonzero(self.known[at] != hashes) if len(self.known) else np.arange(len(names))
+        if len(new):
+            self.learn([names[i] for i in new], hashes[new])
+            at = np.searchsorted(self.known, hashes)
+        at = self.place[at][codes]
         ids, ends = words.gather(self.ids, self.starts, self.lens, at)
         ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
         return ids, np.diff(ends)
