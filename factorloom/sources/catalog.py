@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import calendar
 from factorloom.sources.shared import saved
 
 
@@ -29,37 +29,46 @@ def weighted(value: str, weight: str, where=None):
 
 
 @saved("lineitem", "part")
+def line_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the lines by date, code and flag: ext, er (ext times r), qty, n. The views below come from it, not from the lines."""
+    each = lines(spark, sf_dir).groupBy("date", "code", "flag")
+    return each.agg(F.sum("ext").alias("ext"), F.sum(F.col("ext") * F.col("r")).alias("er"), F.sum("qty").alias("qty"), F.count("*").alias("n"))
+
+
 def px_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).groupBy("date", "code").agg(F.avg("ext").alias("adj_close"), F.sum("ext").alias("market_cap"))
+    return line_day(spark, sf_dir).groupBy("date", "code").agg((F.sum("ext") / F.sum("n")).alias("adj_close"), F.sum("ext").alias("market_cap"))
 
 
 @saved("lineitem", "part")
 def ret_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines(spark, sf_dir).groupBy("date", "code").agg(weighted("r", "ext").alias("ret"), F.sum("ext").alias("cap"))
+    return line_day(spark, sf_dir).groupBy("date", "code").agg(F.try_divide(F.sum("er"), F.sum("ext")).alias("ret"), F.sum("ext").alias("cap"))
 
 
 @saved("lineitem", "part")
 def px_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = lines(spark, sf_dir).withColumn("month", F.last_day("date")).groupBy("month", "code").agg(F.avg("ext").alias("price"), F.sum("ext").alias("cap"), weighted("r", "ext").alias("ret"), F.avg("qty").alias("pbr"))
-    return calendar.with_ordinal(m, "month", "k")
+    m = line_day(spark, sf_dir).groupBy(F.last_day("date").alias("month"), "code")
+    m = m.agg((F.sum("ext") / F.sum("n")).alias("price"), F.sum("ext").alias("cap"), F.try_divide(F.sum("er"), F.sum("ext")).alias("ret"), (F.sum("qty") / F.sum("n")).alias("pbr"))
+    return m.join(months(spark, sf_dir), "month")
 
 
 @saved("lineitem", "part")
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The market's calendar: date, its ordinal di and its month's ordinal k."""
-    return calendar.ordinals(ret_day(spark, sf_dir), "date", "di").withColumn("month", F.last_day("date")).join(months(spark, sf_dir), "month").select("date", "di", "k")
+    d = line_day(spark, sf_dir).select("date").distinct()
+    k = F.dense_rank().over(W.orderBy(F.last_day("date")))
+    return d.select("date", F.row_number().over(W.orderBy("date")).cast("long").alias("di"), k.cast("long").alias("k"))
 
 
-@saved("lineitem", "part")
 def months(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar months with a trading day: month, k."""
-    return calendar.ordinals(ret_day(spark, sf_dir).select(F.last_day("date").alias("month")), "month", "k")
+    return days(spark, sf_dir).select(F.last_day("date").alias("month"), "k").distinct()
 
 
 @saved("lineitem", "part")
 def factor_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One daily factor: winners minus losers, and the market."""
-    f = lines(spark, sf_dir).groupBy("date").agg(weighted("r", "ext", F.col("flag") == "A").alias("win"), weighted("r", "ext", F.col("flag") == "R").alias("los"), weighted("r", "ext").alias("mkt"))
+    side = lambda flag: F.try_divide(F.sum(F.when(F.col("flag") == flag, F.col("er"))), F.sum(F.when(F.col("flag") == flag, F.col("ext"))))
+    f = line_day(spark, sf_dir).groupBy("date").agg(side("A").alias("win"), side("R").alias("los"), F.try_divide(F.sum("er"), F.sum("ext")).alias("mkt"))
     return f.withColumn("wml", F.col("win") - F.col("los"))
 
 
