@@ -10,6 +10,7 @@ from factorloom.plans.panels import SIGNAL
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
 from factorloom.sources.shared import saved
+from factorloom.streaming import daily_risk
 
 
 def by_month():
@@ -347,6 +348,20 @@ def w20(spark, d):
     return s.select("series", "t", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.size("x").cast("long").alias("n"))
 
 
+@query("X01_tumbling_windows", "SELECT epoch_us(date_trunc('day', CAST(ts AS TIMESTAMP))) AS start, CAST(event_type AS VARCHAR) AS event_type, sum(value * value) AS rv, count(*) AS n FROM events GROUP BY ALL", floats="rv", digits=4)
+def x01(spark, d):
+    """The batch form of the stream's daily sums of squares."""
+    e = c.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return daily_risk.tumbling_variance(e, "ts", "event_type", "value").withColumn("start", F.unix_micros("start"))
+
+
+@query("X02_session_windows", "SELECT min(us) AS start, max(us) + 1800000000 AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN us - prev < 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, lag(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, s")
+def x02(spark, d):
+    """A user's events no more than half an hour apart are one session."""
+    e = c.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return daily_risk.sessions(e, "ts", "user_id").withColumns({k: F.unix_micros(k) for k in ("start", "end")})
+
+
 @query("Q01_quantile_buckets", "SELECT month, code, bucket FROM bk", BUCKETS, dates="month")
 def q01(spark, d):
     return sorts.quantile_buckets(legs.eligible(legs.momentum(c.px_month(spark, d)), 5), "sig", 5, ["month"]).select("month", "code", "bucket")

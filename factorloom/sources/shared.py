@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_SHARED = "/tmp/checkpoints"
 
 View = Callable[[SparkSession, str], DataFrame]
-_WRITTEN: dict[tuple, DataFrame] = {}
+_WRITTEN: dict[tuple, tuple[str, DataFrame]] = {}
 
 
 def new_path(spark: SparkSession) -> str:
@@ -41,6 +41,12 @@ def state(spark: SparkSession, path: str) -> tuple[int, int, int]:
     return summary.getFileCount(), summary.getLength(), fs.getFileStatus(at).getModificationTime()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole at a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def saved(*tables: str) -> Callable[[View], View]:
     """A view of these tables that is computed once a session and input, written, and read from then on.
 
@@ -52,9 +58,12 @@ def saved(*tables: str) -> Callable[[View], View]:
         @functools.wraps(make)
         def view(spark: SparkSession, sf_dir: str) -> DataFrame:
             key = (spark.sparkContext.applicationId, make.__module__, make.__qualname__, sf_dir, *(state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
-            if key not in _WRITTEN:
-                _WRITTEN[key] = written(make(spark, sf_dir))
-            return _WRITTEN[key]
+            path, df = _WRITTEN.get(key, (None, None))
+            if path is None or not exists(spark, path):  # the folder may have been cleared
+                path = new_path(spark)
+                df = written(make(spark, sf_dir), path)
+                _WRITTEN[key] = (path, df)
+            return df
 
         return view
 

@@ -23,16 +23,21 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return base.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def ring_variance(stream: DataFrame, key: str, value: str, size: int = RING) -> DataFrame:
-    """21 times the mean square of each key's last `size` values, kept as state between batches."""
+def ring_variance(stream: DataFrame, key: str, ts: str, value: str, size: int = RING) -> DataFrame:
+    """21 times the mean square of each key's last `size` values by time, kept as state between batches.
+
+    Rows may arrive in any order: a late row takes its place by time, or none if `size` later ones are held.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
+        at, held = (list(x) for x in state.get) if state.exists else ([], [])
         for f in frames:
-            held = (held + f[value].tolist())[-size:]
-        state.update((held,))
+            pairs = sorted(zip(at + f["_at"].tolist(), held + f[value].tolist(), strict=True))[-size:]
+            at, held = [t for t, _ in pairs], [v for _, v in pairs]
+        state.update((at, held))
         yield pd.DataFrame({key: [k[0]], "n": [len(held)], "variance": [21 * sum(v * v for v in held) / len(held) if len(held) == size else None]})
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, variance double", "held array<double>", "update", GroupStateTimeout.NoTimeout)
+    timed = stream.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), value)
+    return timed.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n long, variance double", "at array<long>, held array<double>", "update", GroupStateTimeout.NoTimeout)

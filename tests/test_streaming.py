@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from factorloom.streaming import daily_risk
@@ -25,10 +28,20 @@ def test_tumbling_windows_match_the_batch(spark):
 
 
 def test_ring_buffer_matches_the_last_rows(spark, tmp_path):
-    schema = "user_id long, value double"
-    rows = [(u, float(i % 7)) for i in range(300) for u in (1, 2)]
+    """Rows that arrive in any order: the last ones by time count."""
+    schema = "user_id long, ts timestamp, value double"
+    rows = [(u, datetime(2020, 1, 1) + timedelta(minutes=i), float(i % 7)) for i in range(300) for u in (1, 2)]
+    random.Random(1).shuffle(rows)
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = run(daily_risk.ring_variance(stream, "user_id", "value", size=50), "ring", "update").collect()
+    got = run(daily_risk.ring_variance(stream, "user_id", "ts", "value", size=50), "ring", "update").collect()
     want = 21 * sum(float(i % 7) ** 2 for i in range(250, 300)) / 50
     assert {r.user_id: round(r.variance, 9) for r in got} == {1: round(want, 9), 2: round(want, 9)}
+
+
+def test_session_windows_match_the_batch(spark):
+    batch = spark.read.parquet(DATA)
+    stream = spark.readStream.schema(batch.schema).parquet("/root/testdata/sf0.001/events.parque[t]")
+    key = lambda df: sorted((str(r.start), str(r.end), r.event_type, r.n) for r in df.collect())
+    ours = lambda df: daily_risk.sessions(df.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    assert key(run(ours(stream), "sessions")) == key(ours(batch))
