@@ -53,6 +53,11 @@ def fold_rows(x: DataFrame, first: int = race.FIRST, refit: int = race.REFIT, by
     return each.withColumn("t0", F.explode(F.sequence(low, F.col("_last"), F.lit(refit)))).drop("_last")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Groups dealt over four tasks a core: they hold few rows but much work, so they may not be merged by size."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def back(prediction: np.ndarray, residual: np.ndarray, y: np.ndarray, transform: str) -> np.ndarray:
     """From logarithms to variances: with log-normal smearing, or clipped to half the least and twice the most."""
     if transform == "smear":
@@ -79,7 +84,7 @@ def run(x: DataFrame, models: list[str], transform: str = "smear", target: str =
         return pd.DataFrame({**dict(zip(keys, names, strict=True)), "t": test.t.to_numpy(), "model": model, "f": f})
 
     folds = fold_rows(x.select(*keys, "t", F.col(target), *columns), first, refit, by).withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    return folds.where((F.col("t") < F.col("t0") + refit)).groupBy(*keys, "t0", "model").applyInPandas(fit, schema)
+    return spread(folds.where((F.col("t") < F.col("t0") + refit)), *keys, "t0", "model").groupBy(*keys, "t0", "model").applyInPandas(fit, schema)
 
 
 def run_lstm(x: DataFrame, columns: list[str], length: int = 12, seeds: tuple[int, ...] = (42,), first: int = race.FIRST, refit: int = race.REFIT) -> DataFrame:
@@ -99,7 +104,7 @@ def run_lstm(x: DataFrame, columns: list[str], length: int = 12, seeds: tuple[in
         return pd.DataFrame({"series": series, "t": t[at][~train], "model": f"LSTM{seed}", "f": f})
 
     folds = fold_rows(x.select("series", "t", "y", *columns), first, refit).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    return folds.where(F.col("t") < F.col("t0") + refit).groupBy("series", "t0", "seed").applyInPandas(fit, "series string, t long, model string, f double")
+    return spread(folds.where(F.col("t") < F.col("t0") + refit), "series", "t0", "seed").groupBy("series", "t0", "seed").applyInPandas(fit, "series string, t long, model string, f double")
 
 
 def ensemble(forecasts: DataFrame, models: list[str], name: str = "ENS") -> DataFrame:
