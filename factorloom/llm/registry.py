@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import common, decontam, html_extract, langid, neardup, packing, quality, token_counts, topk, toxicity, warc
+from factorloom.llm import common, decontam, html_extract, importance, langid, neardup, packing, quality, secrets, token_counts, topk, toxicity, warc, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,19 @@ FROM f
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(common.table(spark, sf_dir, "pages"), common.shared_dir(spark)).drop("url")
+
+
+@query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), common.shared_dir(spark))
+
+
+@query
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.find(docs, secrets.train(docs)))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(common.table(spark, sf_dir, "embeddings"), common.shared_dir(spark))
