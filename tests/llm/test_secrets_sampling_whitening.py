@@ -254,9 +254,8 @@ def test_whitening_stops_early_on_wide_vectors_and_finds_equal_eigenvalues(spark
     inner = whiten.summed
     monkeypatch.setattr(whiten, "summed", lambda *a, **k: calls.append(1) or inner(*a, **k))
     # 40 pairs of opposite points on axes: eigenvalues 100 (4 times), then falling quickly
-    size = np.concatenate([np.full(4, 100.0), 50.0 * 0.6 ** np.arange(36)])
-    axes = np.vstack([np.diag(size), -np.diag(size)]) / 64 * 64
-    wide = np.hstack([axes, np.zeros((80, 80))])
+    size = np.round(64 * np.concatenate([np.full(4, 100.0), 50.0 * 0.85 ** np.arange(36)])) / 64
+    wide = np.hstack([np.vstack([np.diag(size), -np.diag(size)]), np.zeros((80, 80))])
     got, want = check_whitening(spark, range(80), wide)
     assert len(calls) < 100 and np.allclose(got.T @ got / 80, np.eye(16), atol=1e-8)
     # inside an eigenspace any basis does: compare the projectors of the fourfold one
