@@ -270,31 +270,3 @@ def boosted_logistic(rounds: int = 100, rate: float = 0.05, depth: int = 3, leaf
         return lambda z: 1 / (1 + np.exp(-(base + rate * sum(s[np.searchsorted(m, t(z))] for t, m, s in own))))
 
     return fit
-
-
-def pareto_tail(losses: np.ndarray, share: float = 0.85, p: float = 0.05, least: int = 10) -> tuple[float, float, int]:
-    """Expected shortfall in per cent from a generalised Pareto law over the threshold, its shape, and exceedances.
-
-    The likelihood is maximised over one number, shape over scale; fewer than `least` exceedances or a shape near 1 give NaN.
-    """
-    u = np.quantile(losses, share)
-    e = losses[losses > u] - u
-    if len(e) < least:
-        return np.nan, np.nan, len(e)
-
-    def profile(theta: float) -> tuple[float, float]:
-        k = np.mean(np.log1p(theta * e))
-        return (np.log(k / theta) + k + 1, k) if abs(theta) > 1e-9 else (np.log(e.mean()) + 1, 0.0)
-
-    top = e.max()
-    grid = np.concatenate([-(1 - np.logspace(-4, 0, 60)[:-1]) / top, np.logspace(-4, 2, 80) / e.mean()])
-    scores = [(profile(t)[0], t) for t in grid if np.isfinite(profile(t)[0]) and (abs(t) < 1e-9 or profile(t)[1] / t > 0)]
-    _, best = min(scores)
-    shape = profile(best)[1]
-    scale = shape / best if abs(best) > 1e-9 else e.mean()
-    if shape >= 0.95:
-        return np.nan, shape, len(e)
-    zeta = len(e) / len(losses)
-    var = u + (scale / shape * ((p / zeta) ** -shape - 1) if abs(shape) > 1e-9 else scale * np.log(zeta / p))
-    es = (var + scale - shape * u) / (1 - shape) if abs(shape) > 1e-9 else var + scale
-    return -es * 100, shape, len(e)

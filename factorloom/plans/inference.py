@@ -9,10 +9,9 @@ import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.functions import kernels
 from factorloom.operators import bootstrap as bs
 from factorloom.operators import inference as inf
-from factorloom.operators import metrics, race, rolling
+from factorloom.operators import metrics, race, rolling, tails
 from factorloom.plans.measures import bears, months
 from factorloom.plans.forecasting import whole_race
 from factorloom.plans.portfolios import baseline_race, race_of, strats
@@ -254,29 +253,23 @@ def k16(spark, d, of=baseline_race):
     return own.unionByName(inf.deflated_sharpe(s, 12).withColumn("trials", F.lit("12"))).unionByName(inf.deflated_sharpe(s, 40).withColumn("trials", F.lit("40")))
 
 
-def tails(df, keys: list[str], types: str, thresholds: tuple[float, ...] = (0.85,), least: int = 10):
-    """Pareto tails above each threshold: shortfall at 5 and 1 per cent, shape, exceedances."""
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        loss, out = -rows.r.to_numpy(), []
-        for u in thresholds:
-            es5, shape, n = kernels.pareto_tail(loss, u, 0.05, least)
-            out.append({**dict(zip(keys, key, strict=True)), "u": u, "es5": es5, "es1": kernels.pareto_tail(loss, u, 0.01, least)[0], "shape": shape, "n": n})
-        return pd.DataFrame(out)
-
-    return df.groupBy(*keys).applyInPandas(fit, f"{types}, u double, es5 double, es1 double, shape double, n long")
-
-
 @query("K17_pareto_tail")
 def k17(spark, d):
-    return tails(c.series_day(spark, d).select("series", "r"), ["series"], "series string", (0.80, 0.85, 0.90))
+    """Shortfall and value at risk of every daily series, over three thresholds."""
+    return tails.pareto(c.series_day(spark, d), ["series"], thresholds=(0.80, 0.85, 0.90))
 
 
 @query("K18_pareto_bootstrap")
 def k18(spark, d, of=baseline_race):
-    s = bs.resampled(strats(spark, d, of), TAIL_REPS, race.FIRST).select("series", "b", "model", "r")
-    t = tails(s, ["series", "b", "model"], "series string, b int, model string", least=LEAST_EXCEEDANCES).unpivot(["series", "b", "model"], ["es5", "es1"], "level", "es").where("not isnan(es)")
-    return bs.interval(bs.against(t, "es", "RW126", ["series", "b", "level"]), ["series", "model", "level"])
+    """Gap of the tails' shortfall to the random walk's: as observed and over the replicates in which both have a tail."""
+    levels = lambda t, keys: t.unpivot([*keys, "model"], ["es5", "es1"], "level", "es").where("not isnan(es)")
+    own = strats(spark, d, of)
+    boot = levels(tails.pareto(bs.resampled(own, TAIL_REPS, race.FIRST), ["series", "model"], "b", least=LEAST_EXCEEDANCES), ["series", "b"])
+    seen = levels(tails.pareto(own, ["series", "model"], least=LEAST_EXCEEDANCES), ["series"])
+    gaps = bs.against(boot, "es", "RW126", ["series", "b", "level"])
+    keys = ["series", "model", "level"]
+    obs = bs.against(seen, "es", "RW126", ["series", "level"]).select(*keys, F.col("d").alias("obs"))
+    return bs.interval(gaps, keys).join(gaps.groupBy(*keys).agg(F.count("*").alias("n_boot")), keys).join(obs, keys, "left")
 
 
 @query("K19_hill", "SELECT series, 1 / (avg(CASE WHEN rn <= 20 THEN ln(-r) END) - max(CASE WHEN rn = 21 THEN ln(-r) END)) AS alpha FROM (SELECT series, r, row_number() OVER (PARTITION BY series ORDER BY r) AS rn FROM series_day WHERE r < 0) GROUP BY 1", floats="alpha", digits=4)

@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factorloom.functions import kernels
+from factorloom.functions.tails import pareto_tails
 from factorloom.operators import bootstrap, calendar, forecast, legs, metrics, reshape, rolling, sorts
 from factorloom.sources import files
 
@@ -150,7 +151,8 @@ def test_lstm_learns_the_last_value():
 def test_pareto_tail_near_empirical():
     rng = np.random.default_rng(5)
     losses = rng.standard_t(4, 5000) * 0.01
-    es, shape, n = kernels.pareto_tail(losses, 0.85, 0.05)
+    t = pareto_tails(losses[None])
+    es, shape, n = t.es[0.05][0], t.shape[0], t.n[0]
     assert es == pytest.approx(-100 * np.sort(losses)[-250:].mean(), rel=0.08) and -0.2 < shape < 0.6 and n == 750
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 import pytest
 
 from factorloom.functions import kernels
+from factorloom.functions.tails import pareto_tails
 from factorloom.operators import bootstrap, forecast, race
 from factorloom.plans import catalogue, forecasting, inference, registry  # noqa: F401
 from factorloom.sources import catalog as c
@@ -134,7 +135,7 @@ def test_tails_of_replicates(spark, monkeypatch):
     own = {m: g.sort_values("t").r.to_numpy() for m, g in s[s.series == "wml"].groupby("model")}
     gaps = []
     for _, g in index[index.series == "wml"].groupby("b"):
-        es = {m: kernels.pareto_tail(-own[m][g.i.to_numpy()], 0.85, 0.05, inference.LEAST_EXCEEDANCES)[0] for m in ("plain", "RW126")}
+        es = {m: pareto_tails(-own[m][g.i.to_numpy()][None], least=inference.LEAST_EXCEEDANCES).es[0.05][0] for m in ("plain", "RW126")}
         gaps.append(es["plain"] - es["RW126"])
     gaps = np.array(gaps)[~np.isnan(gaps)]
     assert len(gaps) > 20
