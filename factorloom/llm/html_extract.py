@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from factorloom.llm import boosting, common
 
 #: Pages that the trees are trained on.
-TRAINING_PAGES = 600
+TRAINING_PAGES = 800
 
 TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/a-zA-Z][^>]*+>", re.S)
 COMMENT = re.compile(r"<!--(?:.*?-->|.*\Z)", re.S)
@@ -48,7 +48,8 @@ SILENT = frozenset("script style head title noscript template svg iframe object
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: An opening tag ends an open element of these, up to the boundary.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
-TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary span a label button #text".split()
+TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary span a label button #text math".split()
+EDGES, BODIES = frozenset("nav header footer aside form".split()), frozenset("article main".split())
 TAG_NUMBER = {t: i + 1 for i, t in enumerate(TAGS)}
 #: Elements that end the search for an open paragraph.
 P_BOUNDS = frozenset("td th table button object".split())
@@ -64,7 +65,7 @@ EMPTY = re.compile(r"[\s\x01-\x04]*")
 
 
 class Node:
-    """An element that may hold main text; inline elements without attributes count to their block."""
+    """An element that may hold main text; inline elements without attributes count to their block, but for links and formulas."""
 
     __slots__ = ("attrs", "children", "depth", "index", "parent", "parts", "tag", "tokens")
 
@@ -94,12 +95,13 @@ def parse(page: str) -> Node:
     parts, run = [], []
 
     def close() -> None:
-        if all(p is None or EMPTY.fullmatch(p) for p in run):
-            parts.extend(run)
-        else:
+        said = [k for k, p in enumerate(run) if p is not None and not EMPTY.fullmatch(p)]
+        if said:  # breaks around the text stay with the root, whether the text is kept or not
             node = Node("#text", "", root)
-            node.parts = run[:]
-            parts.append(node)
+            node.parts = run[said[0] : said[-1] + 1]
+            parts.extend([*run[: said[0]], node, *run[said[-1] + 1 :]])
+        else:
+            parts.extend(run)
         run.clear()
 
     for p in root.parts:
@@ -182,7 +184,7 @@ def elements(page: str) -> Node:
                     close(k)
             stack[-1][1].parts.append(None)
         parent = stack[-1][1]
-        if name in INLINE and not tokens_of(m[3]) and name != "a":
+        if name in INLINE and not tokens_of(m[3]) and name not in ("a", "math"):
             push(name, parent)
             continue
         node = Node(name, m[3], parent)
@@ -203,7 +205,8 @@ def listed(root: Node) -> list[Node]:
     return out
 
 
-FEATURES = 27 + 2 * HASHED
+PLAIN_FEATURES = 29
+FEATURES = PLAIN_FEATURES + 2 * HASHED
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -220,6 +223,10 @@ def features(nodes: list[Node]) -> np.ndarray:
             a[p] += a[i]
     total = max(1.0, text[0])
     above_links = np.zeros(n)
+    edged, bodied = np.zeros(n, bool), np.zeros(n, bool)  # below an element of the page's edges, of its body
+    for i in range(1, n):
+        p = parent[i]
+        edged[i], bodied[i] = edged[p] or nodes[p].tag in EDGES, bodied[p] or nodes[p].tag in BODIES
     place, alike, largest = np.zeros(n, int), np.ones(n), text.copy()  # among all siblings; the root has none
     for v in nodes:
         if v.children:
@@ -234,17 +241,17 @@ def features(nodes: list[Node]) -> np.ndarray:
         tags = [TAG_NUMBER.get(v.tag, 0), TAG_NUMBER.get(v.parent.tag, 0) if v.parent else 0, TAG_NUMBER.get(v.parent.parent.tag, 0) if v.parent and v.parent.parent else 0]
         above_links[i] = linked[p] / max(1.0, text[p]) if p >= 0 else 0
         before, after = kin[pos - 1] if pos else None, kin[pos + 1] if pos + 1 < len(kin) else None
-        x[i, :27] = (
+        x[i, :PLAIN_FEATURES] = (
             *tags, v.depth, np.log1p(text[i]), np.log1p(own[i]), text[i] / size[i], text[i] / total, linked[i] / max(1.0, text[i]), links[i] / size[i], np.log1p(size[i]), np.log1p(paragraphs[i]),
             stops[i] / max(1.0, text[i]) * 100, len(v.children), len(kin), pos, pos / len(kin), alike[i], TAG_NUMBER.get(before.tag, 0) if before else -1, TAG_NUMBER.get(after.tag, 0) if after else -1,
-            text[p] / total if p >= 0 else 1, text[i] / max(1.0, text[p]) if p >= 0 else 1, above_links[i], np.log1p(largest[i]), i / n, v.tag in ("nav", "header", "footer", "aside", "form"), v.tag in ("article", "main"),
+            text[p] / total if p >= 0 else 1, text[i] / max(1.0, text[p]) if p >= 0 else 1, above_links[i], np.log1p(largest[i]), i / n, v.tag in EDGES, v.tag in BODIES, edged[i], bodied[i],
         )
         for t in v.tokens:
-            x[i, 27 + t] = 1
+            x[i, PLAIN_FEATURES + t] = 1
         if p >= 0:
-            x[i, 27 + HASHED :] = x[p, 27 + HASHED :]
+            x[i, PLAIN_FEATURES + HASHED :] = x[p, PLAIN_FEATURES + HASHED :]
             for t in v.parent.tokens:
-                x[i, 27 + HASHED + t] = 1
+                x[i, PLAIN_FEATURES + HASHED + t] = 1
     return x
 
 
@@ -339,7 +346,7 @@ class Writer:
         return "" if kind < 0.15 else f' class="{name}"' if kind < 0.6 else f' id="{name}"' if kind < 0.8 else f' class="{name} {self.r.choice(names)}-{self.r.choice(["box", "wrap", "inner", "1"])}"'
 
     def links(self, low: int, high: int) -> str:
-        return "".join(f'<li><a href="/{w}">{w}</a></li>' for w in self.r.choices(self.words, k=self.r.randint(low, high)))
+        return "".join(f'<li><a href="/{w}">{w}{self.r.choice(self.signs)}</a></li>' for w in self.r.choices(self.words, k=self.r.randint(low, high)))
 
     def boiler(self, kind: str) -> str:
         r, a = self.r, self.attr(self.BOILER[kind])
@@ -374,6 +381,8 @@ class Writer:
             k = r.randrange(len(w))
             w[k] = r.choice([f"<b>{w[k]}</b>", f"<em>{w[k]}</em>", f'<a href="/x">{w[k]}</a>', f"{w[k]}<br>"])
             text = " ".join(w)
+        if r.random() < 0.22:
+            return self.rarer()
         if kind < 0.72:
             return f"<p>{r.choice(['', '', '', '<b>'])}{text}" + r.choice(["</p>", "</p>", "</p>", "<br>"])
         if kind < 0.8:
@@ -386,6 +395,37 @@ class Writer:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{self.text(1, 5)}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>"
         return f"<div>{text}</div>"
 
+    def formula(self) -> str:
+        r = self.r
+        a, b, c = r.choices("abcknxyz", k=3)
+        return r.choice([f"<math><mi>{a}</mi><mo>=</mo><mi>{b}</mi><mo>+</mo><mn>{r.randint(1, 99)}</mn></math>", f"<i>{a}</i> = <i>{b}</i><sup>{r.randint(2, 9)}</sup> + {c}", f"<code>{a}({b}) = {c}</code>", f"<math display='block'><mrow><msup><mi>{a}</mi><mn>2</mn></msup><mo>=</mo><mi>{c}</mi></mrow></math>"])
+
+    def link(self, low: int, high: int) -> str:
+        return f'<a href="{self.r.choice(["/", "https://www.", "#"])}{self.r.choice(self.words)}">{self.text(low, high)}</a>'
+
+    def rarer(self) -> str:
+        """Blocks of an article that resemble boilerplate: linked paragraphs, lists of sources, definitions, folds, formulas, captions."""
+        r = self.r
+        kind = r.randrange(8)
+        if kind == 0:
+            return f"<p>{self.link(*r.choice([(1, 6), (3, 25), (10, 60)]))}</p>"
+        if kind == 1:
+            tag = r.choice(["ul", "ol"])
+            head = r.choice(["", f"<h{r.randint(2, 4)}>{self.text(1, 4)}</h2>"])
+            return f"{head}<{tag}>" + "".join(f"<li>{r.choice(['', self.text(1, 6) + ' '])}{self.link(*r.choice([(1, 5), (3, 14)]))}</li>" for _ in range(r.randint(1, 7))) + f"</{tag}>"
+        if kind == 2:
+            return "<dl>" + "".join(f"<dt>{self.text(1, 4)}</dt><dd>{self.text(2, 30)}</dd>" for _ in range(r.randint(1, 5))) + "</dl>"
+        if kind == 3:
+            inner = r.choice([f"<p>{self.text(3, 60)}</p>", self.text(3, 60), f"<ul><li>{self.text(2, 12)}</li><li>{self.text(2, 12)}</li></ul>"])
+            return f"<details{r.choice(['', ' open'])}><summary>{self.text(1, 8)}</summary>{inner}</details>"
+        if kind == 4:
+            return r.choice([f"<p>{self.formula()}</p>", f"<div>{self.formula()}</div>", f"<p>{self.text(2, 20)} {self.formula()} {self.text(1, 20)}</p>"])
+        if kind == 5:
+            return f"<figure><img src='{self.words[0]}.png'><figcaption>{self.text(2, 25)}</figcaption></figure>"
+        if kind == 6:
+            return f"<pre>{self.text(3, 40)}</pre>"
+        return f"<p>{self.text(1, 4)}</p>"
+
     def page(self) -> str:
         """A page; main text lies between the marks <!--[--> and <!--]-->, boilerplate in it between <!--{--> and <!--}-->."""
         r = self.r
@@ -417,8 +457,8 @@ class Writer:
             main = f'<div class="{r.choice(self.CONTENT)}">{inner}</div>'
         else:
             main = f'<div id="{r.choice(self.CONTENT)}"><div>{inner}</div></div>'
-        if r.random() < 0.1:  # an article in no element of its own
-            main = title + "".join(r.choice([b, f"{self.text(*r.choice([(3, 25), (3, 150), (100, 300)]))}<br><br>"]) for b in body)
+        if r.random() < 0.18:  # an article in no element of its own
+            main = title + "".join(r.choice([b, b, f"{self.text(*r.choice([(1, 6), (3, 25), (3, 150), (100, 300)]))}<br><br>", self.formula(), f"{self.text(2, 20)} {self.formula()} {self.text(1, 20)}"]) for b in body)
         main = f"<!--[-->{main}<!--]-->"
         before = "".join(self.boiler(r.choice(["nav", "nav", "header", "ad", "notice", "form", "share", "aside"])) for _ in range(r.randint(0, 4)))
         after = "".join(self.boiler(r.choice(["footer", "footer", "aside", "comments", "ad", "share", "notice", "form", "nav"])) for _ in range(r.randint(0, 4)))
