@@ -7,9 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Calendar days of a block in which dates are numbered.
+SPAN = 256
+
+
 def ordinals(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Dense ordinal of each distinct key value. The table is as long as the calendar, whatever df's size."""
-    return df.select(key).distinct().withColumn(name, F.row_number().over(W.orderBy(key)).cast("long"))
+    """Dense ordinal, from 1, of each distinct date: numbered inside blocks of the calendar, after the dates of the blocks before."""
+    each = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_part", F.floor(F.unix_date(key) / SPAN))
+    sizes = each.groupBy("_part").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("_part", "n"))).alias("s"))  # one entry a block of the calendar
+    before = F.transform("s", lambda x: F.struct(x["_part"].alias("_part"), F.aggregate(F.filter("s", lambda y: y["_part"] < x["_part"]), F.lit(0).cast("long"), lambda total, y: total + y["n"]).alias("_before")))
+    starts = sizes.select(F.inline(before))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(key))
+    return each.withColumn("_in", inside).join(F.broadcast(starts), "_part").select(key, (F.col("_before") + F.col("_in")).cast("long").alias(name))
 
 
 def with_ordinal(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import metrics, rolling
+from factorloom.operators import metrics, rolling, scans
 
 FIRST, REFIT = 36, 6
 LAMBDAS = (0.7, 0.8, 0.9, 0.94)
@@ -44,7 +44,7 @@ def folds(r: DataFrame, first: int = FIRST, refit: int = REFIT) -> DataFrame:
 def ewmas(r: DataFrame) -> DataFrame:
     """The recursion for every lambda: series, t, lam, f."""
     each = r.select("series", "t", "y", F.explode(F.array(*map(F.lit, LAMBDAS))).alias("lam"))
-    return each.select("series", "t", "lam", rolling.ewma("y", "lam", "t", ["series", "lam"]).alias("f"))
+    return scans.smoothed(each, ["series", "lam"], "t", "y", "lam", "f").select("series", "t", "lam", "f")
 
 
 def baselines(r: DataFrame, first: int = FIRST, refit: int = REFIT) -> DataFrame:

@@ -72,3 +72,30 @@ def as_of(left: DataFrame, right: DataFrame, key: str, found: str, by: list[str]
     both = left.select(*by, F.col(key).alias("_at"), F.lit(None).cast(right.schema[found].dataType).alias(found), F.lit(1).alias("_left")).unionByName(right.select(*by, F.col(found).alias("_at"), found, F.lit(0).alias("_left")))
     w = W.partitionBy(*by).orderBy("_at", "_left").rowsBetween(W.unboundedPreceding, 0)
     return both.withColumn(found, F.last(found, ignorenulls=True).over(w)).where("_left = 1").select(*by, F.col("_at").alias(key), found)
+
+
+def grid(keys: DataFrame, length: DataFrame, ordinal: str, start: Column | None = None, stop: Column | None = None) -> DataFrame:
+    """Each row of `keys` for every ordinal of a calendar, from `start` to `stop`; `length` has one row with the calendar's last ordinal, _n."""
+    own = keys.join(F.broadcast(length))
+    first, last = F.lit(1) if start is None else start, F.col("_n") if stop is None else stop
+    return own.withColumn(ordinal, F.explode(F.when(last >= first, F.sequence(first.cast("long"), last.cast("long"))))).drop("_n")
+
+
+def aligned(panel: DataFrame, calendar: DataFrame, by: str, ordinal: str) -> DataFrame:
+    """The panel (by, ordinal, ...) on its whole calendar: every key has a row at every ordinal, with nulls where it had none."""
+    n = calendar.agg(F.max(ordinal).alias("_n"))
+    return grid(panel.select(by).distinct(), n, ordinal).join(calendar, ordinal).join(panel, [by, ordinal], "left")
+
+
+def carried(panel: DataFrame, calendar: DataFrame, by: str, ordinal: str, value: str) -> DataFrame:
+    """The panel on its whole calendar, each key's last value that is not null carried on: by, ordinal and value.
+
+    A value is repeated up to the key's next one, so the filled rows are made by no window.
+    """
+    n = calendar.agg(F.max(ordinal).alias("_n"))
+    held = panel.where(F.col(value).isNotNull()).select(by, value, F.col(ordinal).alias("_from"))
+    spans = held.withColumn("_to", F.lead("_from").over(W.partitionBy(by).orderBy("_from")) - 1)
+    filled = grid(spans, n, ordinal, F.col("_from"), F.coalesce("_to", "_n")).select(by, ordinal, value)
+    firsts = panel.select(by).distinct().join(held.groupBy(by).agg((F.min("_from") - 1).alias("_to")), by, "left")
+    empty = grid(firsts, n, ordinal, None, F.coalesce("_to", "_n")).select(by, ordinal, F.lit(None).cast(panel.schema[value].dataType).alias(value))
+    return filled.unionByName(empty)

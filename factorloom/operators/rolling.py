@@ -51,17 +51,6 @@ def expanding_before(by: list[str], order: str) -> WindowSpec:
     return ordered(by, order).rowsBetween(W.unboundedPreceding, -1)
 
 
-def ewma(value: str, lam: str, t: str, by: list[str], seed_rows: int = 12) -> Column:
-    """s_0 = mean of the first rows; s_t = lam s_{t-1} + (1 - lam) value_{t-1}; t counts from 0 in each series.
-
-    In closed form lam^t s_0 + (1 - lam) lam^(t-1) sum of value_i lam^-i, so a running sum suffices. Its
-    terms overflow from t of 700 / -ln(lam) on (1,960 rows at 0.7): a bound for monthly series.
-    """
-    seed = F.avg(F.when(F.col(t) < seed_rows, F.col(value))).over(W.partitionBy(*by))
-    past = F.coalesce(F.sum(F.col(value) * F.pow(lam, -F.col(t))).over(expanding_before(by, t)), F.lit(0.0))
-    return F.pow(lam, t) * seed + (1 - F.col(lam)) * F.pow(F.col(lam), F.col(t) - 1) * past
-
-
 def mean_rank(value: str | Column, by: list[str], ascending: bool = True) -> Column:
     """Average rank of ties."""
     v = F.col(value) if isinstance(value, str) else value

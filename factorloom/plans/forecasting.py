@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions import kernels
-from factorloom.operators import forecast, metrics, race
+from factorloom.operators import calendar, forecast, metrics, race, rolling, scans
 from factorloom.plans.portfolios import baselines, grid_days, grid_race, race_of
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
@@ -108,12 +108,10 @@ def j13(spark, d):
 @query("M16_component_forecasts")
 def m16(spark, d):
     """Market and specific variance of the factor, each forecast and clipped to the training range."""
-    from pyspark.sql import Window as W
-
-    f = c.factor_day(spark, d).where("wml is not null")
-    a = W.orderBy("date").rowsBetween(-125, 0)
+    a = rolling.trailing(["_block"], "t", 126)
+    f = scans.overlapping(calendar.with_ordinal(c.factor_day(spark, d).where("wml is not null"), "date", "t"), "t", 126)
     beta = F.covar_samp("wml", "mkt").over(a) / F.var_samp("mkt").over(a)
-    x = f.withColumn("_n", F.count("*").over(a)).withColumn("_m", beta * F.col("mkt")).where("_n >= 126")
+    x = f.withColumn("_n", F.count("*").over(a)).withColumn("_m", beta * F.col("mkt")).where("_own and _n >= 126")
     parts = x.select("date", F.col("_m").alias("market"), (F.col("wml") - F.col("_m")).alias("specific")).unpivot("date", ["market", "specific"], "series", "r")
     return forecast.run(forecast.features(parts), ["Ridge"], transform="clip")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import calendar, legs, metrics, race, rolling, sorts
+from factorloom.operators import calendar, legs, metrics, race, reshape, rolling, scans, sorts
 from factorloom.plans.panels import SIGNAL
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
@@ -238,8 +238,9 @@ def w04(spark, d):
 
 @query("W05_beta", "SELECT date, beta, beta * beta * vm * 1e4 AS market, (v - beta * beta * vm) * 1e4 AS specific FROM (SELECT date, count(*) OVER a AS n, covar_samp(wml, mkt) OVER a / var_samp(mkt) OVER a AS beta, var_samp(mkt) OVER a AS vm, var_samp(wml) OVER a AS v FROM factor_day WHERE wml IS NOT NULL WINDOW a AS (ORDER BY date ROWS 125 PRECEDING)) WHERE n >= 126", floats="beta market specific", digits=4, dates="date")
 def w05(spark, d):
-    a = W.orderBy("date").rowsBetween(-125, 0)
-    f = c.factor_day(spark, d).where("wml is not null").select("date", F.count("*").over(a).alias("n"), F.covar_samp("wml", "mkt").over(a).alias("cv"), F.var_samp("mkt").over(a).alias("vm"), F.var_samp("wml").over(a).alias("v")).where("n >= 126")
+    a = rolling.trailing(["_block"], "t", 126)
+    f = calendar.with_ordinal(c.factor_day(spark, d).where("wml is not null"), "date", "t")
+    f = scans.overlapping(f, "t", 126).select("date", "_own", F.count("*").over(a).alias("n"), F.covar_samp("wml", "mkt").over(a).alias("cv"), F.var_samp("mkt").over(a).alias("vm"), F.var_samp("wml").over(a).alias("v")).where("_own and n >= 126")
     b = F.try_divide("cv", "vm")
     return f.select("date", b.alias("beta"), (b * b * F.col("vm") * 1e4).alias("market"), ((F.col("v") - b * b * F.col("vm")) * 1e4).alias("specific"))
 
@@ -324,10 +325,12 @@ def w16(spark, d):
     return c.px_month(spark, d).select("k", "code", rolling.mean_rank("ret", ["k"], ascending=False).alias("rnk"))
 
 
-@query("W17_forward_fill", "SELECT date, last_value(ret IGNORE NULLS) OVER (ORDER BY date) AS ret FROM (SELECT DISTINCT date FROM line) LEFT JOIN (SELECT date, ret FROM ret_day WHERE code = 'Brand#17') USING (date)", floats="ret", dates="date")
+@query("W17_forward_fill", "SELECT code, date, last_value(ret IGNORE NULLS) OVER (PARTITION BY code ORDER BY date) AS ret FROM (SELECT DISTINCT date FROM line) CROSS JOIN (SELECT DISTINCT code FROM line) LEFT JOIN ret_day USING (code, date)", floats="ret", dates="date")
 def w17(spark, d):
-    j = c.days(spark, d).select("date").join(c.ret_day(spark, d).where("code = 'Brand#17'").select("date", "ret"), "date", "left")
-    return j.select("date", F.last("ret", ignorenulls=True).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)).alias("ret"))
+    """All brands' last daily return on every market day."""
+    day = c.days(spark, d).select("date", "di")
+    r = c.ret_day(spark, d).join(day, "date").select("code", "di", "ret")
+    return reshape.carried(r, day, "code", "di", "ret").join(day, "di").select("code", "date", "ret")
 
 
 @query("W18_vol_of_vol", "SELECT series, stddev_samp(x) AS vv FROM (SELECT series, ln(rv) - lag(ln(rv)) OVER (PARTITION BY series ORDER BY month) AS x FROM series_month WHERE rv > 0) GROUP BY 1", floats="vv")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import calendar, legs, reshape, sorts
+from factorloom.operators import calendar, legs, reshape, scans, sorts
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
 from factorloom.sources import files, workbook
@@ -94,8 +94,8 @@ def s13(spark, d):
 
 @query("S14_figure_frames", "SELECT date, product(1 + wml) OVER (ORDER BY date) - 1 AS path FROM factor_day WHERE wml IS NOT NULL", floats="path", dates="date")
 def s14(spark, d):
-    w = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    return c.factor_day(spark, d).where("wml is not null").select("date", (F.product(1 + F.col("wml")).over(w) - 1).alias("path"))
+    f = calendar.with_ordinal(c.factor_day(spark, d).where("wml is not null"), "date", "n").withColumn("t", F.col("n") - 1)
+    return scans.running_product(f, [], "t", 1 + F.col("wml"), "path").select("date", (F.col("path") - 1).alias("path"))
 
 
 @query("S16_fingerprint")
@@ -115,10 +115,11 @@ def p01(spark, d):
     return reshape.last_by_key(c.px_day(spark, d).withColumn("month", F.last_day("date")), "adj_close", "date", ["code", "month"], "last")
 
 
-@query("P02_align", "SELECT c.month, p.ret FROM cal c LEFT JOIN px_month p ON c.month = p.month AND p.code = 'Brand#11'", floats="ret", dates="month")
+@query("P02_align", "SELECT code, c.month, p.ret FROM cal c CROSS JOIN (SELECT DISTINCT code FROM px_month) LEFT JOIN px_month p USING (code, month)", floats="ret", dates="month")
 def p02(spark, d):
-    p = c.px_month(spark, d)
-    return p.select("month").distinct().join(p.where("code = 'Brand#11'").select("month", "ret"), "month", "left")
+    """All brands' monthly returns on the whole calendar."""
+    p = c.px_month(spark, d).select("code", "k", "ret")
+    return reshape.aligned(p, c.months(spark, d), "code", "k").select("code", "month", "ret")
 
 
 GUARDED = "guarded AS (SELECT date, code, CASE WHEN abs(ret) <= theta THEN ret END AS ret, theta FROM (SELECT px.date, px.code, CASE WHEN di - lag(di) OVER w = 1 THEN adj_close / lag(adj_close) OVER w - 1 END AS ret FROM px_day px JOIN days USING (date) WINDOW w AS (PARTITION BY code ORDER BY di)), (VALUES (CAST(0.3 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(1.0 AS DOUBLE)), (CAST('inf' AS DOUBLE))) g(theta))"
@@ -159,9 +160,12 @@ def p08(spark, d):
     return c.series_day(spark, d).groupBy("series").agg(F.avg(reshape.clip(F.col("r"), -0.01, 0.01)).alias("mean"))
 
 
-@query("P10_null_fill", "SELECT date, coalesce(ret, 0.0) AS ret FROM (SELECT DISTINCT date FROM line) LEFT JOIN (SELECT date, ret FROM ret_day WHERE code = 'Brand#22') USING (date)", floats="ret", dates="date")
+@query("P10_null_fill", "SELECT code, date, coalesce(ret, 0.0) AS ret FROM (SELECT DISTINCT date FROM line) CROSS JOIN (SELECT DISTINCT code FROM line) LEFT JOIN ret_day USING (code, date)", floats="ret", dates="date")
 def p10(spark, d):
-    return c.days(spark, d).select("date").join(c.ret_day(spark, d).where("code = 'Brand#22'").select("date", "ret"), "date", "left").select("date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    """All brands on every market day, without a trade at 0."""
+    day = c.days(spark, d).select("date", "di")
+    r = c.ret_day(spark, d).join(day, "date").select("code", "di", "ret")
+    return reshape.aligned(r, day, "code", "di").select("code", "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
 @query("P11_closed_ranges", "SELECT month, CASE WHEN month BETWEEN DATE '1997-03-31' AND DATE '1997-06-30' OR month BETWEEN DATE '1999-01-31' AND DATE '1999-02-28' THEN 0 ELSE ret END AS ret FROM series_month WHERE series = 'wml'", floats="ret", dates="month")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factorloom.operators import calendar
 from factorloom.sources.shared import saved
 
 
@@ -54,9 +54,9 @@ def px_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 @saved("lineitem", "part")
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The market's calendar: date, its ordinal di and its month's ordinal k."""
-    d = line_day(spark, sf_dir).select("date").distinct()
-    k = F.dense_rank().over(W.orderBy(F.last_day("date")))
-    return d.select("date", F.row_number().over(W.orderBy("date")).cast("long").alias("di"), k.cast("long").alias("k"))
+    d = line_day(spark, sf_dir).select("date")
+    month = calendar.ordinals(d.select(F.last_day("date").alias("month")), "month", "k")
+    return calendar.ordinals(d, "date", "di").withColumn("month", F.last_day("date")).join(F.broadcast(month), "month").select("date", "di", "k")
 
 
 def months(spark: SparkSession, sf_dir: str) -> DataFrame:
