@@ -134,24 +134,6 @@ def forest(trees: int = 300, depths: tuple = (3, 5, 30), leaves: tuple = (5, 10)
     return fit
 
 
-def boosting(rounds: int = 100, rates: tuple = (0.03, 0.1), depths: tuple = (3, 6), leaf: int = 5) -> Callable[[np.ndarray, np.ndarray], Predict]:
-    """Boosted trees on residuals; rate and depth by forward splits."""
-
-    def boost(x: np.ndarray, y: np.ndarray, rate: float, depth: int) -> Predict:
-        base, own, r = y.mean(), [], y - y.mean()
-        for _ in range(rounds):
-            t = tree(x, r, depth, leaf)
-            own.append(t)
-            r = r - rate * t(x)
-        return lambda z: base + rate * sum(t(z) for t in own)
-
-    def fit(x: np.ndarray, y: np.ndarray) -> Predict:
-        loss = {(a, d): sum(((y[te] - boost(x[tr], y[tr], a, d)(x[te])) ** 2).mean() for tr, te in forward_splits(len(y))) for a in rates for d in depths}
-        return boost(x, y, *min(loss, key=loss.get))
-
-    return fit
-
-
 class Adam:
     """Adam steps over a list of arrays, in place."""
 
@@ -252,21 +234,3 @@ def logistic(x: np.ndarray, y: np.ndarray, c: float = 0.5, steps: int = 50) -> P
         if np.abs(step).max() < 1e-8:
             break
     return lambda q: 1 / (1 + np.exp(-np.clip(w[0] + q @ w[1:], -35, 35)))
-
-
-def boosted_logistic(rounds: int = 100, rate: float = 0.05, depth: int = 3, leaf: int = 20) -> Callable[[np.ndarray, np.ndarray], Predict]:
-    """Boosted trees for a class of 0 or 1: trees on the residuals, one Newton step a leaf; predictions are probabilities."""
-
-    def fit(x: np.ndarray, y: np.ndarray) -> Predict:
-        base, own = np.log(y.mean() / (1 - y.mean())), []
-        odds = np.full(len(y), base)
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-odds))
-            t = tree(x, y - p, depth, leaf)
-            means, at = np.unique(t(x), return_inverse=True)
-            step = np.bincount(at, y - p) / np.maximum(np.bincount(at, p * (1 - p)), 1e-12)
-            own.append((t, means, step))
-            odds = odds + rate * step[at]
-        return lambda z: 1 / (1 + np.exp(-(base + rate * sum(s[np.searchsorted(m, t(z))] for t, m, s in own))))
-
-    return fit

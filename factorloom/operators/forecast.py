@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.functions import kernels
+from factorloom.functions import histograms, kernels
 from factorloom.operators import race, rolling
 
 HAR = ["x_rv1", "x_rv3", "x_rv12"]
@@ -23,12 +23,12 @@ ESTIMATORS: dict[str, tuple[list[str], Callable]] = {
     "Ridge": (HARX, kernels.standardised(kernels.ridge_loo)),
     "Lasso": (HARX, kernels.standardised(kernels.lasso_cv)),
     "RF": (HARX, kernels.forest()),
-    "HGB": (HARX, kernels.boosting()),
+    "HGB": (HARX, histograms.regressor()),
     "MLP": (HARX, kernels.standardised(kernels.mlp())),
 }
 
 #: Name of each classifier and how it is fitted.
-CLASSIFIERS: dict[str, Callable] = {"Logit": kernels.standardised(kernels.logistic), "HGBc": kernels.boosted_logistic()}
+CLASSIFIERS: dict[str, Callable] = {"Logit": kernels.standardised(kernels.logistic), "HGBc": histograms.classifier()}
 
 
 def features(series_day: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factorloom.functions import kernels
+from factorloom.functions import histograms, kernels
 from factorloom.functions.tails import pareto_tails
 from factorloom.operators import bootstrap, calendar, forecast, legs, metrics, reshape, rolling, sorts
 from factorloom.sources import files
@@ -132,7 +132,7 @@ def test_ols_and_lasso_recover_a_line():
     assert np.allclose(kernels.lasso_cv(x, y)(z), [3, 1, 1], atol=0.1)
 
 
-@pytest.mark.parametrize("fit", [kernels.forest(20), kernels.boosting(40), kernels.standardised(kernels.mlp(steps=300))])
+@pytest.mark.parametrize("fit", [kernels.forest(20), histograms.regressor(40), kernels.standardised(kernels.mlp(steps=300))])
 def test_learners_beat_the_mean(fit):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(160, 3))

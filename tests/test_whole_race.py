@@ -6,7 +6,7 @@ import inspect
 
 import numpy as np
 
-from factorloom.functions import kernels
+from factorloom.functions import histograms, kernels
 from factorloom.plans import catalogue, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_boosted_classifier_learns():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 4))
     y = (x[:, 0] * x[:, 1] > 0).astype(float)  # no line separates these
-    p = kernels.boosted_logistic()(x[:300], y[:300])(x[300:])
+    p = histograms.classifier()(x[:300], y[:300])(x[300:])
     assert ((p > 0.5) == y[300:]).mean() > 0.8 and (p > 0).all() and (p < 1).all()
 
 
