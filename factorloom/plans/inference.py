@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factorloom.operators import bootstrap as bs
 from factorloom.operators import inference as inf
-from factorloom.operators import metrics, race, rolling, tails
-from factorloom.plans.measures import bears, months
+from factorloom.operators import metrics, race, regression, rolling, tails
+from factorloom.plans.measures import BEAR, bears, months
 from factorloom.plans.forecasting import whole_race
 from factorloom.plans.portfolios import baseline_race, race_of, strats
 from factorloom.plans.registry import query
@@ -82,19 +80,18 @@ def k05(spark, d):
     return inf.hac_line(m.select("series", "month", (F.col("ret") * 100).alias("r"), z.alias("z")), "r", "z", ["series"], "month")
 
 
-@query("K06_interaction")
-def k06(spark, d):
-    b = bears(spark, d)
-    nxt = b.withColumn("y", F.lead("ret").over(W.partitionBy("series").orderBy("month"))).where("y is not null")
+K06 = f"""{BEAR}, own AS (SELECT series, bear, rv, lead(bears.ret) OVER (PARTITION BY series ORDER BY month) AS y FROM bears JOIN (SELECT series, month, rv FROM series_month) USING (series, month)),
+side AS (SELECT series, bear, count(*) AS n, regr_slope(y, rv) AS b, regr_intercept(y, rv) AS a, regr_sxx(y, rv) AS sxx, avg(rv) AS m, regr_syy(y, rv) - pow(regr_sxy(y, rv), 2) / regr_sxx(y, rv) AS sse FROM own WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+two AS (SELECT coalesce(g.series, h.series) AS series, g.n + h.n AS n, g.a AS a0, g.b AS b0, h.a - g.a AS a1, h.b - g.b AS b1, (g.sse + h.sse) / (g.n + h.n - 4) AS s2, 1.0 / g.n + g.m * g.m / g.sxx AS va, 1.0 / g.sxx AS vb, 1.0 / h.n + h.m * h.m / h.sxx AS wa, 1.0 / h.sxx AS wb FROM (SELECT * FROM side WHERE bear = 0) g FULL JOIN (SELECT * FROM side WHERE bear = 1) h ON g.series = h.series),
+terms AS (SELECT series, 'const' AS term, a0 AS beta, a0 / sqrt(s2 * va) AS t, a1 FROM two UNION ALL SELECT series, 'rv', b0, b0 / sqrt(s2 * vb), a1 FROM two UNION ALL SELECT series, 'bear', a1, a1 / sqrt(s2 * (va + wa)), a1 FROM two UNION ALL SELECT series, 'rv_bear', b1, b1 / sqrt(s2 * (vb + wb)), a1 FROM two)"""
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(rows)), rows.rv, rows.bear, rows.rv * rows.bear])
-        beta, *_ = np.linalg.lstsq(x, rows.y, rcond=None)
-        e = rows.y - x @ beta
-        v = np.linalg.pinv(x.T @ x) * (e @ e) / max(1, len(rows) - 4)
-        return pd.DataFrame({"series": key[0], "term": ["const", "rv", "bear", "rv_bear"], "beta": beta, "t": beta / np.sqrt(np.maximum(1e-300, np.diag(v)))})
 
-    return nxt.select("series", "rv", "bear", "y").groupBy("series").applyInPandas(fit, "series string, term string, beta double, t double")
+@query("K06_interaction", "SELECT series, term, CASE WHEN a1 IS NOT NULL THEN beta END AS beta, CASE WHEN a1 IS NOT NULL THEN t END AS t FROM terms", K06, floats="beta t", digits=4)
+def k06(spark, d):
+    """Next month's return on variance, bear market and both; without bear months there are no coefficients."""
+    nxt = bears(spark, d).withColumn("y", F.lead("ret").over(W.partitionBy("series").orderBy("month"))).where("y is not null")
+    x = {"rv": F.col("rv"), "bear": F.col("bear"), "rv_bear": F.col("rv") * F.col("bear")}
+    return regression.least_squares(nxt, F.col("y"), x, ["series"]).drop("n")
 
 
 @query("K07_sharpe_gap", "SELECT key, (s1 - s0) / sqrt((2 - 2 * rho + 0.5 * (s1 * s1 + s0 * s0 - 2 * s1 * s0 * rho * rho)) / n) AS z FROM (SELECT a.series || '-' || a.model AS key, count(*) AS n, avg(a.r) / stddev_pop(a.r) AS s1, avg(b.r) / stddev_pop(b.r) AS s0, corr(a.r, b.r) AS rho FROM strat a JOIN strat b ON a.series = b.series AND a.t = b.t WHERE b.model = 'RW126' AND a.model <> 'RW126' GROUP BY 1)", floats="z", digits=5)
@@ -350,6 +347,28 @@ def k25(spark, d):
     return vv.join(share, "series").select("series", "vv", rolling.mean_rank("vv", [], ascending=False).alias("rk"), "surprise")
 
 
+MECHANISM = """bm AS (SELECT series, month, ret, rv, CASE WHEN count(*) OVER a = 24 THEN CASE WHEN round(sum(ret) OVER a, 9) < 0 THEN 1.0 ELSE 0.0 END END AS bear, pow(lead(ret) OVER o, 2) AS y FROM series_month WINDOW a AS (PARTITION BY series ORDER BY month ROWS 23 PRECEDING), o AS (PARTITION BY series ORDER BY month)),
+mr AS (SELECT *, ln(rv) - lag(ln(rv)) OVER o AS dl, lag(rv) OVER o AS lv, median(rv) OVER p AS med, row_number() OVER (PARTITION BY series ORDER BY ret, month) AS rn, count(*) OVER p AS n FROM bm WHERE bear IS NOT NULL AND y IS NOT NULL AND rv > 0 WINDOW o AS (PARTITION BY series ORDER BY month), p AS (PARTITION BY series)),
+ms AS (SELECT series, count(*) AS n, stddev_samp(dl) AS vv, avg(CASE WHEN lv <= med THEN 1.0 ELSE 0.0 END) FILTER (rn <= greatest(3, floor(CAST(0.05 AS DOUBLE) * n))) AS surprise, regr_sxx(y, rv) AS s11, regr_sxx(y, rv * bear) AS s22, covar_pop(rv, rv * bear) * count(*) AS s12, regr_sxy(y, rv) AS s1y, regr_sxy(y, rv * bear) AS s2y, regr_syy(y, rv) AS syy FROM mr GROUP BY 1),
+mb AS (SELECT series, n, vv, surprise, abs(b2 / sqrt((syy - b1 * s1y - b2 * s2y) / (n - 3) * s11 / det)) AS bear_nonlin_t FROM (SELECT *, (s1y * s22 - s2y * s12) / det AS b1, (s2y * s11 - s1y * s12) / det AS b2 FROM (SELECT *, CASE WHEN n > 3 AND s11 * s22 - s12 * s12 > 1e-11 * s11 * s22 THEN s11 * s22 - s12 * s12 END AS det FROM ms)))"""
+
+
+@query("K25b_mechanism_ranks", "SELECT *, rank() OVER (ORDER BY vv DESC) + (count(*) OVER (PARTITION BY vv) - 1) / 2.0 + rank() OVER (ORDER BY bear_nonlin_t DESC) + (count(*) OVER (PARTITION BY bear_nonlin_t) - 1) / 2.0 + rank() OVER (ORDER BY surprise DESC) + (count(*) OVER (PARTITION BY surprise) - 1) / 2.0 AS rank_sum FROM mb", MECHANISM, floats="vv bear_nonlin_t surprise rank_sum", digits=4, markets=True)
+def k25b(spark, d):
+    """Of each market: volatility of volatility, the t value of variance in bear markets for next month's squared return, how often a worst month came after calm, and the sum of its ranks."""
+    o, p = W.partitionBy("series").orderBy("month"), W.partitionBy("series")
+    m = race.months(c.market_day(spark, d).withColumnRenamed("market", "series"))
+    bear = F.expr("double(round(total, 9) < 0)")
+    m = m.withColumn("total", rolling.full(F.sum("ret"), "ret", rolling.trailing(["series"], "month", 24), 24)).withColumn("y", F.pow(F.lead("ret").over(o), F.lit(2))).where("total is not null and y is not null and rv > 0").withColumn("bear", bear)
+    fit = regression.least_squares(m, F.col("y"), {"rv": F.col("rv"), "rv_bear": F.col("rv") * F.col("bear")}, ["series"]).where("term = 'rv_bear'").select("series", F.abs("t").alias("bear_nonlin_t"))
+    m = m.withColumn("x", F.ln("rv") - F.lag(F.ln("rv")).over(o)).withColumn("lv", F.lag("rv").over(o)).withColumn("rn", F.row_number().over(p.orderBy("ret", "month")))
+    each = m.groupBy("series").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("vv"), F.percentile("rv", 0.5).alias("med"))
+    calm = m.join(each, "series").where(F.col("rn") <= F.greatest(F.lit(3), F.floor(0.05 * F.col("n")))).groupBy("series").agg(F.avg(F.expr("case when lv <= med then 1.0d else 0.0d end")).alias("surprise"))
+    j = each.drop("med").join(fit, "series").join(calm, "series")
+    ranks = sum((rolling.mean_rank(x, [], ascending=False) for x in ("bear_nonlin_t", "surprise")), rolling.mean_rank("vv", [], ascending=False))
+    return j.withColumn("rank_sum", ranks)
+
+
 MK = "mm AS (SELECT market, last_day(date) AS month, product(1 + r) - 1 AS ret, sum(r * r) AS rv FROM market_day GROUP BY ALL), ms AS (SELECT market, sqrt(12) * avg(ret) / stddev_samp(ret) AS sr, min(ret) AS worst FROM mm GROUP BY 1)"
 
 
