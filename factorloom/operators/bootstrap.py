@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factorloom.operators import metrics
+
 BLOCK = 12
 SEED = 42
 
@@ -30,11 +32,24 @@ def resampled(table: DataFrame, reps: int, first: int, block: int = BLOCK, by: s
     return block_index(n, reps, block, by=by).join(table.withColumn("i", F.col("t") - first), [by, "i"])
 
 
+def tail_mean(r: str | Column, q: float = 0.05) -> Column:
+    """Mean of the max(1, floor(q n)) smallest values as an aggregate, in per cent. A group is a series of periods, whose values it holds."""
+    held = F.array_sort(F.collect_list(r))
+    least = F.slice(held, F.lit(1), F.greatest(F.lit(1), F.floor(q * F.size(held)).cast("int")))
+    return F.try_divide(F.aggregate(least, F.lit(0.0), lambda s, v: s + v), F.size(least)) * 100
+
+
 def shortfall(df: DataFrame, keys: list[str], q: float = 0.05, r: str = "r", name: str = "es") -> DataFrame:
-    """Mean of the max(1, floor(q n)) smallest values of each group, in per cent."""
-    w = W.partitionBy(*keys)
-    x = df.withColumn("_n", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy(r)))
-    return x.where(F.col("_rn") <= F.greatest(F.lit(1), F.floor(q * F.col("_n")))).groupBy(*keys).agg((F.avg(r) * 100).alias(name))
+    """Tail mean of each group, in one pass and without a window."""
+    return df.groupBy(*keys).agg(tail_mean(r, q).alias(name))
+
+
+def statistics(df: DataFrame, keys: list[str], r: str = "r", gamma: float = 5, power: float = 10) -> DataFrame:
+    """All statistics of each replicate in one pass: Sharpe ratio, skewness, worst period, shortfall, and certainty equivalents by mean and variance (aversion gamma) and by power utility."""
+    return df.groupBy(*keys).agg(
+        sharpe_pop(r).alias("sharpe"), F.skewness(r).alias("skew"), (F.min(r) * 100).alias("worst"), tail_mean(r).alias("es"),
+        metrics.mv_certainty(r, gamma).alias("mv"), (metrics.crra_certainty(r, power) * 100).alias("crra"),
+    )
 
 
 def against(stats: DataFrame, value: str, base: str, keys: list[str]) -> DataFrame:

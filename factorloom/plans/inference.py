@@ -121,36 +121,42 @@ SH = IDX + ", rs AS (SELECT series, b, model, sqrt(12) * avg(r) / stddev_pop(r)
 SUMMARY = "SELECT series, model, avg(d) AS boot_mean, quantile_cont(d, CAST(0.025 AS DOUBLE)) AS ci_lo, quantile_cont(d, CAST(0.975 AS DOUBLE)) AS ci_hi, avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END) AS p_le0 FROM df GROUP BY ALL"
 
 
-def summary(stats, value):
-    return bs.interval(bs.against(stats, value, "RW126", ["series", "b"]), ["series", "model"])
+@saved("lineitem", "part")
+def _baseline_stats(spark, d):
+    return bs.statistics(sample(spark, d), ["series", "b", "model"])
 
 
-@query("K09_sharpe_bootstrap", SUMMARY, SH, floats="boot_mean ci_lo ci_hi p_le0", digits=5)
-def k09(spark, d, of=baseline_race):
-    return summary(sample(spark, d, of).groupBy("series", "b", "model").agg(bs.sharpe_pop().alias("v")), "v")
+@saved("lineitem", "part")
+def _whole_stats(spark, d):
+    return bs.statistics(sample(spark, d, whole_race), ["series", "b", "model"])
 
 
-ES = IDX + ", rs AS (SELECT series, b, model, avg(r) * 100 AS v FROM (SELECT *, row_number() OVER (PARTITION BY series, b, model ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, b, model) AS n FROM samp) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL), df AS (SELECT a.series, a.model, a.b, a.v - z.v AS d FROM rs a JOIN rs z ON a.series = z.series AND a.b = z.b WHERE z.model = 'RW126' AND a.model <> 'RW126')"
-OBS = "ob AS (SELECT series, model, avg(r) * 100 AS v FROM (SELECT *, row_number() OVER (PARTITION BY series, model ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, model) AS n FROM strat) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL), obs AS (SELECT a.series, a.model, a.v - z.v AS obs FROM ob a JOIN ob z ON a.series = z.series WHERE z.model = 'RW126' AND a.model <> 'RW126')"
+def stats(spark, d, of=baseline_race):
+    """Statistics of every replicate, from one resample that is written once; eight queries read them."""
+    return (_baseline_stats if of is baseline_race else _whole_stats)(spark, d)
 
 
-@saved("lineitem", "part")
-def _baseline_gaps(spark, d):
-    return shortfall_gaps(sample(spark, d))
+def summary(table, value):
+    gaps = bs.against(table, value, "RW126", ["series", "b"]).where("d is not null")
+    return bs.interval(gaps, ["series", "model"])
 
 
-@saved("lineitem", "part")
-def _whole_gaps(spark, d):
-    return shortfall_gaps(sample(spark, d, whole_race))
+@query("K09_sharpe_bootstrap", SUMMARY, SH, floats="boot_mean ci_lo ci_hi p_le0", digits=5)
+def k09(spark, d, of=baseline_race):
+    return summary(stats(spark, d, of), "sharpe")
 
 
-def shortfall_gaps(resampled):
-    return bs.against(bs.shortfall(resampled, ["series", "b", "model"]), "es", "RW126", ["series", "b"]).select("series", "b", "model", "d")
+ES = IDX + ", rs AS (SELECT series, b, model, avg(r) * 100 AS v FROM (SELECT *, row_number() OVER (PARTITION BY series, b, model ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, b, model) AS n FROM samp) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL), df AS (SELECT a.series, a.model, a.b, a.v - z.v AS d FROM rs a JOIN rs z ON a.series = z.series AND a.b = z.b WHERE z.model = 'RW126' AND a.model <> 'RW126')"
+OBS = "ob AS (SELECT series, model, avg(r) * 100 AS v FROM (SELECT *, row_number() OVER (PARTITION BY series, model ORDER BY r) AS rn, count(*) OVER (PARTITION BY series, model) AS n FROM strat) WHERE rn <= greatest(1, floor(CAST(0.05 AS DOUBLE) * n)) GROUP BY ALL), obs AS (SELECT a.series, a.model, a.v - z.v AS obs FROM ob a JOIN ob z ON a.series = z.series WHERE z.model = 'RW126' AND a.model <> 'RW126')"
+
+
+def shortfall_gaps(table):
+    return bs.against(table, "es", "RW126", ["series", "b"]).select("series", "b", "model", "d")
 
 
 def es_gaps(spark, d, of=baseline_race):
-    """Gap of each replicate's shortfall to the random walk's; four queries share it, so it is written once."""
-    return (_baseline_gaps if of is baseline_race else _whole_gaps)(spark, d)
+    """Gap of each replicate's shortfall to the random walk's."""
+    return shortfall_gaps(stats(spark, d, of))
 
 
 def es_seen(spark, d, of=baseline_race):
@@ -162,9 +168,25 @@ def k10(spark, d, of=baseline_race):
     return bs.interval(es_gaps(spark, d, of), ["series", "model"])
 
 
+TAIL = IDX + ", rs AS (SELECT series, b, model, (avg(r * r * r) - 3 * avg(r) * avg(r * r) + 2 * pow(avg(r), 3)) / pow(var_pop(r), 1.5) AS skew, min(r) * 100 AS worst, list_avg(list_sort(list(r))[1:greatest(1, CAST(floor(CAST(0.05 AS DOUBLE) * count(*)) AS INTEGER))]) * 100 AS es FROM samp GROUP BY ALL), tall AS (UNPIVOT rs ON skew, worst, es INTO NAME stat VALUE v), df AS (SELECT a.series, a.model, a.stat, a.b, a.v - z.v AS d FROM tall a JOIN tall z ON a.series = z.series AND a.b = z.b AND a.stat = z.stat WHERE z.model = 'RW126' AND a.model <> 'RW126')"
+
+
+@query("K10b_tail_statistics", "SELECT series, model, stat, avg(d) AS boot_mean, quantile_cont(d, CAST(0.025 AS DOUBLE)) AS ci_lo, quantile_cont(d, CAST(0.975 AS DOUBLE)) AS ci_hi, avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END) AS p_le0 FROM df GROUP BY ALL", TAIL, floats="boot_mean ci_lo ci_hi p_le0", digits=4)
+def k10b(spark, d, of=baseline_race):
+    """Gaps of skewness, worst month and shortfall to the random walk's over the same replicates."""
+    tall = stats(spark, d, of).unpivot(["series", "b", "model"], ["skew", "worst", "es"], "stat", "v")
+    return bs.interval(bs.against(tall, "v", "RW126", ["series", "b", "stat"]).where("d is not null"), ["series", "model", "stat"])
+
+
 @query("K11_certainty_bootstrap", SUMMARY, SH.replace("sqrt(12) * avg(r) / stddev_pop(r) AS v", "(avg(r) - 2.5 * var_pop(r)) * 1200 AS v"), floats="boot_mean ci_lo ci_hi p_le0", digits=5)
 def k11(spark, d, of=baseline_race):
-    return summary(sample(spark, d, of).groupBy("series", "b", "model").agg(metrics.mv_certainty("r", 5).alias("v")), "v")
+    return summary(stats(spark, d, of), "mv")
+
+
+@query("K11b_power_utility_bootstrap", SUMMARY.replace("FROM df", "FROM df WHERE d IS NOT NULL"), SH.replace("sqrt(12) * avg(r) / stddev_pop(r) AS v", "CASE WHEN min(1 + r) > 0 THEN (pow(pow(avg(pow(1 + r, -9)), 1 / (1 - 10.0)), 12) - 1) * 100 END AS v"), floats="boot_mean ci_lo ci_hi p_le0", digits=4)
+def k11b(spark, d, of=baseline_race):
+    """The same by power utility; replicates in which a strategy loses all have no equivalent."""
+    return summary(stats(spark, d, of), "crra")
 
 
 @query("K12_family_max", "SELECT series, avg(CASE WHEN m >= top THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT series, b, max(c) AS m FROM (SELECT series, b, d - avg(d) OVER (PARTITION BY series, model) AS c FROM df) GROUP BY ALL) JOIN (SELECT series, max(obs) AS top FROM obs GROUP BY 1) USING (series) GROUP BY 1", f"{ES}, {OBS}", floats="p")
@@ -313,7 +335,7 @@ def markets(spark, d):
 @query("K22b_paired_markets", "SELECT model, avg(x.d - y.d) AS mean, avg(CASE WHEN x.d - y.d <= 0 THEN 1.0 ELSE 0.0 END) AS p FROM df x JOIN df y USING (b, model) WHERE x.series = 'ASIA' AND y.series = 'EUROPE' GROUP BY 1", ES, floats="mean p", digits=5, markets=True)
 def k22b(spark, d):
     """Difference of the tail gains in two markets, both drawn with the same blocks."""
-    g = shortfall_gaps(sample(spark, d, markets))
+    g = shortfall_gaps(bs.shortfall(sample(spark, d, markets), ["series", "b", "model"]))
     j = g.where("series = 'ASIA'").select("b", "model", "d").join(g.where("series = 'EUROPE'").select("b", "model", F.col("d").alias("o")), ["b", "model"]).withColumn("x", F.col("d") - F.col("o"))
     return j.groupBy("model").agg(F.avg("x").alias("mean"), F.avg(F.expr("double(x <= 0)")).alias("p"))
 
@@ -407,7 +429,7 @@ def k27b(spark, d, of=baseline_race):
 
 @query("K28_verdict", f"SELECT series, model, CASE WHEN boot_mean > 0 AND p_le0 < 0.1 THEN 'supported' WHEN boot_mean > 0 THEN 'mixed' ELSE 'rejected' END AS verdict FROM ({SUMMARY})", SH)
 def k28(spark, d, of=baseline_race):
-    s = summary(sample(spark, d, of).groupBy("series", "b", "model").agg(bs.sharpe_pop().alias("v")), "v")
+    s = summary(stats(spark, d, of), "sharpe")
     return s.select("series", "model", inf.verdict("boot_mean", "p_le0").alias("verdict"))
 
 
@@ -441,5 +463,5 @@ def k07r(spark, d):
     return k07(spark, d, whole_race).withColumn("p", 2 * (1 - inf.normal_cdf(F.abs("z"))))
 
 
-for _name, _fn in (("K04r_conditional_hac", k04), ("K09r_sharpe_bootstrap", k09), ("K10r_tail_bootstrap", k10), ("K11r_certainty_bootstrap", k11), ("K12r_family_max", k12), ("K13r_step_down", k13), ("K14r_reality_check", k14), ("K14br_reality_check_adjusted", k14b), ("K15r_transfer_slope", k15), ("K15br_tail_slope", k15b), ("K16r_deflated_sharpe", k16), ("K18r_pareto_bootstrap", k18), ("K20r_shortfall_levels", k20), ("K23r_jackknife", k23), ("K24r_placebo_factors", k24), ("K27r_half_samples", k27), ("K27br_window_shift", k27b), ("K28r_verdict", k28)):
+for _name, _fn in (("K04r_conditional_hac", k04), ("K09r_sharpe_bootstrap", k09), ("K10r_tail_bootstrap", k10), ("K10br_tail_statistics", k10b), ("K11r_certainty_bootstrap", k11), ("K11br_power_utility_bootstrap", k11b), ("K12r_family_max", k12), ("K13r_step_down", k13), ("K14r_reality_check", k14), ("K14br_reality_check_adjusted", k14b), ("K15r_transfer_slope", k15), ("K15br_tail_slope", k15b), ("K16r_deflated_sharpe", k16), ("K18r_pareto_bootstrap", k18), ("K20r_shortfall_levels", k20), ("K23r_jackknife", k23), ("K24r_placebo_factors", k24), ("K27r_half_samples", k27), ("K27br_window_shift", k27b), ("K28r_verdict", k28)):
     query(f"{_name}_race")(partial(_fn, of=whole_race))
