@@ -358,6 +358,13 @@ def x01(spark, d):
     return daily_risk.tumbling_variance(e, "ts", "event_type", "value").withColumn("start", F.unix_micros("start"))
 
 
+@query("X03_sliding_windows", "SELECT epoch_us(date_trunc('day', CAST(ts AS TIMESTAMP))) - back * 86400000000 AS start, CAST(event_type AS VARCHAR) AS event_type, sum(value * value) AS rv, count(*) AS n FROM events, (SELECT unnest(range(2)) AS back) GROUP BY ALL", floats="rv", digits=4)
+def x03(spark, d):
+    """Sums of squares over two days, from every day on."""
+    e = c.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return daily_risk.sliding_variance(e, "ts", "event_type", "value").withColumn("start", F.unix_micros("start"))
+
+
 @query("X02_session_windows", "SELECT min(us) AS start, max(us) + 1800000000 AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(CASE WHEN us - prev < 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, lag(epoch_us(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, s")
 def x02(spark, d):
     """A user's events no more than half an hour apart are one session."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from factorloom.operators import calendar, legs, reshape, scans, sorts
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
-from factorloom.sources import files, workbook
+from factorloom.sources import digests, files, workbook
+from factorloom.sources.shared import stored_path
 
 
 @query("S01_panel_scan", "SELECT date, code, adj_close FROM px_day WHERE adj_close > 0", floats="adj_close", digits=4, dates="date")
@@ -100,9 +101,8 @@ def s14(spark, d):
 
 @query("S16_fingerprint")
 def s16(spark, d):
-    """Fingerprints of all table files against a manifest, here one that was written from them and read again."""
-    now = files.fingerprints(spark, d, "*.parquet")
-    return files.checked(now, files.csv_round_trip(now.select("name", "sha256")))
+    """Fingerprints of all table files against the manifest that the session's first run of this query over the folder has stored."""
+    return digests.checked(spark, d, stored_path(spark, f"manifest of {d}"), "*.parquet")
 
 
 @query("S17_literal_rows", "SELECT r_name AS name FROM region UNION ALL SELECT 'WORLD'")

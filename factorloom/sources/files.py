@@ -1,4 +1,4 @@
-"""Readers and writers: CSV, Parquet, wide sheets, sectioned text, fingerprints, Markdown."""
+"""Readers and writers: CSV, Parquet, wide sheets, sectioned text, Markdown."""
 
 from __future__ import annotations
 
@@ -62,19 +62,6 @@ def sectioned(paths: DataFrame, title: str, names: list[str]) -> DataFrame:
     return out.select("date", "name", F.when(~F.col("x").isin(SENTINELS), F.col("x") / 100).alias("value"))
 
 
-def fingerprints(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """File name, size and SHA-256 of the files that match."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def checked(now: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files of either side with their state: same, changed, missing (only in the manifest) or new."""
-    said = manifest.select("name", F.col("sha256").alias("_said"))
-    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("_said").isNull(), "new").when(F.col("sha256") == F.col("_said"), "same").otherwise("changed")
-    return now.join(said, "name", "full").select("name", "bytes", "sha256", state.alias("state"))
-
-
 def markdown(df: DataFrame, digits: int = 4) -> str:
     """A small result table as Markdown text."""
     show = lambda x: "" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x)

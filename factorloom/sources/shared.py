@@ -26,6 +26,12 @@ def new_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored_path(spark: SparkSession, name: str) -> str:
+    """The path under the shared folder that belongs to a name in this application: the same at every call."""
+    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{spark.sparkContext.applicationId} {name}").hex
+    return f"{new_path(spark).rsplit('/', 1)[0]}/{own}"
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = path or new_path(df.sparkSession)
@@ -50,8 +56,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def saved(*tables: str) -> Callable[[View], View]:
     """A view of these tables that is computed once a session and input, written, and read from then on.
 
-    Such views are much smaller than the tables: daily and monthly sums by code or series. If a table
-    changes, the view is written anew.
+    Such views are much smaller than the tables: daily and monthly sums by code or series. Building a query that
+    reads one runs the job that writes it. If a table changes, the view is written anew; the old one stays in
+    the shared folder until that is cleared.
     """
 
     def wrap(make: View) -> View:

@@ -1,4 +1,4 @@
-"""Streaming forms: tumbling and session windows with a watermark, and a keyed ring buffer of returns."""
+"""Streaming forms: tumbling, sliding and session windows with a watermark, and a keyed ring buffer of returns."""
 
 from __future__ import annotations
 
@@ -18,6 +18,13 @@ def tumbling_variance(events: DataFrame, ts: str, key: str, value: str, late: st
     return g.agg(F.sum(F.col(value) * F.col(value)).alias("rv"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "rv", "n")
 
 
+def sliding_variance(events: DataFrame, ts: str, key: str, value: str, width: str = "2 days", slide: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """The same over windows that overlap: one starts with every `slide`."""
+    base = events.withWatermark(ts, late) if events.isStreaming else events
+    g = base.groupBy(F.window(ts, width, slide).alias("w"), key)
+    return g.agg(F.sum(F.col(value) * F.col(value)).alias("rv"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "rv", "n")
+
+
 def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     base = events.withWatermark(ts, late) if events.isStreaming else events
     return base.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
