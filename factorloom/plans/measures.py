@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import calendar, legs, metrics, race, reshape, rolling, scans, sorts
+from factorloom.operators import calendar, legs, metrics, quantiles, race, reshape, rolling, scans, sorts
 from factorloom.plans.panels import SIGNAL
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
@@ -351,6 +351,19 @@ def w20(spark, d):
     return s.select("series", "t", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.size("x").cast("long").alias("n"))
 
 
+@query("G11b_quantiles_of_lines", "SELECT l_returnflag, unnest([CAST(0.01 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.99 AS DOUBLE)]) AS q, unnest(quantile_cont(l_extendedprice, [CAST(0.01 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.99 AS DOUBLE)])) AS value FROM lineitem GROUP BY 1", floats="value", digits=4)
+def g11b(spark, d):
+    """Exact quantiles of all lines' prices by flag: three groups that grow with the table."""
+    return quantiles.exact_quantiles(c.table(spark, d, "lineitem"), "l_extendedprice", [0.01, 0.5, 0.99], ["l_returnflag"])
+
+
+@query("Q01b_buckets_of_lines", "SELECT l_returnflag, CAST(len(list_filter(e, lambda x: x < l_extendedprice)) AS BIGINT) AS bucket, count(*) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high FROM lineitem JOIN (SELECT l_returnflag, quantile_cont(l_extendedprice, [CAST(0.2 AS DOUBLE), CAST(0.4 AS DOUBLE), CAST(0.6 AS DOUBLE), CAST(0.8 AS DOUBLE)]) AS e FROM lineitem GROUP BY 1) USING (l_returnflag) GROUP BY ALL", floats="low high", digits=2)
+def q01b(spark, d):
+    """Fifths of all lines by price and flag."""
+    lines = c.table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    return quantiles.large_group_buckets(lines, "l_extendedprice", 5, ["l_returnflag"]).groupBy("l_returnflag", "bucket").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
+
+
 @query("X01_tumbling_windows", "SELECT epoch_us(date_trunc('day', CAST(ts AS TIMESTAMP))) AS start, CAST(event_type AS VARCHAR) AS event_type, sum(value * value) AS rv, count(*) AS n FROM events GROUP BY ALL", floats="rv", digits=4)
 def x01(spark, d):
     """The batch form of the stream's daily sums of squares."""
