@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import bootstrap as bs
 from factorloom.operators import inference as inf
-from factorloom.operators import metrics, race, regression, rolling, tails
+from factorloom.operators import factors, forecast, metrics, race, regression, rolling, tails
 from factorloom.plans.measures import BEAR, bears, months
 from factorloom.plans.forecasting import whole_race
-from factorloom.plans.portfolios import baseline_race, race_of, strats
+from factorloom.plans.portfolios import ANNUAL, baseline_race, strats
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
 from factorloom.sources.shared import saved
@@ -113,6 +113,14 @@ def k08(spark, d):
     return bs.block_index(n, REPS)
 
 
+@query("K08b_block_lengths", "SELECT series, block, b, count(*) AS n, CAST(sum(i) AS BIGINT) AS total FROM (SELECT series, block, b, (start + o) % n AS i FROM (SELECT series, n, block, b, j, CAST('0x' || substr(md5('42-' || b || '-' || j), 1, 8) AS BIGINT) % n AS start FROM sizes, (SELECT unnest([6, 12, 24]) AS block), (SELECT unnest(range(5000)) AS b), (SELECT unnest(range(60)) AS j) WHERE j < ceil(n / CAST(block AS DOUBLE))), (SELECT unnest(range(24)) AS o) WHERE o < block AND j * block + o < n) GROUP BY ALL", "sizes AS (SELECT series, max(t) - 36 + 1 AS n FROM strat GROUP BY 1)")
+def k08b(spark, d):
+    """Sizes and sums of the drawn rows of every replicate, for three lengths of a block."""
+    n = strats(spark, d).groupBy("series").agg((F.max("t") - race.FIRST + 1).alias("n"))
+    each = [bs.block_index(n, REPS, block).withColumn("block", F.lit(block)) for block in (6, 12, 24)]
+    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("series", "block", "b").agg(F.count("*").alias("n"), F.sum("i").cast("long").alias("total"))
+
+
 def sample(spark, d, of=baseline_race):
     return bs.resampled(strats(spark, d, of), REPS, race.FIRST)
 
@@ -360,6 +368,69 @@ def k24(spark, d, of=baseline_race):
     return g.where("model != 'plain'").join(g.where("model = 'plain'").select("series", F.col("sr").alias("pl")), "series").select("series", "model", (F.col("sr") - F.col("pl")).alias("gain"))
 
 
+PLACEBO = f"""{ANNUAL.strip()},
+series_day AS (SELECT * FROM (SELECT 'wml' AS series, date, wml AS r FROM factor_day UNION ALL SELECT 'mkt', date, mkt FROM factor_day UNION ALL SELECT 'smb', date, (sl + sm + sh) / 3 - (bl + bmm + bh) / 3 FROM wide UNION ALL SELECT 'hml', date, (sh + bh) / 2 - (sl + bl) / 2 FROM wide) WHERE r IS NOT NULL)"""
+PLACEBO_TAILS = IDX + """, each AS (SELECT series, model, list_avg(list_sort(list(r))[1:greatest(1, CAST(floor(CAST(0.05 AS DOUBLE) * count(*)) AS INTEGER))]) * 100 AS es, sqrt(12) * avg(r) / stddev_pop(r) AS sharpe FROM strat GROUP BY ALL),
+rs AS (SELECT series, b, model, list_avg(list_sort(list(r))[1:greatest(1, CAST(floor(CAST(0.05 AS DOUBLE) * count(*)) AS INTEGER))]) * 100 AS es FROM samp GROUP BY ALL),
+pairs AS (SELECT DISTINCT model, CASE WHEN model = 'RW126' THEN 'plain' ELSE 'RW126' END AS base FROM strat WHERE model <> 'plain'),
+pl AS (SELECT a.series, a.model, base, avg(CASE WHEN a.es - z.es <= 0 THEN 1.0 ELSE 0.0 END) AS p_le0 FROM rs a JOIN pairs USING (model) JOIN rs z ON z.series = a.series AND z.b = a.b AND z.model = base GROUP BY ALL)"""
+
+
+@saved("lineitem", "part")
+def placebo_day(spark, d):
+    """Daily factors to which the same management is applied: momentum, market, size and value. The factor is the parallel key."""
+    sorted_ = factors.size_value(c.px_month(spark, d), c.ret_day(spark, d), c.days(spark, d)).unpivot("date", ["smb", "hml"], "series", "r")
+    return c.series_day(spark, d).where("series in ('wml', 'mkt')").select("series", "date", "r").unionByName(sorted_.select("series", "date", "r")).where("r is not null")
+
+
+@saved("lineitem", "part")
+def placebo_race(spark, d):
+    return race.race(placebo_day(spark, d))
+
+
+@saved("lineitem", "part")
+def placebo_forecasts(spark, d):
+    return race.baselines(placebo_race(spark, d))
+
+
+def placebos(spark, d):
+    return placebo_race(spark, d), placebo_forecasts(spark, d)
+
+
+@saved("lineitem", "part")
+def placebo_features(spark, d):
+    return forecast.features(placebo_day(spark, d))
+
+
+@saved("lineitem", "part")
+def placebo_fitted(spark, d):
+    x = placebo_features(spark, d)
+    return forecast.run(x, ["HAR", "HARX", "Ridge", "Lasso", "HGB"]).unionByName(race.baselines(x))
+
+
+def whole_placebos(spark, d):
+    f = placebo_fitted(spark, d)
+    return placebo_features(spark, d), f.unionByName(forecast.ensemble(f, ["HAR", "Ridge", "HGB"]))
+
+
+@query("K24b_placebo_tails", "SELECT m.series, m.model, base, m.es, m.es - z.es AS d_es, m.sharpe - z.sharpe AS d_sharpe, p_le0 FROM pl JOIN each m USING (series, model) JOIN each z ON z.series = m.series AND z.model = base", PLACEBO_TAILS, floats="es d_es d_sharpe p_le0", digits=4, series=PLACEBO)
+def k24b(spark, d, of=placebos):
+    """Tail and Sharpe gain of each model for every factor against its own benchmark: the plain factor for the random walk, the random walk for the others."""
+    s = strats(spark, d, of)
+    benchmark = F.when(F.col("model") == "RW126", F.lit("plain")).otherwise(F.lit("RW126"))
+    gaps = lambda t, keys, cols: t.where("model != 'plain'").withColumn("base", benchmark).join(t.select(*keys, F.col("model").alias("base"), *(F.col(x).alias(f"_{x}") for x in cols)), [*keys, "base"])
+    seen = gaps(s.groupBy("series", "model").agg(bs.tail_mean("r").alias("es"), bs.sharpe_pop().alias("sharpe")), ["series"], ["es", "sharpe"])
+    boot = gaps(bs.shortfall(sample(spark, d, of), ["series", "b", "model"]), ["series", "b"], ["es"])
+    p = boot.groupBy("series", "model").agg(F.avg(F.expr("double(es - _es <= 0)")).alias("p_le0"))
+    return seen.join(p, ["series", "model"]).select("series", "model", "base", "es", (F.col("es") - F.col("_es")).alias("d_es"), (F.col("sharpe") - F.col("_sharpe")).alias("d_sharpe"), "p_le0")
+
+
+@query("K24br_placebo_tails_race")
+def k24br(spark, d):
+    """The same with six fitted models beside the baselines."""
+    return k24b(spark, d, whole_placebos)
+
+
 @query("K25_mechanism_proxies", "SELECT series, vv, rank() OVER (ORDER BY vv DESC) + (count(*) OVER (PARTITION BY vv) - 1) / 2.0 AS rk, surprise FROM (SELECT series, stddev_samp(x) AS vv FROM (SELECT series, ln(rv) - lag(ln(rv)) OVER (PARTITION BY series ORDER BY month) AS x FROM series_month WHERE rv > 0) GROUP BY 1) JOIN (SELECT series, avg(CASE WHEN lv < med THEN 1.0 ELSE 0.0 END) AS surprise FROM (SELECT series, lag(rv) OVER (PARTITION BY series ORDER BY month) AS lv, median(rv) OVER (PARTITION BY series) AS med, row_number() OVER (PARTITION BY series ORDER BY ret, month) AS rn FROM series_month) WHERE rn <= 10 GROUP BY 1) USING (series)", floats="vv rk surprise")
 def k25(spark, d):
     m, o, p = months(spark, d), W.partitionBy("series").orderBy("month"), W.partitionBy("series")

@@ -15,12 +15,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, select: str | None = None, ctes: str = "", floats: str = "", digits: int = 6, dates: str = "", markets: bool = False) -> Callable[[Query], Query]:
+def query(name: str, select: str | None = None, ctes: str = "", floats: str = "", digits: int = 6, dates: str = "", markets: bool = False, series: str = "") -> Callable[[Query], Query]:
     """Register a query, and the SQL for its rows where there is any.
 
     `floats` are the columns rounded to `digits` on both sides: sums of floating-point numbers differ
     in their last bits with the order of the rows. `dates` are given as text on both sides. With `markets` the
-    statement's series are the markets.
+    statement's series are the markets, with `series` those that it defines.
     """
     names = floats.split()
 
@@ -35,7 +35,7 @@ def query(name: str, select: str | None = None, ctes: str = "", floats: str = ""
 
         QUERIES[name] = run
         if select is not None:
-            ORACLES[name] = views.statement(select, ctes, names, digits, dates.split(), markets)
+            ORACLES[name] = views.statement(select, ctes, names, digits, dates.split(), markets, series)
         return fn
 
     return add

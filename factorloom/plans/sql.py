@@ -46,8 +46,15 @@ def of_markets() -> str:
     return ",\n".join([*kept[:at], "series_day AS (SELECT market AS series, date, r FROM market_day)", *kept[at:]])
 
 
-def statement(select: str, ctes: str = "", floats: list[str] | None = None, digits: int = 6, dates: list[str] | None = None, markets: bool = False) -> str:
+def with_series(ctes: str) -> str:
+    """The views with another definition of the daily series, and what it needs, in the place of theirs."""
+    parts = VIEWS.strip().split(",\n")
+    at = next(k for k, x in enumerate(parts) if x.startswith("series_day "))
+    return ",\n".join([*parts[:at], ctes.strip(), *parts[at + 1 :]])
+
+
+def statement(select: str, ctes: str = "", floats: list[str] | None = None, digits: int = 6, dates: list[str] | None = None, markets: bool = False, series: str = "") -> str:
     """A whole statement: the views, own expressions, and a select whose floats are rounded (without negative zeros)."""
-    body = f"WITH {of_markets() if markets else VIEWS.strip()}{',' + chr(10) + ctes.strip() if ctes.strip() else ''}\n"
+    body = f"WITH {of_markets() if markets else with_series(series) if series else VIEWS.strip()}{',' + chr(10) + ctes.strip() if ctes.strip() else ''}\n"
     shown = [f"round(CAST({c} AS DOUBLE), {digits}) + 0 AS {c}" for c in floats or []] + [f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in dates or []]
     return body + select.strip() if not shown else f"{body}SELECT * REPLACE ({', '.join(shown)}) FROM ({select.strip()})"

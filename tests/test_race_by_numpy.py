@@ -277,3 +277,39 @@ def test_recursion_in_closed_form(spark):
             want.append(s)
             s = lam * s + (1 - lam) * v
         assert np.allclose(g.sort_values("t").f, want)
+
+
+def test_placebo_factors_of_the_race(spark):
+    got = run(spark, "K24br_placebo_tails_race").set_index(["series", "model"])
+    s = inference.strats(spark, DATA, inference.whole_placebos).toPandas()
+    assert set(s.series) == {"wml", "mkt", "smb", "hml"} and {"Ridge", "HGB", "ENS", "RW126", "plain"} <= set(s.model)
+    tail = lambda r: np.sort(r)[: max(1, int(0.05 * len(r)))].mean() * 100
+    es = s.groupby(["series", "model"]).r.agg(tail)
+    ratio = s.groupby(["series", "model"]).r.agg(lambda r: np.sqrt(12) * r.mean() / r.std(ddof=0))
+    assert set(got.index) == {k for k in es.index if k[1] != "plain"}
+    for (series, model), row in got.iterrows():
+        base = "plain" if model == "RW126" else "RW126"
+        assert row.base == base and row.d_es == pytest.approx(es[series, model] - es[series, base], rel=1e-9, abs=1e-12) and row.d_sharpe == pytest.approx(ratio[series, model] - ratio[series, base], rel=1e-9, abs=1e-12) and 0 <= row.p_le0 <= 1
+
+
+def test_statistics_of_replicates_by_numpy(spark):
+    """Every statistic of the first replicates of the whole race, drawn and computed by NumPy."""
+    from factorloom.plans.forecasting import whole_race
+
+    got = inference.stats(spark, DATA, whole_race).where("series = 'wml' and b < 5").toPandas().set_index(["b", "model"])
+    s = inference.strats(spark, DATA, whole_race).toPandas()
+    own = {m: g.sort_values("t").r.to_numpy() for m, g in s[s.series == "wml"].groupby("model")}
+    n = len(own["plain"])
+    for b in range(5):
+        starts = [int(hashlib.md5(f"42-{b}-{j}".encode()).hexdigest()[:8], 16) % n for j in range(-(-n // 12))]
+        at = np.concatenate([(k + np.arange(12)) % n for k in starts])[:n]
+        for m, r in own.items():
+            x, row = r[at], got.loc[(b, m)]
+            z = (x - x.mean()) / x.std()
+            want = {"sharpe": np.sqrt(12) * x.mean() / x.std(), "skew": (z**3).mean(), "worst": x.min() * 100, "es": np.sort(x)[: max(1, int(0.05 * n))].mean() * 100, "mv": (x.mean() - 2.5 * x.var()) * 1200}
+            for name, value in want.items():
+                assert row[name] == pytest.approx(value, rel=1e-8), name
+            if (1 + x > 0).all():
+                assert row.crra == pytest.approx((((1 + x) ** -9.0).mean() ** (12 / -9) - 1) * 100, rel=1e-8)
+            else:
+                assert np.isnan(row.crra)
