@@ -92,4 +92,4 @@ def test_the_whole_tail_bootstrap_ends(spark, name):
     began = time.time()
     got = registry.QUERIES[name](spark, DATA).toPandas()
     assert time.time() - began < 60 and inference.TAIL_REPS == 2000
-    assert got.groupby(["series", "model"]).level.nunique().eq(2).all() and got.model.nunique() == (12 if "race" in name else 3) and got.n_boot.between(500, 2000).all()
+    assert got.groupby(["series", "model"])["level"].nunique().eq(2).all() and got.model.nunique() == (12 if "race" in name else 3) and got.n_boot.between(500, 2000).all()
