@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import metrics
-
 BLOCK = 12
 SEED = 42
 
@@ -44,11 +42,35 @@ def shortfall(df: DataFrame, keys: list[str], q: float = 0.05, r: str = "r", nam
     return df.groupBy(*keys).agg(tail_mean(r, q).alias(name))
 
 
-def statistics(df: DataFrame, keys: list[str], r: str = "r", gamma: float = 5, power: float = 10) -> DataFrame:
-    """All statistics of each replicate in one pass: Sharpe ratio, skewness, worst period, shortfall, and certainty equivalents by mean and variance (aversion gamma) and by power utility."""
-    return df.groupBy(*keys).agg(
-        sharpe_pop(r).alias("sharpe"), F.skewness(r).alias("skew"), (F.min(r) * 100).alias("worst"), tail_mean(r).alias("es"),
-        metrics.mv_certainty(r, gamma).alias("mv"), (metrics.crra_certainty(r, power) * 100).alias("crra"),
+def drawn(table: DataFrame, reps: int, first: int, block: int = BLOCK, seed: int = SEED, by: str = "series", r: str = "r") -> DataFrame:
+    """by, b, model and x: every replicate's values as one array, from the same starts as `block_index`, without exploding or shuffling rows.
+
+    A series' values are one array, read at the drawn places; a model without a value in a period has one less in x.
+    """
+    n = table.groupBy(by).agg((F.max("t") - first + 1).alias("_n"))
+    held = table.where(F.col(r).isNotNull()).groupBy(by, "model").agg(F.map_from_entries(F.collect_list(F.struct((F.col("t") - first).alias("i"), F.col(r).alias("v")))).alias("_at"))
+    values = held.join(n, by).select(by, "model", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.try_element_at("_at", i)).alias("_r"))
+    each = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    hexed = lambda j: F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), j.cast("string"))), 1, 8)
+    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1), lambda j: F.conv(hexed(j), 16, 10).cast("long") % F.col("_n"))
+    places = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: (s + o) % F.col("_n"))))
+    each = each.select(by, "b", F.slice(places, F.lit(1), F.col("_n").cast("int")).alias("_i"))
+    x = F.filter(F.transform("_i", lambda i: F.get("_r", i.cast("int"))), lambda v: v.isNotNull())
+    return each.join(values, by).select(by, "b", "model", x.alias("x"))
+
+
+def statistics(replicates: DataFrame, q: float = 0.05, gamma: float = 5, power: float = 10) -> DataFrame:
+    """All statistics of each replicate's array x in one pass: Sharpe ratio, skewness, worst period, shortfall, and certainty equivalents by mean and variance (aversion gamma) and by power utility."""
+    total = lambda f: F.aggregate("x", F.lit(0.0), lambda s, v: s + f(v))
+    n = F.size("x")
+    base = replicates.withColumns({"_n": n, "_mean": F.try_divide(total(lambda v: v), n), "_low": F.array_min("x"), "_tail": F.slice(F.array_sort("x"), F.lit(1), F.greatest(F.lit(1), F.floor(q * n).cast("int")))})
+    gap = lambda v: v - F.col("_mean")
+    base = base.withColumns({"_var": F.try_divide(total(lambda v: gap(v) * gap(v)), F.col("_n")), "_third": F.try_divide(total(lambda v: gap(v) * gap(v) * gap(v)), F.col("_n")), "_power": F.when(F.col("_low") > -1, F.try_divide(total(lambda v: F.pow(1 + v, F.lit(1 - power))), F.col("_n")))})
+    keys = [c for c in replicates.columns if c != "x"]
+    es = F.try_divide(F.aggregate("_tail", F.lit(0.0), lambda s, v: s + v), F.size("_tail")) * 100
+    return base.select(
+        *keys, (F.sqrt(F.lit(12.0)) * F.try_divide("_mean", F.sqrt("_var"))).alias("sharpe"), F.try_divide("_third", F.pow("_var", F.lit(1.5))).alias("skew"), (F.col("_low") * 100).alias("worst"), es.alias("es"),
+        ((F.col("_mean") - gamma / 2 * F.col("_var")) * 1200).alias("mv"), ((F.pow(F.pow("_power", F.lit(1 / (1 - power))), F.lit(12)) - 1) * 100).alias("crra"),
     )
 
 
