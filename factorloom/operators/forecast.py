@@ -59,14 +59,22 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def back(prediction: np.ndarray, residual: np.ndarray, y: np.ndarray, transform: str) -> np.ndarray:
-    """From logarithms to variances: with log-normal smearing, or clipped to half the least and twice the most."""
+    """From logarithms to variances: with log-normal smearing, or clipped to half the least and twice the most, or both; `level` leaves levels."""
+    if transform == "level":
+        return prediction
     if transform == "smear":
         return np.exp(np.clip(prediction + residual.var() / 2, -50, 50))
-    return np.exp(np.clip(prediction, np.log(y.min() * 0.5), np.log(y.max() * 2)))
+    if transform not in ("clip", "smear and clip"):
+        raise ValueError(f"no transform {transform}")
+    shift = residual.var() / 2 if transform == "smear and clip" else 0.0
+    return np.exp(np.clip(prediction + shift, np.log(y.min() * 0.5), np.log(y.max() * 2)))
 
 
 def run(x: DataFrame, models: list[str], transform: str = "smear", target: str = "y", by: tuple[str, ...] = ("series",), first: int = race.FIRST, refit: int = race.REFIT, estimators: dict | None = None) -> DataFrame:
-    """Forecasts (by, t, model, f) of the models, fitted in parallel by series, fold and model."""
+    """Forecasts (by, t, model, f) of the models, fitted in parallel by series, fold and model.
+
+    Targets are fitted as logarithms, with the transform `level` as they are.
+    """
     own = {k: (estimators or ESTIMATORS)[k] for k in models}
     columns = sorted({c for cols, _ in own.values() for c in cols})
     keys = list(by)
@@ -79,15 +87,16 @@ def run(x: DataFrame, models: list[str], transform: str = "smear", target: str =
         cols, estimator = own[model]
         train, test = rows[rows.t < t0], rows[(rows.t >= t0) & (rows.t < t0 + refit)]
         y = train[target].to_numpy()
-        p = estimator(train[cols].to_numpy(), np.log(y))
-        f = back(p(test[cols].to_numpy()), np.log(y) - p(train[cols].to_numpy()), y, transform)
+        fitted = y if transform == "level" else np.log(y)
+        p = estimator(train[cols].to_numpy(), fitted)
+        f = back(p(test[cols].to_numpy()), fitted - p(train[cols].to_numpy()), y, transform)
         return pd.DataFrame({**dict(zip(keys, names, strict=True)), "t": test.t.to_numpy(), "model": model, "f": f})
 
     folds = fold_rows(x.select(*keys, "t", F.col(target), *columns), first, refit, by).withColumn("model", F.explode(F.array(*map(F.lit, models))))
     return spread(folds.where((F.col("t") < F.col("t0") + refit)), *keys, "t0", "model").groupBy(*keys, "t0", "model").applyInPandas(fit, schema)
 
 
-def run_lstm(x: DataFrame, columns: list[str], length: int = 12, seeds: tuple[int, ...] = (42,), first: int = race.FIRST, refit: int = race.REFIT) -> DataFrame:
+def run_lstm(x: DataFrame, columns: list[str], length: int = 12, seeds: tuple[int, ...] = (42,), first: int = race.FIRST, refit: int = race.REFIT, transform: str = "smear") -> DataFrame:
     """Forecasts of the recurrent network from the rows t - length .. t - 1; the seed is part of the key."""
 
     def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -100,13 +109,29 @@ def run_lstm(x: DataFrame, columns: list[str], length: int = 12, seeds: tuple[in
         seqs = np.stack([z[i - length : i] for i in at])
         train = t[at] < t0
         p = kernels.lstm(seed=int(seed))(seqs[train], y[at][train])
-        f = back(p(seqs[~train]), y[at][train] - p(seqs[train]), np.exp(y[at][train]), "smear")
+        f = back(p(seqs[~train]), y[at][train] - p(seqs[train]), np.exp(y[at][train]), transform)
         return pd.DataFrame({"series": series, "t": t[at][~train], "model": f"LSTM{seed}", "f": f})
 
     folds = fold_rows(x.select("series", "t", "y", *columns), first, refit).withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
     return spread(folds.where(F.col("t") < F.col("t0") + refit), "series", "t0", "seed").groupBy("series", "t0", "seed").applyInPandas(fit, "series string, t long, model string, f double")
 
 
+def split_means(r: DataFrame, splits: int, first: int = race.FIRST, refit: int = race.REFIT) -> DataFrame:
+    """Forward splits of each fold's training rows: series, t0, i, train_end, test_end, and the mean target (in 1e-4) of both parts.
+
+    With s = t0 // (splits + 1), split i trains on the rows before t0 - (splits - i) s and is tested on the next s. Sums come from
+    running sums read at the ends, so no row is joined to the folds it belongs to.
+    """
+    starts = r.where((F.col("t") >= first) & ((F.col("t") - first) % refit == 0)).select("series", F.col("t").alias("t0"))
+    i = F.explode(F.array(*(F.lit(k).cast("long") for k in range(splits))))
+    size = F.floor(F.col("t0") / (splits + 1))
+    each = starts.withColumn("i", i).withColumns({"train_end": F.col("t0") - (splits - F.col("i")) * size, "test_end": F.col("t0") - (splits - 1 - F.col("i")) * size})
+    upto = r.select("series", (F.col("t") + 1).alias("_end"), F.sum("y").over(W.partitionBy("series").orderBy("t").rowsBetween(W.unboundedPreceding, 0)).alias("_sum"))
+    for end, name in (("train_end", "_a"), ("test_end", "_b")):
+        each = each.join(upto.select("series", F.col("_end").alias(end), F.col("_sum").alias(name)), ["series", end])
+    return each.select("series", "t0", "i", "train_end", "test_end", (F.col("_a") / F.col("train_end") * 1e4).alias("train"), ((F.col("_b") - F.col("_a")) / (F.col("test_end") - F.col("train_end")) * 1e4).alias("test"))
+
+
 def ensemble(forecasts: DataFrame, models: list[str], name: str = "ENS") -> DataFrame:
     """Mean of the models' forecasts, nulls skipped."""
     return forecasts.where(F.col("model").isin(models)).groupBy("series", "t").agg(F.avg("f").alias("f")).select("series", "t", F.lit(name).alias("model"), "f")

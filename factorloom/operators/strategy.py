@@ -40,3 +40,32 @@ def breakeven(strats: DataFrame, bps: list[int]) -> DataFrame:
     g = g.withColumn("nxt", F.lead("gap").over(w)).withColumn("nb", F.lead("bp").over(w))
     at = F.when((F.col("gap") >= 0) & (F.col("nxt") < 0), F.col("bp") + (F.col("nb") - F.col("bp")) * F.col("gap") / (F.col("gap") - F.col("nxt")))
     return g.groupBy("series", "model").agg(F.min(at).alias("breakeven"))
+
+
+def timing(strats: DataFrame, r: DataFrame, fall: float = -0.10, windows: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """Leverage of each model at the month before a return under `fall`, and inside windows of months: series, model, span, n, lev, middle.
+
+    A month counts in every span that it belongs to; spans without months give no row.
+    """
+    falls = r.select("series", "t", (F.col("ret_next") < fall).alias("_falls"))
+    spans = [F.when(F.col("_falls"), F.lit("before falls")), *(F.when(F.col("month").between(F.to_date(F.lit(a)), F.to_date(F.lit(b))), F.lit(name)) for name, a, b in windows)]
+    each = strats.where("model != 'plain'").join(falls, ["series", "t"]).withColumn("span", F.explode(F.array_compact(F.array(*spans))))
+    return each.groupBy("series", "model", "span").agg(F.count("*").alias("n"), F.avg("lev").alias("lev"), F.percentile("lev", 0.5).alias("middle"))
+
+
+def normalised_dynamic(r: DataFrame, mu: str | None, first: int, refit: int, target: float, low: float = 0.0, high: float = 2.0) -> DataFrame:
+    """Leverage of a mean forecast over forecast variance, scaled on each fold's training rows: series, t, free, lev, r.
+
+    `free` is the leverage before it is clipped. `target` is a month's deviation. The scale is target times the mean deviation over the absolute mean return and the mean variance of the rows before the
+    fold, so that the average leverage there is about that of plain variance management. Without `mu` the mean of those rows is
+    the forecast.
+    """
+    before = rolling.expanding_before(["series"], "t")
+    size = F.greatest(F.abs(F.avg("ret_next").over(before)), F.lit(1e-9))
+    scale = target * F.avg(F.sqrt("fvar")).over(before) / size / F.avg("fvar").over(before)
+    starts = r.select("series", F.col("t").alias("_t0"), scale.alias("_scale"), F.avg("ret_next").over(before).alias("_mean"))
+    own = r.where(F.col("t") >= first).withColumn("_t0", (F.floor((F.col("t") - first) / refit) * refit + first).cast("long"))
+    x = own.join(starts, ["series", "_t0"])
+    free = F.col("_scale") * F.col(mu or "_mean") / F.col("fvar")
+    lev = F.when(free.isNotNull(), F.least(F.greatest(free, F.lit(low)), F.lit(high)))
+    return x.select("series", "t", free.alias("free"), lev.alias("lev"), (lev * F.col("ret_next")).alias("r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import calendar, legs, reshape, scans, sorts
+from factorloom.operators import calendar, legs, race, reshape, scans, sorts
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
 from factorloom.sources import digests, files, workbook
@@ -58,6 +58,13 @@ def s06(spark, d):
     return files.sectioned(files.write_sectioned(wide.select("date", F.col("los").alias("d1"), F.col("win").alias("d2")), "Average Returns -- Daily"), "Average Returns -- Daily", ["d1", "d2"]).where("value is not null")
 
 
+@query("S12_markdown_table", "SELECT 0 AS at, '| series | month | ret | rv |' AS line UNION ALL SELECT 1, '| --- | --- | --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY series, month), printf('| %s | %s | %.4f | %.4f |', series, CAST(CAST(month AS DATE) AS VARCHAR), ret * 100, rv * 10000) FROM series_month")
+def s12(spark, d):
+    """Monthly returns in per cent and variances of all series as the lines of a Markdown table."""
+    m = race.months(c.series_day(spark, d)).select("series", "month", (F.col("ret") * 100).alias("ret"), (F.col("rv") * 10000).alias("rv"))
+    return files.markdown_lines(m, ["series", "month"])
+
+
 @query("S08_rate_series", "SELECT month, pow(1 + rf * 1000 / 100, 1 / 12.0) - 1 AS monthly FROM rf_month", floats="monthly", digits=8, dates="month")
 def s08(spark, d):
     return c.rf_month(spark, d).select("month", calendar.annual_percent_to_month(F.col("rf") * 1000).alias("monthly"))
@@ -176,8 +183,6 @@ def p11(spark, d):
 
 @query("P12_common_sample", "SELECT count(*) AS n FROM (SELECT month, fvar FROM series_month LEFT JOIN fvar USING (series, month) WHERE series = 'wml') WHERE fvar IS NOT NULL")
 def p12(spark, d):
-    from factorloom.operators import race
-
     s = c.series_day(spark, d).where("series = 'wml'")
     return race.months(s).join(race.variance_features(s), ["series", "month"], "left").dropna(subset=["fvar"]).agg(F.count("*").alias("n"))
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factorloom.operators import calendar, factors, legs, metrics, race, strategy
+from factorloom.operators import calendar, factors, legs, metrics, race, replication, strategy
 from factorloom.plans.measures import BUCKETS, members, race_of
 from factorloom.plans.registry import query
 from factorloom.sources import catalog as c
+from factorloom.sources import files, sections
 from factorloom.sources.shared import saved
 
 HELD = BUCKETS + """, held AS (SELECT m.k, m.code, leg, w0, d.date, di, ret FROM members m JOIN days d ON d.k = m.k + 1 LEFT JOIN ret_day r ON r.date = d.date AND r.code = m.code),
@@ -263,10 +264,66 @@ def p09(spark, d):
 
 @query("T19_decile_file", "SELECT month, ret FROM series_month WHERE series = 'wml'", floats="ret", dates="month")
 def t19(spark, d):
-    from factorloom.sources import files
-
     f = c.factor_day(spark, d).where("wml is not null").select("date", "los", "win")
     back = files.sectioned(files.write_sectioned(f.select("date", F.col("los").alias("d1"), F.col("win").alias("d10")), "Decile Returns -- Daily"), "Decile Returns -- Daily", ["d1", "d10"])
     day = back.groupBy("date").agg((F.max(F.when(F.col("name") == "d10", F.col("value"))) - F.max(F.when(F.col("name") == "d1", F.col("value")))).alias("r"))
     return day.groupBy(F.last_day("date").alias("month")).agg((F.product(1 + F.col("r")) - 1).alias("ret"))
 
+
+
+@saved("lineitem", "part")
+def decile_day(spark, d):
+    """Value-weighted daily returns of ten groups of parts by size, d1 to d10, in columns: date, d1 .. d10."""
+    size = c.table(spark, d, "part").select("p_partkey", (F.floor((F.col("p_size") - 1) / 5) + 1).alias("q"))
+    li = c.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("ext"), (F.col("l_discount") - F.col("l_tax")).alias("r"))
+    return li.join(size, "p_partkey").groupBy("date").agg(*(c.weighted("r", "ext", F.col("q") == q).alias(f"d{q}") for q in range(1, 11)))
+
+
+DECILES = [f"d{q}" for q in range(1, 11)]
+DAILY, MONTHLY = "Value Weight Returns -- Daily", "Value Weight Returns -- Monthly"
+
+
+def decile_library(spark, d):
+    """Ten deciles written as a library of text files, one a year, with a daily and a monthly section each; gives the folder."""
+    day = decile_day(spark, d)
+    month = day.groupBy(F.last_day("date").alias("date")).agg(*((F.product(1 + F.col(q)) - 1).alias(q) for q in DECILES))
+    part = lambda df, title, digits: df.select(F.year("date").alias("year"), F.lit(title).alias("section"), "date", F.lit(digits).alias("digits"), *DECILES)
+    other = part(month, "Equal Weight Returns -- Monthly", 6)
+    return sections.write(part(day, DAILY, 8).unionByName(part(month, MONTHLY, 6)).unionByName(other), "year", "section", "date", "digits", DECILES)
+
+
+def spread(spark, path, title):
+    """The last decile less the first of a section, where both have a value: series, date, r."""
+    x = sections.read(spark, [path], title, DECILES).where(F.col("name").isin("d1", "d10"))
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    return x.groupBy("date").agg((of("d10") - of("d1")).alias("r")).where("r is not null").select(F.lit("d10-d1").alias("series"), "date", "r")
+
+
+DEC = """dec AS (SELECT CAST(l_shipdate AS DATE) AS date, (p_size - 1) // 5 + 1 AS q, sum(l_extendedprice * (l_discount - l_tax)) / sum(l_extendedprice) AS ret FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+dday AS (SELECT a.date, a.ret - b.ret AS r FROM dec a JOIN dec b ON a.date = b.date AND a.q = 10 AND b.q = 1),
+dmon AS (SELECT month, max(ret) FILTER (q = 10) - max(ret) FILTER (q = 1) AS r FROM (SELECT last_day(date) AS month, q, product(1 + ret) - 1 AS ret FROM dec GROUP BY ALL) GROUP BY 1),
+dvar AS (SELECT last_day(CAST(month + INTERVAL 1 DAY AS DATE)) AS month, v FROM (SELECT last_day(date) AS month, arg_max(v, date) AS v FROM (SELECT date, CASE WHEN count(*) OVER w >= 126 THEN 21 * avg(r * r) OVER w END AS v FROM dday WINDOW w AS (ORDER BY date ROWS 125 PRECEDING)) WHERE v IS NOT NULL GROUP BY 1)),
+dstar AS (SELECT month, r, (0.12 / sqrt(12)) / sqrt(v) * r AS s FROM dmon LEFT JOIN dvar USING (month) WHERE r IS NOT NULL),
+dsam AS (SELECT 'all' AS sample, * FROM dstar UNION ALL SELECT 'to 1998', * FROM dstar WHERE year(month) <= 1998),
+dgap AS (SELECT *, avg(r) OVER p AS rm, avg(s) OVER p AS sm, s / stddev_samp(s) OVER p - r / stddev_samp(r) OVER p AS gap, row_number() OVER (PARTITION BY sample ORDER BY r, month) AS k FROM dsam WINDOW p AS (PARTITION BY sample)),
+dout AS (SELECT 'd10-d1' AS series, sample, count(*) AS n, avg(r) * 1200 AS mean, sqrt(12) * avg(r) / stddev_pop(r) AS sharpe, avg(pow(r - rm, 3)) / pow(var_pop(r), 1.5) AS skew, avg(pow(r - rm, 4)) / pow(var_pop(r), 2) - 3 AS kurtosis, min(r) * 100 AS worst, max(r) FILTER (k = 2) * 100 AS second_worst,
+  sqrt(12) * avg(s) / stddev_pop(s) AS managed_sharpe, avg(pow(s - sm, 3)) / pow(var_pop(s), 1.5) AS managed_skew, avg(pow(s - sm, 4)) / pow(var_pop(s), 2) - 3 AS managed_kurtosis, min(s) * 100 AS managed_worst, sqrt(12) * avg(gap) / stddev_pop(gap) AS information_ratio FROM dgap GROUP BY sample)"""
+
+
+@query("T19b_replication_gate", "SELECT *, coalesce(sharpe > 0.35 AND sharpe < 0.65 AND skew < -1 AND managed_sharpe > 1.3 * sharpe AND worst < -50, false) AS passes FROM dout", DEC, floats="mean sharpe skew kurtosis worst second_worst managed_sharpe managed_skew managed_kurtosis managed_worst information_ratio", digits=4)
+def t19b(spark, d):
+    """Ten deciles from library files, their spread plain and managed, and the gate of the published figures."""
+    path = decile_library(spark, d)
+    daily, monthly = spread(spark, path, DAILY), spread(spark, path, MONTHLY).withColumnRenamed("date", "month")
+    return replication.gate(replication.managed(monthly, daily), {"all": F.lit(True), "to 1998": F.year("month") <= 1998})
+
+
+#: Windows of months over which leverage is averaged, as (name, first month, last month).
+WINDOWS = [("1999 to 2000", "1999-06-30", "2000-06-30"), ("2000 to 2001", "2000-07-31", "2001-06-30")]
+
+
+@query("T18b_crisis_windows", "SELECT s.series, s.model, 'before falls' AS span, count(*) AS n, avg(lev) AS lev, median(lev) AS middle FROM strat s JOIN race r ON s.series = r.series AND s.t = r.t WHERE r.ret_next < -0.02 AND model <> 'plain' GROUP BY ALL UNION ALL SELECT series, model, w, count(*), avg(lev), median(lev) FROM strat JOIN (VALUES ('1999 to 2000', DATE '1999-06-30', DATE '2000-06-30'), ('2000 to 2001', DATE '2000-07-31', DATE '2001-06-30')) v(w, a, b) ON month BETWEEN a AND b WHERE model <> 'plain' GROUP BY ALL", floats="lev middle")
+def t18b(spark, d):
+    """Mean and median leverage just before falls and in windows of months."""
+    r = race_of(spark, d)
+    return strategy.timing(race.strategies(r, baselines(spark, d)), r, fall=-0.02, windows=WINDOWS)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factorloom.sources import sections
 from factorloom.sources.shared import new_path, written
 
-#: Marks of missing values in percent files.
-SENTINELS = [-99.99, -999.0]
-
 
 def csv_round_trip(df: DataFrame) -> DataFrame:
     """Write as CSV with a header and read back under the same schema."""
@@ -30,36 +29,48 @@ def unpivot_sheet(wide: DataFrame, code: str, date: str, value: str) -> DataFram
 
 
 def write_sectioned(df: DataFrame, title: str) -> DataFrame:
-    """A text file with prose, another section and one titled section of dated rows in percent; returns (path)."""
-    spark = df.sparkSession
+    """Text files, one a year, with prose, another section and one titled section of dated rows in percent; returns (path)."""
     cols = [c for c in df.columns if c != "date"]
-    row = F.concat_ws(",", F.date_format("date", "yyyyMMdd"), *(F.coalesce(F.format_string("%.10f", F.col(c) * 100), F.lit("-99.99")) for c in cols))
-    body = df.orderBy("date").agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("b"))
-    head = f"This file was made for a test.\n\nOther Returns -- Monthly\n,{','.join(cols)}\n199601,1.0,2.0\n\n{title}\n,{','.join(cols)}\n"
-    path = new_path(spark)
-    body.select(F.concat(F.lit(head), "b", F.lit("\n\nCopyright\n")).alias("value")).coalesce(1).write.text(path)
-    return spark.createDataFrame([(path,)], "path string")
+    year = F.year("date").alias("year")
+    daily = df.select(year, F.lit(title).alias("section"), "date", F.lit(8).alias("digits"), *cols)
+    other = df.select(year, F.lit("Other Returns -- Monthly").alias("section"), F.last_day("date").alias("date"), F.lit(6).alias("digits"), *(F.lit(0.01).alias(c) for c in cols)).distinct()
+    path = sections.write(daily.unionByName(other), "year", "section", "date", "digits", cols)
+    return df.sparkSession.createDataFrame([(path,)], "path string")
 
 
 def sectioned(paths: DataFrame, title: str, names: list[str]) -> DataFrame:
-    """Rows of the titled section of each file: date, name, value (fraction; sentinels are null).
+    """Rows of the titled section of each file or folder: date, name, value (fraction; sentinels are null)."""
+    return sections.read(paths.sparkSession, [r.path for r in paths.collect()], title, names)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Number rows from 0 in an order that names every row: inside ranges of the sorted table, after the rows of the ranges before.
 
-    A file's lines are exploded with their place; the section is the run of dated rows after its header.
+    The ranges are written first, as a repeated task may not deal its rows anew; the running sum is over one row a range.
     """
-    spark = paths.sparkSession
-    texts = spark.read.text([r.path for r in paths.collect()], wholetext=True).withColumn("file", F.input_file_name())
-    each = texts.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    start = each.where(F.trim("line") == title).groupBy("file").agg(F.min("at").alias("start"))
-    after = each.join(start, "file").where("at > start + 1")
-    dated = F.col("line").rlike(r"^\s*\d{6}(\d{2})?\s*,")
-    stop = after.where(~dated).groupBy("file").agg(F.min("at").alias("stop"))
-    rows = after.join(stop, "file", "left").where(F.col("stop").isNull() | (F.col("at") < F.col("stop")))
-    part = F.split("line", ",")
-    day = F.trim(part[0])
-    date = F.when(F.length(day) == 8, F.to_date(day, "yyyyMMdd")).otherwise(F.last_day(F.to_date(F.concat(day, F.lit("01")), "yyyyMMdd")))
-    cells = F.array(*(F.struct(F.lit(n).alias("name"), F.trim(F.get(part, F.lit(i + 1))).alias("raw")) for i, n in enumerate(names)))
-    out = rows.select(date.alias("date"), F.explode(cells).alias("c")).select("date", "c.name", F.expr("try_cast(c.raw as double)").alias("x"))
-    return out.select("date", "name", F.when(~F.col("x").isin(SENTINELS), F.col("x") / 100).alias("value"))
+    placed = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return placed.withColumn("_in", inside).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_range", "_in", "_start")
+
+
+def markdown_lines(df: DataFrame, order: list[str], digits: int = 4) -> DataFrame:
+    """A table of any length as the lines of a Markdown table: at (0 and 1: head and rule; then one a row in the order), line.
+
+    A null is an empty cell, a floating-point number has `digits` decimals, bars inside a text are escaped.
+    """
+    kinds = dict(df.dtypes)
+
+    def cell(c: str) -> Column:
+        number = kinds[c] in ("double", "float")
+        text = F.format_string(f"%.{digits}f", F.col(c).cast("double")) if number else F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|"))
+        return F.when(F.col(c).isNotNull(), text).otherwise("")
+
+    bars = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = numbered(df, order, "_at").select((F.col("_at") + 2).alias("at"), bars([cell(c) for c in df.columns]).alias("line"))
+    head = [(0, f"| {' | '.join(df.columns)} |"), (1, f"| {' | '.join('---' for _ in df.columns)} |")]
+    return rows.unionByName(df.sparkSession.createDataFrame(head, "at long, line string"))
 
 
 def markdown(df: DataFrame, digits: int = 4) -> str:
