@@ -5,7 +5,9 @@ and its leaves are the shards. Each shard has the tight box of all its rows and
 same way. A query visits nodes best-first by the greatest inner product any point of the box could have and
 stops when that is below its kth score. Each query first searches one shard, its home, whose box promises
 most; the kth score found there goes with it to the other shards whose boxes can reach it, and to no
-others, and prunes there from the start. Queries meet shards in blocks, so no task holds all queries.
+others, and prunes there from the start. Boxes that are too many for one task stand in groups with a box of their own; a query
+first finds the groups that it can reach, then their boxes. Queries meet shards in blocks, so no task holds all queries;
+a shard is copied once for each block of queries that ask it, and not at all if none does.
 The sample only decides which rows lie together: every row is searched or ruled out by a box that holds it.
 
 Rows: a vector that is null, empty or has a null or non-finite component takes no part; vectors of
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,8 +39,9 @@ SCALE = 256
 SHARD_ROWS = 100_000
 BLOCK_QUERIES = 50_000
 LEAF_ROWS = 128
-#: Rows that the tree over the shards is fitted to, at most about; bytes of the shards' boxes that are sent to tasks.
+#: Rows and bytes of the sample that the tree over the shards is fitted to, at most about; bytes of boxes that are sent to tasks.
 SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 64_000_000
 BOX_BYTES = 64_000_000
 
 RESULT = "query_id long, vec_id long, score long"
@@ -160,20 +164,25 @@ class Splits:
         return ~left[at]
 
 
-def fitted(vectors: DataFrame, n: int, shards: int) -> dict[int, Splits]:
-    """Trees over a sample of about SAMPLE_ROWS rows, by length of the vectors."""
-    share = common.sample_share(n, SAMPLE_ROWS)
-    got = vectors.where(common.hashed_share(F.col("vec_id"), share, 3)).select("vec_id", "v").toArrow().to_pylist()
-    by: dict[int, list[list[int]]] = {}
-    for r in sorted(got, key=lambda r: (r["vec_id"], r["v"])):
-        by.setdefault(len(r["v"]), []).append(r["v"])
-    return {k: Splits(np.array(v, float), max(1, round(shards * len(v) / len(got)))) for k, v in by.items()}
+def fitted(vectors: DataFrame, n: int, widest: int, shards: int) -> dict[int, Splits]:
+    """Trees over a sample of about SAMPLE_ROWS rows (fewer, if vectors are so wide that they pass SAMPLE_BYTES), by length of the vectors."""
+    share = common.sample_share(n, min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (8 * max(1, widest)))))
+    got = vectors.where(common.hashed_share(F.col("vec_id"), share, 3)).select("vec_id", "v", F.size("v").alias("dims")).toArrow()
+    out = {}
+    for k in pc.unique(got["dims"]).to_pylist():
+        own = got.filter(pc.equal(got["dims"], k)).sort_by("vec_id")
+        out[k] = Splits(_matrix(own["v"]).astype(float), max(1, round(shards * len(own) / len(got))))
+    return out
 
 
 def dealt_out(vectors: DataFrame, trees: dict[int, Splits]) -> DataFrame:
-    """Rows with their length and shard. Vectors of a length that is not in the sample lie in shard 0 of theirs."""
+    """Rows with their length, shard and a running number, by which a shard of too many rows is cut.
+
+    Vectors of a length that is not in the sample lie in shard 0 of theirs.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = 0
         for batch in batches:
             dims = batch.column("dims").to_numpy()
             shard = np.zeros(len(dims), np.int32)
@@ -181,10 +190,12 @@ def dealt_out(vectors: DataFrame, trees: dict[int, Splits]) -> DataFrame:
                 if k in trees:
                     own = np.flatnonzero(dims == k)
                     shard[own] = trees[k].leaf_of(_matrix(pa.chunked_array([batch.column("v").take(pa.array(own))])).astype(float))
-            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), batch.column("dims"), pa.array(shard)], ["vec_id", "v", "dims", "shard"])
+            number = pa.array(np.arange(start, start + len(dims), dtype=np.int64))
+            start += len(dims)
+            yield pa.record_batch([batch.column("vec_id"), batch.column("v"), batch.column("dims"), pa.array(shard), number], ["vec_id", "v", "dims", "shard", "number"])
 
     common.bounded(vectors.sparkSession)
-    return vectors.select("vec_id", "v", F.size("v").alias("dims")).mapInArrow(deal, "vec_id long, v array<long>, dims int, shard int")
+    return vectors.select("vec_id", "v", F.size("v").alias("dims")).mapInArrow(deal, "vec_id long, v array<long>, dims int, shard int, number long")
 
 
 def boxes_of(dealt: DataFrame) -> DataFrame:
@@ -202,60 +213,116 @@ def boxes_of(dealt: DataFrame) -> DataFrame:
         kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(([d for d, _ in low], [s for _, s in low], list(low.values()), list(high.values())), kinds, strict=True)], ["dims", "shard", "low", "high"])
 
-    parts = dealt.select("v", "dims", "shard").mapInArrow(measure, "dims int, shard int, low array<long>, high array<long>")
+    return merged(dealt.select("v", "dims", "shard").mapInArrow(measure, "dims int, shard int, low array<long>, high array<long>"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """One box a shard from parts of it: dims, shard, low, high."""
     each = parts.select("dims", "shard", F.posexplode(F.arrays_zip("low", "high")).alias("at", "x")).groupBy("dims", "shard", "at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
     side = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]).alias(c)  # noqa: E731  one entry a dimension
     return each.groupBy("dims", "shard").agg(side("low"), side("high"))
 
 
-def placed(asking: DataFrame, boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], home: bool) -> DataFrame:
-    """Queries (query_id, q, block, dims, floor) with the shard of greatest bound, or with every other shard whose bound reaches the floor."""
+PLACED = "query_id long, q array<long>, dims int, floor long, shard int, own boolean"
+_ASKED = ["query_id", "q", "dims", "floor"]
+#: Names, low and high corners of boxes.
+Boxes = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def reached(q: np.ndarray, floors: list[int | None], boxes: Boxes, home: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, the boxes they ask (by place), and whether that is the row's box of greatest bound.
+
+    A row of `home` asks that box only; another asks every box whose bound reaches its floor, but not its box of greatest bound
+    where `own` is true, as it has been asked.
+    """
+    _, low, high = boxes
+    most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    best, all_ = most.argmax(axis=1), np.arange(len(q))
+    least = np.array([-np.inf if f is None else f for f in floors])
+    asks = most + 1 + 1e-12 * np.abs(most) >= least[:, None]  # rounding may not lose a shard
+    asks[home] = False
+    asks[all_[home], best[home]] = True
+    if own is not None:
+        asks[all_[own & ~home], best[own & ~home]] = False
+    row, at = np.nonzero(asks)
+    return row, at, best[row] == at
+
+
+def _asks(table: pa.Table | pa.RecordBatch, boxes: Boxes, home: bool, skip: bool | None) -> pa.Table:
+    """Queries of one length with the boxes they ask. With `skip` None the column own says whose best box was asked."""
+    parts = []
+    for a in range(0, table.num_rows, 256):
+        part = table.slice(a, 256)
+        column = part.column("q")
+        q = _matrix(column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column])).astype(float)
+        own = part.column("own").to_numpy(zero_copy_only=False).astype(bool) if skip is None else np.full(len(q), skip)
+        row, at, best = reached(q, part.column("floor").to_pylist(), boxes, np.full(len(q), home), own)
+        held = part.select(_ASKED).take(pa.array(row))
+        parts.append(pa.table([*held.columns, pa.array(boxes[0][at], pa.int32()), pa.array(best)], [*_ASKED, "shard", "own"]))
+    return pa.concat_tables(parts)
+
+
+def placed(asking: DataFrame, boxes: dict[int, Boxes], home: bool, skip: bool = True) -> DataFrame:
+    """Queries (query_id, q, dims, floor) with the box of greatest bound (home), or with every box whose bound reaches the floor.
+
+    With `skip` the latter leaves out the box of greatest bound. Columns shard and own (the box of greatest bound).
+    """
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, floors = batch.column("dims").to_numpy(), batch.column("floor").to_pylist()
-            took, shard = [], []
+            dims = batch.column("dims").to_numpy()
             for k in np.unique(dims).tolist():
-                own = np.flatnonzero(dims == k)
-                if k not in boxes:
-                    continue
-                names, low, high = boxes[k]
-                for a in range(0, len(own), 256):
-                    part = own[a : a + 256]
-                    q = _matrix(pa.chunked_array([batch.column("q").take(pa.array(part))])).astype(float)
-                    most = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-                    best = most.argmax(axis=1)
-                    if home:
-                        took.append(part)
-                        shard.append(names[best])
-                    else:
-                        least = np.array([-np.inf if floors[i] is None else floors[i] for i in part])
-                        reach = most + 1 + 1e-12 * np.abs(most) >= least[:, None]  # rounding may not lose a shard
-                        reach[np.arange(len(part)), best] = False
-                        row, at = np.nonzero(reach)
-                        took.append(part[row])
-                        shard.append(names[at])
-            at = np.concatenate(took) if took else np.zeros(0, np.int64)
-            yield pa.record_batch([*(batch.column(c).take(pa.array(at)) for c in ("query_id", "q", "block", "dims", "floor")), pa.array(np.concatenate(shard) if shard else np.zeros(0), pa.int32())], ["query_id", "q", "block", "dims", "floor", "shard"])
-
-    return asking.select("query_id", "q", "block", "dims", "floor").mapInArrow(bound, "query_id long, q array<long>, block int, dims int, floor long, shard int")
+                if k in boxes:
+                    yield from _asks(batch.take(pa.array(np.flatnonzero(dims == k))), boxes[k], home, skip).to_batches()
+
+    return asking.select(*_ASKED).mapInArrow(bound, PLACED)
+
+
+class Placing:
+    """The shards' boxes: sent to tasks if they take at most `box_bytes`, else in two levels of which the upper is sent."""
+
+    def __init__(self, box: DataFrame, folder: str, box_bytes: int, block_queries: int, asked: int):
+        n, size = box.agg(F.count("*"), F.sum(16 * F.col("dims").cast("long") + 40)).first()
+        self.box, self.per = box, 1
+        if (size or 0) > box_bytes:
+            self.per = -(-n // max(1, box_bytes * n // size))  # shards are numbered in the order of their tree, so neighbours lie together
+            box = common.written(merged(box.withColumn("shard", F.floor(F.col("shard") / self.per).cast("int"))), f"{folder}/groups")
+        self.upper = {d: (np.array([r.shard for r in rows]), np.array([r.low for r in rows], float), np.array([r.high for r in rows], float)) for d, rows in _by_dims(box.orderBy("dims", "shard").collect()).items()}
+        #: parts that the queries of a group are dealt over
+        self.parts = max(box.sparkSession.sparkContext.defaultParallelism, -(-asked // block_queries))
+
+    def shards(self, asking: DataFrame, home: bool) -> DataFrame:
+        """Queries with their shards, as in `placed`."""
+        if self.per == 1:
+            return placed(asking, self.upper, home)
+        groups = placed(asking, self.upper, home, skip=False).withColumnRenamed("shard", "grp")
+        groups = groups.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(4)), F.lit(self.parts)))
+        lower = self.box.withColumn("grp", F.floor(F.col("shard") / self.per).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.parts - 1).cast("long"))))
+
+        def within(asks: pa.Table, boxes: pa.Table) -> pa.Table:
+            if not asks.num_rows or not boxes.num_rows:
+                return pa.table({c: pa.array([], t) for c, t in zip([*_ASKED, "shard", "own"], [pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int32(), pa.bool_()], strict=True)})
+            boxes = boxes.sort_by("shard")  # home is the first of equal bounds, in both turns
+            return _asks(asks, (boxes["shard"].to_numpy(), _matrix(boxes["low"]).astype(float), _matrix(boxes["high"]).astype(float)), home, None)
+
+        key = ["dims", "grp", "part"]
+        return groups.groupBy(*key).cogroup(lower.groupBy(*key)).applyInArrow(within, PLACED)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, folder: str, k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, box_bytes: int = BOX_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows. Both tables have vec_id and v.
 
-    The shards' boxes go to the tasks if they take at most `box_bytes`; else every query goes to all shards.
+    The shards' boxes go to the tasks if they take at most `box_bytes`; else groups of them do, and queries meet boxes by group.
     """
     spark = vectors.sparkSession
-    n = vectors.count()
+    n, widest = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     shards = max(1, -(-n // shard_rows), min(spark.sparkContext.defaultParallelism, n // 1000))
     asked = common.written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), f"{folder}/queries")
-    blocks = max(1, -(-asked.count() // block_queries))
-    dealt = common.written(dealt_out(vectors, fitted(vectors, n, shards)), f"{folder}/shards")
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dims"))
-    cells = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    box = common.written(boxes_of(dealt), f"{folder}/boxes")
-    size = box.agg(F.sum(16 * F.col("dims").cast("long") + 40)).first()[0] or 0
+    dealt = common.written(dealt_out(vectors, fitted(vectors, n, widest or 0, shards)), f"{folder}/shards")
+    # equal rows can't be split by a tree: a shard of more than twice the rows is searched in slices
+    slices = common.written(dealt.groupBy("dims", "shard").agg(F.ceil(F.count("*") / (2 * shard_rows)).cast("int").alias("slices")), f"{folder}/slices")
+    places = Placing(common.written(boxes_of(dealt), f"{folder}/boxes"), folder, box_bytes, block_queries, asked.count())
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.size("v").alias("dims"))
 
     def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
@@ -270,20 +337,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, folder: str, k: int = K, shard
         cols = list(zip(*out, strict=True)) or [[]] * 3
         return pa.table([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    def search(asking: DataFrame) -> DataFrame:
-        key = ["shard", "block", "dims"]
-        return cells.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(run, RESULT)
-
-    if size <= box_bytes:
-        held = {d: (np.array([r.shard for r in rows]), np.array([r.low for r in rows], float), np.array([r.high for r in rows], float)) for d, rows in _by_dims(box.orderBy("dims", "shard").collect()).items()}
-        first = common.written(search(placed(asked.withColumn("floor", F.lit(None).cast("long")), held, home=True)), f"{folder}/home")
-        # the kth score at home, if there are k: what other shards must reach
-        floors = first.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
-        found = first.unionByName(search(placed(asked.join(floors, "query_id", "left"), held, home=False)))
-    else:
-        found = search(asked.withColumn("floor", F.lit(None).cast("long")).join(box.select("dims", "shard"), "dims"))
-    # each shard gives at most k rows a query; a window with a rank limit keeps k of them before the shuffle
+    def search(asking: DataFrame, home: bool) -> DataFrame:
+        """Each shard in as many copies as it has blocks of queries; what a query asks is found twice, which costs less than to write it."""
+        asking = places.shards(asking, home)
+        blocks = asking.groupBy("dims", "shard").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks")).join(slices, ["dims", "shard"])
+        blocks = common.written(blocks, f"{folder}/{'home' if home else 'rest'}_blocks")  # a row a shard
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        cells = dealt.join(blocks, ["dims", "shard"]).withColumns({"slice": F.pmod("number", "slices").cast("int"), "block": each("blocks")})
+        wanted = asking.join(blocks, ["dims", "shard"]).withColumns({"block": F.pmod(F.xxhash64("query_id", F.lit(2)), F.col("blocks")).cast("int"), "slice": each("slices")})
+        key = ["shard", "block", "slice", "dims"]
+        return cells.select("vec_id", "v", *key).groupBy(*key).cogroup(wanted.select("query_id", "q", "floor", *key).groupBy(*key)).applyInArrow(run, RESULT)
+
+    first = common.written(search(asked.withColumn("floor", F.lit(None).cast("long")), home=True), f"{folder}/home")
+    # each slice gives at most k rows a query; a window with a rank limit keeps k of them before the shuffle
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # the kth score at home, if there are k: what other shards must reach
+    near = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    floors = near.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    found = near.drop("rank").unionByName(search(asked.join(floors, "query_id", "left"), home=False))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 

@@ -165,6 +165,23 @@ def test_stages_on_odd_tables(spark, empty):
         assert not empty or out.isEmpty()
 
 
+@pytest.mark.parametrize("box_bytes", [topk.BOX_BYTES, 900])
+def test_top_k_by_groups_of_boxes_and_slices_of_equal_rows(spark, box_bytes):
+    """Boxes in one and in two levels, many blocks of queries a shard, a third of the rows equal, ids that repeat."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-500, 500, 4)]) for i in range(400)] + [(1000 + i % 150, [7.0, 7.0, 7.0, 7.0]) for i in range(200)] + [(2000, [1.0, 2.0]), (2001, [3.0, -4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").select("vec_id", F.col("v").cast("array<long>").alias("v"))
+    queries = df.where("vec_id % 5 = 0")
+    got = {}
+    for r in topk.top_k(df, queries, common.shared_dir(spark), shard_rows=25, block_queries=7, box_bytes=box_bytes).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    assert len(got) == 111
+    for q, best in got.items():
+        query = min(v for i, v in rows if i == q)
+        want = sorted((-int(np.dot(v, query)), i) for i, v in rows if i != q and len(v) == len(query))[:5]
+        assert [(s, i) for _, s, i in sorted(best)] == want
+
+
 def test_operators_leave_clashing_columns_alone(spark):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0], i, [0], "x") for i in range(120)], "vec_id long, embedding array<double>, v int, q array<int>, shard string")
     df = topk.scaled(vectors)
