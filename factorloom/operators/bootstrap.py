@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factorloom.operators.forecast import spread
+
 BLOCK = 12
 SEED = 42
 
@@ -43,20 +45,22 @@ def shortfall(df: DataFrame, keys: list[str], q: float = 0.05, r: str = "r", nam
 
 
 def drawn(table: DataFrame, reps: int, first: int, block: int = BLOCK, seed: int = SEED, by: str = "series", r: str = "r") -> DataFrame:
-    """by, b, model and x: every replicate's values as one array, from the same starts as `block_index`, without exploding or shuffling rows.
+    """by, b, model and x: every replicate's values as one array, from the same starts as `block_index`, without exploding or joining rows.
 
-    A series' values are one array, read at the drawn places; a model without a value in a period has one less in x.
+    A series' values are one array a model, read at the drawn places; a model without a value in a period has one less in x. The
+    replicates are dealt over the cluster before anything is drawn: they come from few rows, but are all of the work.
     """
     n = table.groupBy(by).agg((F.max("t") - first + 1).alias("_n"))
     held = table.where(F.col(r).isNotNull()).groupBy(by, "model").agg(F.map_from_entries(F.collect_list(F.struct((F.col("t") - first).alias("i"), F.col(r).alias("v")))).alias("_at"))
-    values = held.join(n, by).select(by, "model", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.try_element_at("_at", i)).alias("_r"))
-    each = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    values = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.try_element_at("_at", i))
+    own = held.join(n, by).groupBy(by, "_n").agg(F.collect_list(F.struct("model", values.alias("r"))).alias("_models"))
+    each = spread(own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))), by, "b")
     hexed = lambda j: F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("b").cast("string"), j.cast("string"))), 1, 8)
     starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n") / block).cast("int") - 1), lambda j: F.conv(hexed(j), 16, 10).cast("long") % F.col("_n"))
     places = F.flatten(F.transform(starts, lambda s: F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda o: (s + o) % F.col("_n"))))
-    each = each.select(by, "b", F.slice(places, F.lit(1), F.col("_n").cast("int")).alias("_i"))
-    x = F.filter(F.transform("_i", lambda i: F.get("_r", i.cast("int"))), lambda v: v.isNotNull())
-    return each.join(values, by).select(by, "b", "model", x.alias("x"))
+    drawn_rows = each.select(by, "b", F.slice(places, F.lit(1), F.col("_n").cast("int")).alias("_i"), "_models").select(by, "b", "_i", F.inline("_models"))
+    x = F.filter(F.transform("_i", lambda i: F.get("r", i.cast("int"))), lambda v: v.isNotNull())
+    return drawn_rows.select(by, "b", "model", x.alias("x"))
 
 
 def statistics(replicates: DataFrame, q: float = 0.05, gamma: float = 5, power: float = 10) -> DataFrame:
