@@ -84,3 +84,25 @@ def test_replicates_are_dealt_over_tasks(spark):
     tasks = drawn.groupBy("task").agg(F.count("*").alias("n")).toPandas().n
     assert tasks.sum() == 2 * 3 * 200
     assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism and tasks.max() <= tasks.sum() / spark.sparkContext.defaultParallelism
+
+
+def test_markets_fit_each_model_once(spark, monkeypatch, tmp_path):
+    """The ensemble reads the written forecasts; every (market, fold, model) leaves one line."""
+    from factorloom.plans import forecasting
+
+    data, log = tmp_path / "tables", str(tmp_path / "fits")
+    os.symlink("/root/testdata/sf0.01", data)  # another path, so that no view of it stands yet
+
+    def noted(name):
+        def fit(x, y):
+            with open(log, "a") as f:
+                f.write(f"{name} {len(y)} {y.sum()!r}\n")
+            return kernels.ols(x, y)
+
+        return fit
+
+    monkeypatch.setattr(forecast, "ESTIMATORS", {m: (forecast.HAR, noted(m)) for m in ("HAR", "Ridge", "HGB")})
+    got = forecasting.m21(spark, str(data)).toPandas()
+    assert {"HAR", "Ridge", "HGB", "LSTM", "RW126", "ENS"} <= set(got.model)
+    fits = open(log).read().splitlines()
+    assert len(fits) == len(set(fits)) and len(fits) > 3 * got.series.nunique()
